@@ -28,7 +28,7 @@ CAUSES = {
     NO_PARENT_OBJECT: "the enclosing object is absent",
     NOT_COMPARABLE: "the value cannot be compared with the literal",
     NOT_A_TEXT: "the value is not a text",
-    NOT_A_LIST: "the value is not a list",
+    NOT_A_LIST: "the value is not a list of objects to compare",
     NOT_SUPPORTED: "the operation is not known",
     RULE_REFUSED: "RULE_REFUSED",
 }
@@ -57,8 +57,8 @@ def clause(op: str, path: str | None = None, literal=None, item: str | None = No
 
 
 def rule(rule_id, description, clauses=None, active=True, predicate=None, updated_at=None) -> dict:
-    """One rule as a row of ``schema.RULES``; ``expression`` is filled by ``with_expression``."""
-    return {
+    """One rule as a row of ``schema.RULES``; ``expression`` is its text form."""
+    row = {
         "rule_id": rule_id,
         "description": description,
         "expression": None,
@@ -67,39 +67,36 @@ def rule(rule_id, description, clauses=None, active=True, predicate=None, update
         "active": active,
         "updated_at": updated_at,
     }
+    row["expression"] = expression_text(row)
+    return row
 
 
-def expression_text(clauses: Column, predicate: Column) -> Column:
-    """The rule as readable text, e.g. ``['amount'] > 100 and ['metadata']['source'] == 'web'``."""
-    symbols = F.create_map(*[F.lit(x) for pair in SYMBOL.items() for x in pair])
+def expression_text(row: dict) -> str:
+    """A rule row as readable text, e.g. ``['amount'] > 100 and ['metadata']['source'] == 'web'``."""
 
-    def field(path: Column) -> Column:
-        parts = F.split(path, "\\.")
-        named = F.concat(F.lit("['"), F.array_join(parts, "']['"), F.lit("']"))
-        return F.when(path.startswith("["), path).otherwise(named)
+    def field(path: str | None) -> str:
+        if not path:
+            return ""
+        return path if path.startswith("[") else "".join(f"['{part}']" for part in path.split("."))
 
-    def literal(c: Column) -> Column:
-        number = F.coalesce(c["lit_int"].cast("string"), c["lit_num"].cast("string"))
-        return F.when(c["lit_kind"] == "text", F.concat(F.lit("'"), c["lit_str"], F.lit("'"))).otherwise(
-            F.coalesce(c["lit_str"], number, F.lit("null"))
-        )
+    def literal(c: dict) -> str:
+        if c["lit_kind"] == "text":
+            return f"'{c['lit_str']}'"
+        return str(next((c[k] for k in ("lit_int", "lit_num", "lit_str") if c[k] is not None), "null"))
 
-    def one(c: Column) -> Column:
-        op = c["op"]
-        inner = F.element_at(symbols, F.regexp_replace(op, f"^{ANY_PREFIX}", ""))
-        return (
-            F.when(op == "not_null", F.concat(field(c["path"]), F.lit(" != null")))
-            .when(op == "starts_with", F.concat(field(c["path"]), F.lit(".startsWith("), literal(c), F.lit(")")))
-            .when(
-                op.startswith(ANY_PREFIX),
-                F.concat(field(c["path"]), F.lit(".?["), field(c["item"]), F.lit(" "), inner, F.lit(" "), literal(c), F.lit("].size() > 0")),
-            )
-            .when(inner.isNotNull(), F.concat(field(c["path"]), F.lit(" "), inner, F.lit(" "), literal(c)))
-            .otherwise(F.concat(F.coalesce(field(c["path"]), F.lit("")), F.lit("."), op, F.lit("()")))
-        )
+    def one(c: dict) -> str:
+        plain = c["op"].removeprefix(ANY_PREFIX)
+        if c["op"] == "not_null":
+            return f"{field(c['path'])} != null"
+        if c["op"] == "starts_with":
+            return f"{field(c['path'])}.startsWith({literal(c)})"
+        if plain not in SYMBOL:
+            return f"{field(c['path'])}.{c['op']}()"
+        if c["op"] != plain:
+            return f"{field(c['path'])}.?[{field(c['item'])} {SYMBOL[plain]} {literal(c)}].size() > 0"
+        return f"{field(c['path'])} {SYMBOL[plain]} {literal(c)}"
 
-    joined = F.array_join(F.transform(clauses, one), " and ")
-    return F.coalesce(predicate, F.when(F.size(clauses) > 0, joined), F.lit("true"))
+    return row["predicate"] or " and ".join(one(c) for c in row["clauses"] or ()) or "true"
 
 
 def clause_code(c: Column, number: Column, slot: Column) -> Column:
@@ -166,11 +163,12 @@ def _compared(cell: Column, c: Column) -> Column:
     return C.bind(_ordering(cell, c), decide)
 
 
-def _any_item(cell: Column, c: Column) -> Column:
-    states = F.transform(cell["items"], lambda e: _compared(e, c))
+def any_item(items: Column, c: Column) -> Column:
+    """Whether some element's field satisfies the clause; one element in error spoils the list."""
+    states = F.transform(items, lambda e: _compared(e, c))
     return C.bind(
         states,
-        lambda s: F.when(F.exists(s, lambda x: x > FALSE), F.array_max(s))
+        lambda s: F.when(F.exists(s, lambda x: x > FALSE), F.lit(NOT_A_LIST))
         .when(F.array_contains(s, TRUE), F.lit(TRUE))
         .otherwise(F.lit(FALSE)),
     )
@@ -191,7 +189,7 @@ def clause_outcome(c: Column, cells: Column, predicates: Column) -> Column:
             c["family"] == STARTS_WITH,
             F.when(cell["kind"] != C.TEXT, F.lit(NOT_A_TEXT)).when(cell["s"].startswith(c["lit_str"]), F.lit(TRUE)).otherwise(F.lit(FALSE)),
         )
-        .otherwise(F.when(cell["kind"] != C.ARRAY, F.lit(NOT_A_LIST)).otherwise(_any_item(cell, c)))
+        .otherwise(F.when(cell["kind"] != C.ARRAY, F.lit(NOT_A_LIST)).otherwise(any_item(cell["items"], c)))
     )
 
 
@@ -218,12 +216,12 @@ def failed_clause_of(code: Column) -> Column:
     return F.when(code > 0, F.floor(code / CODE_BASE).cast("int"))
 
 
-def error_text(code: Column, clauses: Column) -> Column:
+def error_text(code: Column, paths: Column) -> Column:
     """``CLAUSE_ERROR <no> <path>: <cause>`` or the refusal mark."""
     causes = F.create_map(*[x for k, v in CAUSES.items() for x in (F.lit(k), F.lit(v))])
     number = failed_clause_of(code)
     cause = F.element_at(causes, code % CODE_BASE)
-    path = F.coalesce(F.get(clauses, number - 1)["path"], F.lit(""))
+    path = F.coalesce(F.get(paths, number - 1), F.lit(""))
     return F.when(code % CODE_BASE == RULE_REFUSED, cause).otherwise(
         F.concat(F.lit("CLAUSE_ERROR "), number.cast("string"), F.lit(" "), path, F.lit(": "), cause)
     )

@@ -1,21 +1,24 @@
 """Every active rule on every event, as one narrow stage.
 
-Each event is parsed once, each path the rules mention is read once into a typed cell, and the rules
-are folded over those cells. A small rule snapshot is a constant inside the plan, so there is no join
-and no shuffle. A large one is a table of rule packs joined on the pack number: broadcast while its
-measured size allows, otherwise shuffled with a salt so that no pack becomes one hot task.
+Each event is parsed once and each path the rules mention is read once. A rule snapshot of bounded size
+is a constant inside the plan and decided with bitmaps (bitmaps.py): no join, no shuffle. A larger one is
+a table of rule packs joined on the pack number, with the clauses folded over the typed cells: broadcast
+while its measured size allows, otherwise shuffled with a salt so that no pack becomes one hot task.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arbitrail.functions import cells as C
 from arbitrail.functions import keys
+from arbitrail.operators import bitmaps as B
 from arbitrail.operators import clauses as K
 from arbitrail.operators.parse import original_type, parse_events
-from arbitrail.operators.rules import CODED_RULES, InlinePass, PackPass, Snapshot
+from arbitrail.operators.rules import InlinePass, PackPass, Snapshot
 from arbitrail.schema import (
     ERRORED,
     MATCHED,
@@ -61,96 +64,81 @@ def evaluate(
 
 
 def _run_pass(parsed, step, first, none, reasons, routed, source, matched_only) -> DataFrame:
-    if isinstance(step, InlinePass):
-        prepared = _inline_inputs(parsed, step)
-        rules = F.from_json(F.lit(step.rules_json), CODED_RULES)
-        lead = F.lit(first)
-    else:
-        prepared = _pack_inputs(parsed, step)
-        rules = F.col("rules")
-        lead = (F.col("pack_no") == 0) if first else F.lit(False)
+    carried = _CARRIED + [c for c in (*_TIMES, "processed_at", "rule_version") if c in parsed.columns] + (["value"] if source else [])
+    pairs = (_inline_pairs if isinstance(step, InlinePass) else _pack_pairs)(parsed, step, first, none, matched_only)
+    texts = {}
     if reasons:
-        prepared = prepared.withColumn("fields", F.map_entries(F.from_json("value", _FIELDS)))
-    outcomes = _outcomes(rules, lead, none, reasons, routed, matched_only)
-    carried = _CARRIED + [c for c in _TIMES if c in parsed.columns] + (["value"] if source else [])
-    extra = [c for c in ("processed_at", "rule_version") if c in parsed.columns]
-    rows = prepared.select(*carried, *extra, F.explode(outcomes).alias("o")).select(*carried, *extra, "o.*")
-    return rows.withColumn("audit_type", K.audit_type_of(F.col("code"))).withColumn(
-        "failed_clause_no", K.failed_clause_of(F.col("code"))
-    )
-
-
-def _inline_inputs(parsed: DataFrame, step: InlinePass) -> DataFrame:
-    root = F.col("root")
-
-    def cell(path, item, need):
-        if item is not None:
-            return C.array_cell(root, F.lit(path), F.lit(item))
-        if need == "presence":
-            return C.presence_cell(root, F.lit(path))
-        return C.scalar_cell(root, F.lit(path))
-
-    cells = F.array(*[cell(*s) for s in step.slots]) if step.slots else F.array().cast(f"array<{C.CELL_TYPE}>")
-    out = parsed.withColumn("cells", cells)
-    if not step.predicates:
-        return out.withColumn("predicates", F.array().cast("array<int>"))
-    # Conditions name the fields of the declared schema, so those stand apart from the event's columns.
-    typed = out.select(F.struct(*out.columns).alias("__row"), F.from_json("value", step.event_schema).alias("__typed"))
-    holds = [F.when(F.coalesce(F.expr(p), F.lit(False)), F.lit(K.TRUE)).otherwise(F.lit(K.FALSE)) for p in step.predicates]
-    return typed.select("__row", "__typed.*").select("__row.*", F.array(*holds).alias("predicates"))
-
-
-def _pack_inputs(parsed: DataFrame, step: PackPass) -> DataFrame:
-    numbered = parsed.withColumn("pack_no", F.explode(F.sequence(F.lit(0), F.lit(step.n_packs - 1))))
+        texts["reason"] = (
+            F.when(F.col("code") == K.CODE_PARSE, F.lit(PARSE_REASON))
+            .when(F.col("code") == K.CODE_NO_RULES, F.lit(NO_RULES_REASON))
+            .when(F.col("code") == 0, F.lit(None).cast("string"))
+            .when(F.col("code") % K.CODE_BASE == K.FALSE, unmatched_reason(F.col("expression"), F.col("fields")))
+            .otherwise(K.error_text(F.col("code"), F.col("paths")))
+        )
+    if routed:
+        texts["routed_event"] = F.when(F.col("code") == 0, routed_event(F.col("root"), F.col("rule_id")))
+    kinds = {"audit_type": K.audit_type_of(F.col("code")), "failed_clause_no": K.failed_clause_of(F.col("code"))}
+    columns = [c.alias(n) for n, c in {**kinds, **texts}.items()]
+    return pairs.select(*carried, "rule_id", "code", *columns)
+
+
+def _with_fields(events: DataFrame) -> DataFrame:
+    """The event's top-level entries in text order, for reasons; pruned when nobody reads them."""
+    return events.withColumn("fields", F.map_entries(F.from_json("value", _FIELDS)))
+
+
+def _inline_pairs(parsed: DataFrame, step: InlinePass, first: bool, none: bool, matched_only: bool) -> DataFrame:
+    plan = step.layout
+    typed = B.read_paths(_with_fields(parsed), step.slots)
+    if step.predicates:
+        # Conditions name the fields of the declared schema, so those stand apart from the event's columns.
+        apart = typed.select(F.struct(*typed.columns).alias("__row"), F.from_json("value", step.event_schema).alias("__typed"))
+        holds = [F.coalesce(F.expr(p), F.lit(False)).alias(f"p{i}") for i, p in enumerate(step.predicates)]
+        typed = apart.select("__row", "__typed.*").select("__row.*", *holds)
+    marked = B.with_bitmaps(typed, plan)
+
+    def constant(rows: list[dict]) -> Column:
+        return F.from_json(F.lit(json.dumps(rows)), B.rule_type(plan.words))
+
+    lead = [B.pseudo_rule(RULE_PARSE, K.CODE_PARSE, plan.words)] if first else []
+    rules = [B.pseudo_rule(RULE_NONE, K.CODE_NO_RULES, plan.words)] if none else plan.rules
+    exploded = marked.withColumn("r", F.explode(F.when(F.col("parsed"), constant(rules)).otherwise(constant(lead))))
+    code = F.expr(B.pair_code("r", plan.words))
+    if matched_only:
+        exploded, code = exploded.where(F.expr(B.pair_matches("r", plan.words))), F.lit(0)
+    return exploded.select(*parsed.columns, "fields", "r.rule_id", "r.expression", "r.paths", code.alias("code"))
+
+
+def _pack_pairs(parsed: DataFrame, step: PackPass, first: bool, none: bool, matched_only: bool) -> DataFrame:
+    numbered = _with_fields(parsed).withColumn("pack_no", F.explode(F.sequence(F.lit(0), F.lit(step.n_packs - 1))))
     if step.broadcast:
-        joined = numbered.join(F.broadcast(step.packs), "pack_no")
+        joined = numbered.join(F.broadcast(step.packs), "pack_no", "left")
     else:
         salts = int(parsed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         salt = F.pmod(F.xxhash64("topic", "partition", "offset"), F.lit(salts)).cast("int")
         copies = step.packs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        joined = numbered.withColumn("salt", salt).join(copies, ["pack_no", "salt"])
-    cells = F.transform("slots", lambda s: C.any_cell(F.col("root"), s["path"], s["item"]))
-    return joined.withColumn("cells", cells).withColumn("predicates", F.array().cast("array<int>"))
+        joined = numbered.withColumn("salt", salt).join(copies, ["pack_no", "salt"], "left")
+    celled = joined.withColumn("cells", F.transform("slots", lambda s: C.any_cell(F.col("root"), s["path"], s["item"])))
+    no_predicates = F.array().cast("array<int>")
 
+    def pair(rule_id, expression, paths, code):
+        return F.struct(rule_id.alias("rule_id"), expression.alias("expression"), paths.alias("paths"), code.alias("code"))
 
-def _outcomes(rules: Column, lead: Column, none: bool, reasons: bool, routed: bool, matched_only: bool) -> Column:
-    """The event's outcomes as an array of structs, ready to explode."""
-    cells, predicates = F.col("cells"), F.col("predicates")
     no_text = F.lit(None).cast("string")
-
-    def row(rule_id: Column, code: Column, reason: Column, event: Column) -> Column:
-        parts = [rule_id.alias("rule_id"), code.alias("code")]
-        if reasons:
-            parts.append(reason.alias("reason"))
-        if routed:
-            parts.append(event.alias("routed_event"))
-        return F.struct(*parts)
-
-    def single(rule_id: str, code: int, reason: str) -> Column:
-        one = F.array(row(F.lit(rule_id), F.lit(code), F.lit(reason), no_text))
-        return F.when(lead, one).otherwise(F.slice(one, 1, 0))
-
-    def for_rule(r: Column) -> Column:
-        def finish(code: Column) -> Column:
-            reason = (
-                F.when(code == 0, no_text)
-                .when(code % K.CODE_BASE == K.FALSE, unmatched_reason(r["expression"], F.col("fields")))
-                .otherwise(K.error_text(code, r["clauses"]))
-                if reasons
-                else no_text
-            )
-            event = F.when(code == 0, routed_event(F.col("root"), r["rule_id"])) if routed else no_text
-            return row(r["rule_id"], code, reason, event)
-
-        return C.bind(K.rule_code(r["clauses"], cells, predicates), finish)
-
-    unparsed = single(RULE_PARSE, K.CODE_PARSE, PARSE_REASON)
-    if none:
-        evaluated = single(RULE_NONE, K.CODE_NO_RULES, NO_RULES_REASON)
-    else:
-        evaluated = F.transform(rules, for_rule)
-    outcomes = F.when(~F.col("parsed"), unparsed).otherwise(evaluated)
-    return F.filter(outcomes, lambda o: o["code"] == 0) if matched_only else outcomes
+    failed = F.array(pair(F.lit(RULE_PARSE), no_text, F.array().cast("array<string>"), F.lit(K.CODE_PARSE)))
+    if not first:
+        failed = F.slice(failed, 1, 0)
+    evaluated = F.transform(
+        "rules",
+        lambda r: pair(
+            r["rule_id"], r["expression"], F.transform(r["clauses"], lambda c: c["path"]), K.rule_code(r["clauses"], F.col("cells"), no_predicates)
+        ),
+    )
+    if matched_only:
+        evaluated = F.filter(evaluated, lambda o: o["code"] == 0)
+        failed = F.slice(failed, 1, 0)
+    outcomes = F.when(F.col("parsed"), evaluated).when(F.col("pack_no") == 0, failed)
+    return celled.select(*parsed.columns, "fields", F.explode(outcomes).alias("r")).select(*parsed.columns, "fields", "r.*")
 
 
 def unmatched_reason(expression: Column, fields: Column) -> Column:

@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
-import json
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arbitrail import schema as S
+from arbitrail.functions import cells as C
 from arbitrail.functions import text
 from arbitrail.operators import clauses as K
 from arbitrail.operators import predicates as P
+from arbitrail.operators.bitmaps import Layout, layout, slot_needs
 from arbitrail.session import shared_dir
 
 # A snapshot up to these sizes travels inside the plan; a larger one is joined (see evaluate.py).
 INLINE_RULES = 1000
-INLINE_CLAUSES = 10000
+INLINE_BITS = 2000
 INLINE_PATHS = 256
 RULES_PER_PACK = 500
 BROADCAST_BYTES = 32 << 20
@@ -82,12 +83,12 @@ def seed_if_empty(existing: DataFrame, seeds: DataFrame) -> DataFrame:
 
 
 def rule_frame(spark: SparkSession, rows: list[dict]) -> DataFrame:
-    """Rule rows made in code as a table, with their text form."""
-    return with_expression(spark.createDataFrame(rows, S.RULES))
+    """Rule rows made in code (``clauses.rule``) as a table."""
+    return spark.createDataFrame([tuple(tuple_of(r, S.RULES)) for r in rows], S.RULES)
 
 
-def with_expression(rules: DataFrame) -> DataFrame:
-    return rules.withColumn("expression", K.expression_text(F.col("clauses"), F.col("predicate")))
+def tuple_of(row: dict, schema) -> list:
+    return [[tuple(c[f] for f in S.CLAUSE.fieldNames()) for c in row[n]] if n == "clauses" and row[n] is not None else row[n] for n in schema.fieldNames()]
 
 
 # --- the snapshot of active rules --------------------------------------------------------------
@@ -97,7 +98,7 @@ def with_expression(rules: DataFrame) -> DataFrame:
 class InlinePass:
     """Rules small enough to be a constant of the plan."""
 
-    rules_json: str
+    layout: Layout
     slots: list[tuple]
     predicates: list[str]
     event_schema: str | None = None
@@ -120,9 +121,6 @@ class Snapshot:
     load_errors: list[tuple] = field(default_factory=list)
 
 
-CODED_RULES = f"array<struct<rule_id:string,expression:string,clauses:array<{K.CODED_CLAUSE}>>>"
-
-
 def take_snapshot(
     rules: DataFrame,
     event_schema: str | None = None,
@@ -135,9 +133,9 @@ def take_snapshot(
     spark = rules.sparkSession
     active = rules.where("active").select("rule_id", "expression", "clauses", "predicate")
     head = active.limit(inline_rules + 1).collect()
-    n_clauses = sum(len(r["clauses"] or ()) for r in head)
+    bits = {(i, *c) for r in head for i, c in enumerate(r["clauses"] or ())}
     paths = {(c["path"], c["item"]) for r in head for c in (r["clauses"] or ())}
-    if len(head) <= inline_rules and n_clauses <= INLINE_CLAUSES and len(paths) <= inline_paths:
+    if len(head) <= inline_rules and len(bits) <= INLINE_BITS and len(paths) <= inline_paths:
         snap = Snapshot(spark, 0)
         _add_inline(snap, sorted(head, key=lambda r: r["rule_id"]), event_schema)
         return snap
@@ -162,7 +160,6 @@ def take_snapshot(
 
 def _add_inline(snap: Snapshot, rows: list, event_schema: str | None) -> None:
     slots: dict[tuple, int] = {}
-    needs: dict[tuple, str] = {}
     predicates: list[str] = []
     coded = []
     for r in rows:
@@ -181,8 +178,6 @@ def _add_inline(snap: Snapshot, rows: list, event_schema: str | None) -> None:
             for c in clause_rows:
                 key = (c["path"], c["item"]) if c["path"] is not None else None
                 slot_of.append(-1 if key is None else slots.setdefault(key, len(slots)))
-                if key is not None and c["op"] != "not_null":
-                    needs[key] = "value"
         coded.append(
             {
                 "rule_id": r["rule_id"],
@@ -192,14 +187,15 @@ def _add_inline(snap: Snapshot, rows: list, event_schema: str | None) -> None:
         )
     snap.count += len(coded)
     if coded or not snap.passes:
-        ordered = [(p, i, needs.get((p, i), "presence")) for (p, i) in slots]
-        snap.passes.append(InlinePass(json.dumps(coded), ordered, predicates, event_schema))
+        needs: dict[int, set[str]] = {}
+        for c in (c for r in coded for c in r["clauses"]):
+            needs.setdefault(c["slot"], set()).update(slot_needs(c))
+        ordered = [(p, i, needs[at] or "presence") for (p, i), at in slots.items()]
+        snap.passes.append(InlinePass(layout(coded), ordered, predicates, event_schema))
 
 
 def _code(c: dict, number: int, slot: int) -> dict:
     """Same coding as ``clauses.clause_code``, for rows already on the driver."""
-    from arbitrail.functions import cells as C
-
     op, kind = c["op"], c.get("lit_kind")
     is_any = op.startswith(K.ANY_PREFIX)
     accepted = K.ACCEPTED.get(op.removeprefix(K.ANY_PREFIX))
