@@ -38,6 +38,7 @@ class Layout:
 
     bits: list[dict] = field(default_factory=list)
     rules: list[dict] = field(default_factory=list)
+    coded: list[dict] = field(default_factory=list)
 
     @property
     def words(self) -> int:
@@ -51,7 +52,7 @@ def layout(coded_rules: list[dict]) -> Layout:
     distinct = {(c["no"], key(c)): c for r in coded_rules for c in r["clauses"]}
     ordered = sorted(distinct, key=lambda k: (k[0], repr(k[1])))
     place = {k: i for i, k in enumerate(ordered)}
-    out = Layout([{**distinct[k], "bit": i} for i, k in enumerate(ordered)])
+    out = Layout([{**distinct[k], "bit": i} for i, k in enumerate(ordered)], coded=coded_rules)
     for r in coded_rules:
         masks = [0] * out.words
         for c in r["clauses"]:

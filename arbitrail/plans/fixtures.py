@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arbitrail.operators.clauses import clause, rule
+from arbitrail.operators.parse import spread
 from arbitrail.operators.rules import rule_frame
 from arbitrail.session import prepare
 
@@ -21,15 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(events: DataFrame) -> DataFrame:
-    """Events by time range over the shuffle partitions, before the fan-out multiplies them.
-
-    Small files read as one partition; ranging also keeps each task's hours, and so its output files, few.
-    """
-    n = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return events.repartitionByRange(n, "ts", "partition", "offset")
-
-
 # --- click events --------------------------------------------------------------------------------
 
 
