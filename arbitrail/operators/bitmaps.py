@@ -174,7 +174,8 @@ def with_bitmaps(prepared: DataFrame, plan: Layout) -> DataFrame:
     for w in range(plan.words):
         members = [(1 << b, c) for b, c in enumerate(plan.bits[w * WORD_BITS : (w + 1) * WORD_BITS])]
         for name, parts in zip(("hold", "error", "orphan"), _word(members)):
-            columns.append(f"{' | '.join(parts) or '0L'} as {name}{w}")
+            # Never null: otherwise a filter on matches pushes "is not null" below the parse and doubles it.
+            columns.append(f"coalesce({' | '.join(parts) or '0L'}, 0L) as {name}{w}")
     out = prepared
     states = {}
     for c in plan.bits:

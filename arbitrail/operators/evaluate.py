@@ -138,7 +138,9 @@ def _pack_pairs(parsed: DataFrame, step: PackPass, first: bool, none: bool, matc
         evaluated = F.filter(evaluated, lambda o: o["code"] == 0)
         failed = F.slice(failed, 1, 0)
     outcomes = F.when(F.col("parsed"), evaluated).when(F.col("pack_no") == 0, failed)
-    return celled.select(*parsed.columns, "fields", F.explode(outcomes).alias("r")).select(*parsed.columns, "fields", "r.*")
+    # explode_outer: a plain explode has Catalyst test the array in a filter below, evaluating every pack twice.
+    exploded = celled.select(*parsed.columns, "fields", F.explode_outer(outcomes).alias("r"))
+    return exploded.where("r is not null").select(*parsed.columns, "fields", "r.*")
 
 
 def unmatched_reason(expression: Column, fields: Column) -> Column:

@@ -69,6 +69,7 @@ def _join(raw: DataFrame, step: InlinePass, keyed: dict) -> DataFrame:
         key = F.concat(*[x for t in texts for x in (F.lit(_SEPARATOR), t)][1:]) if texts else F.lit("")
         keys.append(F.struct(F.lit(number[signature]).alias("signature"), key.alias("match_key")))
     wanted = ["topic", "partition", "offset", "ts", *[f"hold{w}" for w in range(plan.words)]]
-    exploded = marked.select(*wanted, F.explode(F.when(F.col("parsed"), F.array(*keys))).alias("key")).select(*wanted, "key.*")
+    # explode_outer: a plain explode has Catalyst test the array in a filter below, parsing every event twice.
+    exploded = marked.select(*wanted, F.explode_outer(F.when(F.col("parsed"), F.array(*keys))).alias("key")).select(*wanted, "key.*")
     joined = exploded.join(F.broadcast(rules).alias("r"), ["signature", "match_key"])
     return joined.where(F.expr(B.pair_matches("r", plan.words)))

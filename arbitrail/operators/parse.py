@@ -21,7 +21,7 @@ def as_raw_events(df: DataFrame) -> DataFrame:
         "topic": column("topic", F.lit(UNKNOWN_TOPIC)),
         "partition": column("partition", F.lit(0)).cast("int"),
         "offset": column("offset", F.lit(0)).cast("bigint"),
-        "ts": F.col("ts") if "ts" in df.columns else F.lit(None).cast("timestamp"),
+        "ts": column("ts", F.lit(None)).cast("timestamp"),
         "value": F.col("value").cast("string"),
     }
     return df.withColumns(known)

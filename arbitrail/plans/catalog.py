@@ -92,7 +92,7 @@ def q_clause_nulls(spark, sf):
     ops = ["gt", "ge", "lt", "le", "eq", "ne", "not_null"]
     rules = X.rule_frame(spark, [rule(f"n_{op}", op, [clause(op, "amount", None if op == "not_null" else 100)]) for op in ops])
     outcomes = E.evaluate(X.click_events(spark, sf), R.take_snapshot(rules))
-    return outcomes.groupBy("rule_id").pivot("audit_type", ["MATCHED", "UNMATCHED", "ERRORED"]).agg(F.count("*")).na.fill(0)
+    return outcomes.groupBy("rule_id").pivot("audit_type", ["MATCHED", "UNMATCHED", "ERRORED"]).agg(F.count(F.lit(1))).na.fill(0)
 
 
 @query

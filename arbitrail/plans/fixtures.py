@@ -66,7 +66,7 @@ def click_columns(events: DataFrame) -> DataFrame:
         F.lit("source-events").alias("topic"),
         (e % 20).cast("int").alias("partition"),
         F.expr("event_id div 20").alias("offset"),
-        "ts",
+        F.col("ts").cast("timestamp").alias("ts"),
         click_value().alias("value"),
         parse.cast("bigint").alias("parse_time_nano"),
         evaluation.cast("bigint").alias("eval_time_nano"),
@@ -167,7 +167,7 @@ def order_events(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit("order-events").alias("topic"),
             (o % 20).cast("int").alias("partition"),
             F.expr("o_orderkey div 20").alias("offset"),
-            F.col("o_orderdate").alias("ts"),
+            F.col("o_orderdate").cast("timestamp").alias("ts"),
             value.alias("value"),
         )
     )
@@ -221,7 +221,7 @@ def sales_events(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit("source-events").alias("topic"),
             (o % 20).cast("int").alias("partition"),
             F.expr("o_orderkey div 20").alias("offset"),
-            F.col("o_orderdate").alias("ts"),
+            F.col("o_orderdate").cast("timestamp").alias("ts"),
             value.alias("value"),
         )
     )
@@ -257,7 +257,7 @@ def rule_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(one).alias("clauses"),
         F.lit(None).cast("string").alias("predicate"),
         (F.col("o_orderstatus") != "F").alias("active"),
-        F.col("o_orderdate").alias("updated_at"),
+        F.col("o_orderdate").cast("timestamp").alias("updated_at"),
         o.alias("seq"),
         F.when(o % 13 == 0, F.lit("delete")).otherwise(F.lit("put")).alias("op"),
     )

@@ -91,11 +91,11 @@ CAUSES = """CASE rule_id || failed_clause_no WHEN 'c11' THEN 'the value cannot b
   WHEN 'c52' THEN 'the enclosing object is absent' WHEN 'c71' THEN 'the operation is not known' END"""
 ERROR_REASON = f"CASE WHEN rule_id = '_parse' THEN '{PARSE_REASON}' ELSE 'CLAUSE_ERROR ' || failed_clause_no || ' ' || {PATHS} || ': ' || {CAUSES} END"
 
-SHOWN = """array_to_string(list_filter([
+SHOWN = """concat_ws(', ',
     CASE WHEN contains(expr, 'type') THEN 'type=' || type END,
     CASE WHEN contains(expr, 'amount') AND akind <> 'null' THEN 'amount=' || CASE akind WHEN 'text' THEN 'not-a-number' ELSE CAST(amount AS VARCHAR) END END,
     CASE WHEN contains(expr, 'user_id') THEN 'user_id=' || user_id END,
-    CASE WHEN contains(expr, 'metadata') AND has_meta THEN 'metadata=' || meta_text END], x -> x IS NOT NULL), ', ')"""
+    CASE WHEN contains(expr, 'metadata') AND has_meta THEN 'metadata=' || meta_text END)"""
 REASON = f"CASE WHEN audit_type = 'MATCHED' THEN NULL ELSE 'Condition not met: ' || expr || CASE WHEN {SHOWN} = '' THEN '' ELSE ' (actual values: ' || {SHOWN} || ')' END END"
 
 CHANGES = """

@@ -1,20 +1,21 @@
-"""Tables on shared storage: audits by batch, rollups by hour, rule changes, quarantine.
+"""Tables on shared storage: audits by batch and day, rollups by day, rule changes, quarantine.
 
 Parquet has no MERGE, so an upsert is a batch folder that a replay overwrites, read through a view that
-keeps the last verdict per audit id.
+keeps the last verdict per audit id. Folders are per day; within a day the files are time slices, so a
+range of hours is pruned by the row groups' statistics.
 """
 
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arbitrail import schema as S
 from arbitrail.functions.text import hour_key
 from arbitrail.operators import rollup as R
 
-_VERSION = "run_seq int, batch_id bigint, hour string"
+_VERSION = "run_seq int, batch_id bigint, day string"
 
 
 class AuditStore:
@@ -26,7 +27,7 @@ class AuditStore:
     def write_batch(self, audits: DataFrame, run_seq: int, batch_id: int) -> str:
         """Writes one batch; writing it again replaces it. Returns its folder."""
         folder = f"{self.root}/audits/run_seq={run_seq}/batch_id={batch_id}"
-        audits.withColumn("hour", hour_key(F.col("timestamp"))).write.mode("overwrite").partitionBy("hour").parquet(folder)
+        audits.withColumn("day", F.date_format("timestamp", "yyyy-MM-dd")).write.mode("overwrite").partitionBy("day").parquet(folder)
         return folder
 
     def all_versions(self) -> DataFrame:
@@ -36,18 +37,18 @@ class AuditStore:
     def batch(self, run_seq: int, batch_id: int) -> DataFrame:
         return self.all_versions().where((F.col("run_seq") == run_seq) & (F.col("batch_id") == batch_id))
 
-    def latest(self, from_hour: str | None = None, to_hour: str | None = None) -> DataFrame:
-        """Last verdict per audit. An audit keeps its hour in every run, so hours may be pruned first."""
+    def latest(self, start: Column | None = None, end: Column | None = None) -> DataFrame:
+        """Last verdict per audit. An audit keeps its time in every run, so a range may be cut first."""
         versions = self.all_versions()
-        if from_hour is not None:
-            versions = versions.where(F.col("hour") >= from_hour)
-        if to_hour is not None:
-            versions = versions.where(F.col("hour") <= to_hour)
-        return latest_audits(versions)
+        for bound, compare in ((start, "__ge__"), (end, "__le__")):
+            if bound is not None:
+                same_day = getattr(F.col("day"), compare)(F.date_format(bound, "yyyy-MM-dd"))
+                versions = versions.where(same_day & getattr(F.col("timestamp"), compare)(bound))
+        return latest_audits(versions).drop("day")
 
-    def compact(self, run_seq: int, from_hour: str, to_hour: str) -> None:
-        """Rewrites the last verdicts of some hours as one batch of a new run, which then wins."""
-        self.write_batch(self.latest(from_hour, to_hour).drop("hour"), run_seq, 0)
+    def compact(self, run_seq: int, start: Column, end: Column) -> None:
+        """Rewrites the last verdicts of a time range as one batch of a new run, which then wins."""
+        self.write_batch(self.latest(start, end), run_seq, 0)
 
     # --- routed events and quarantine -------------------------------------------------------------
 
@@ -59,24 +60,28 @@ class AuditStore:
 
     # --- rollups ----------------------------------------------------------------------------------
 
-    def merge_rollups(self, rule_rows: DataFrame, hour_rows: DataFrame) -> None:
-        """Replaces the recomputed hours and leaves all others untouched."""
-        for name, rows in (("rule_rollups", rule_rows), ("hour_rollups", hour_rows)):
+    def merge_rollups(self, rule_rows: DataFrame, hour_rows: DataFrame, start: Column) -> None:
+        """Replaces the recomputed hours; other hours, also of the same day, stay as they are."""
+        first_day = F.substring(hour_key(start), 1, 10)
+        for name, fresh in (("rule_rollups", rule_rows), ("hour_rollups", hour_rows)):
+            existing = getattr(self, name)().where(F.substring("hour", 1, 10) >= first_day)
             (
-                rows.repartition("hour")
+                R.merged(existing, fresh)
+                .withColumn("day", F.substring("hour", 1, 10))
+                .repartition("day")
                 .write.mode("overwrite")
                 .option("partitionOverwriteMode", "dynamic")
-                .partitionBy("hour")
+                .partitionBy("day")
                 .parquet(f"{self.root}/{name}")
             )
 
-    def refresh_rollups(self, as_of, hours: int = S.RECOMPUTE_HOURS, enabled: bool = True) -> None:
-        """The periodic job, and with more hours the backfill. The audit scan is pruned to the window."""
+    def refresh_rollups(self, as_of: Column, hours: int = S.RECOMPUTE_HOURS, enabled: bool = True) -> None:
+        """The periodic job, and with more hours the backfill. The audit scan is cut to the window."""
         if not enabled:
             return
-        start = self.spark.range(1).select(hour_key(R.window_start(as_of, hours))).first()[0]
-        rule_rows, hour_rows = R.recompute(self.latest(from_hour=start).drop("hour"), as_of, hours)
-        self.merge_rollups(rule_rows, hour_rows)
+        start = R.window_start(as_of, hours)
+        rule_rows, hour_rows = R.recompute(self.latest(start), as_of, hours)
+        self.merge_rollups(rule_rows, hour_rows, start)
 
     def rule_rollups(self) -> DataFrame:
         return self._rollups("rule_rollups", S.RULE_ROLLUPS)
