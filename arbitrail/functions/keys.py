@@ -8,9 +8,18 @@ from pyspark.sql import functions as F
 from arbitrail.schema import RULE_EVENT
 
 
+def event_key(topic: Column, partition: Column, offset: Column) -> Column:
+    """The part of an audit id's input that all audits of an event share."""
+    return F.concat(topic, F.lit("|"), partition.cast("string"), F.lit("|"), offset.cast("string"), F.lit("|"))
+
+
+def rule_audit_id(key: Column, rule_id: Column) -> Column:
+    """Lower-case hex SHA-256 of topic, partition, offset and rule id joined by pipes."""
+    return F.sha2(F.concat(key, rule_id), 256)
+
+
 def audit_id(topic: Column, partition: Column, offset: Column, rule_id: Column) -> Column:
-    """Lower-case hex SHA-256 of the four parts joined by a pipe."""
-    return F.sha2(F.concat_ws("|", topic, partition.cast("string"), offset.cast("string"), rule_id), 256)
+    return rule_audit_id(event_key(topic, partition, offset), rule_id)
 
 
 def event_id(topic: Column, partition: Column, offset: Column) -> Column:

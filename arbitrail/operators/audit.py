@@ -18,7 +18,7 @@ def audits(raw: DataFrame, snapshot: Snapshot, reasons: bool = True, source: boo
     from the input when it has them. With ``source`` or ``reasons`` off those columns stay null and
     ``full_audits`` puts them back: at 100 rules per event the texts would be stored 100 times.
     """
-    outcomes = E.with_ids(E.evaluate(raw, snapshot, reasons=reasons, routed=routed, source=source))
+    outcomes = E.evaluate(raw, snapshot, reasons=reasons, routed=routed, source=source, ids=True)
     no_text = F.lit(None).cast("string")
 
     def nanos(name: str) -> Column:
@@ -53,7 +53,7 @@ def full_audits(stored: DataFrame, raw: DataFrame, snapshot: Snapshot) -> DataFr
     The texts are recomputed from the events and joined on the audit id, which is unique on both sides,
     so no key is hot.
     """
-    texts = E.with_ids(E.evaluate(raw, snapshot, reasons=True, source=True)).select(
+    texts = E.evaluate(raw, snapshot, reasons=True, source=True, ids=True).select(
         "audit_id", F.col("reason").alias("full_reason"), F.col("value").alias("full_source")
     )
     joined = stored.join(texts, "audit_id", "left")

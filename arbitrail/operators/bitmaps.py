@@ -165,7 +165,7 @@ def slot_needs(clause: dict) -> set[str]:
 
 
 def _is_big(c: dict) -> bool:
-    return c["lit_int"] is not None and abs(c["lit_int"]) > EXACT_DOUBLE
+    return c["lit_int"] is not None and abs(c["lit_int"]) >= EXACT_DOUBLE
 
 
 def with_bitmaps(prepared: DataFrame, plan: Layout) -> DataFrame:

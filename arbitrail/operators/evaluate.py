@@ -25,7 +25,6 @@ from arbitrail.schema import (
     NO_RULES_REASON,
     PARSE_REASON,
     ROUTED_MESSAGE,
-    RULE_EVENT,
     RULE_NONE,
     RULE_PARSE,
     UNMATCHED,
@@ -44,15 +43,19 @@ def evaluate(
     routed: bool = False,
     source: bool = False,
     matched_only: bool = False,
+    ids: bool = False,
 ) -> DataFrame:
     """One row per (event, rule) with ``code``, ``audit_type`` and ``failed_clause_no``.
 
-    ``reasons``, ``routed`` and ``source`` add those texts; they are off by default because they
+    ``ids`` adds ``event_id`` and ``audit_id``. ``reasons``, ``routed`` and ``source`` add those texts; they are off by default because they
     multiply the event's size by the number of rules. An unparseable event gives one ``_parse`` row;
     without active rules each event gives one ``_none`` row. ``matched_only`` drops everything but
     matches before the fan-out.
     """
     parsed = parse_events(raw)
+    if ids:  # before the fan-out: the event's own hash is computed once, not once per rule
+        provenance = [F.col(c) for c in ("topic", "partition", "offset")]
+        parsed = parsed.withColumns({"event_key": keys.event_key(*provenance), "event_id": keys.event_id(*provenance)})
     branches = [
         _run_pass(parsed, p, first=i == 0, none=snapshot.count == 0, reasons=reasons, routed=routed, source=source, matched_only=matched_only)
         for i, p in enumerate(snapshot.passes)
@@ -60,11 +63,14 @@ def evaluate(
     result = branches[0]
     for more in branches[1:]:
         result = result.unionByName(more)
+    if ids:  # the two pseudo rules share the event's id
+        own = keys.rule_audit_id(F.col("event_key"), F.col("rule_id"))
+        result = result.withColumn("audit_id", F.when(F.col("code") < 0, F.col("event_id")).otherwise(own)).drop("event_key")
     return result
 
 
 def _run_pass(parsed, step, first, none, reasons, routed, source, matched_only) -> DataFrame:
-    carried = _CARRIED + [c for c in (*_TIMES, "processed_at", "rule_version") if c in parsed.columns] + (["value"] if source else [])
+    carried = _CARRIED + [c for c in (*_TIMES, "processed_at", "rule_version", "event_key", "event_id") if c in parsed.columns] + (["value"] if source else [])
     pairs = (_inline_pairs if isinstance(step, InlinePass) else _pack_pairs)(parsed, step, first, none, matched_only)
     texts = {}
     if reasons:
@@ -162,13 +168,6 @@ def routed_event(root: Column, rule_id: Column) -> Column:
     )
 
 
-def with_ids(outcomes: DataFrame) -> DataFrame:
-    """Adds ``event_id`` and ``audit_id``; the two pseudo rules share the event's id."""
-    provenance = [F.col(c) for c in ("topic", "partition", "offset")]
-    rule = F.when(F.col("code") < 0, F.lit(RULE_EVENT)).otherwise(F.col("rule_id"))
-    return outcomes.withColumn("event_id", keys.event_id(*provenance)).withColumn("audit_id", keys.audit_id(*provenance, rule))
-
-
 def event_verdicts(raw: DataFrame, outcomes: DataFrame) -> DataFrame:
     """One verdict per event: any match wins, else any error, else unmatched (also with no results)."""
     key = ["topic", "partition", "offset"]

@@ -197,7 +197,7 @@ def _mapped(mapping: dict[str, str], column: str) -> F.Column:
 
 
 def sales_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders whose region, tier and channel use the names the default rules test."""
+    """Orders whose region, tier and channel use the names the default rules test, arriving 17 seconds apart."""
     o = F.col("o_orderkey")
     items = F.coalesce("items", F.array().cast("array<struct<id:int,price:bigint>>"))
     value = F.to_json(
@@ -221,7 +221,7 @@ def sales_events(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit("source-events").alias("topic"),
             (o % 20).cast("int").alias("partition"),
             F.expr("o_orderkey div 20").alias("offset"),
-            F.col("o_orderdate").cast("timestamp").alias("ts"),
+            F.timestamp_seconds(F.lit(1704067200) + o * 17).alias("ts"),
             value.alias("value"),
         )
     )

@@ -14,6 +14,9 @@ RESULT_SETTINGS = {
     "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
+# A task that meets few days writes them side by side instead of sorting all its rows by day first.
+WRITE_SETTINGS = {"spark.sql.maxConcurrentOutputFileWriters": "16"}
+
 
 def build_session(master: str = "local[8]", memory: str = "8g", **settings: str) -> SparkSession:
     """A session for tests and benchmarks; a cluster brings its own."""
@@ -26,7 +29,7 @@ def build_session(master: str = "local[8]", memory: str = "8g", **settings: str)
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
     )
-    for key, value in {**RESULT_SETTINGS, **settings}.items():
+    for key, value in {**RESULT_SETTINGS, **WRITE_SETTINGS, **settings}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -34,7 +37,7 @@ def build_session(master: str = "local[8]", memory: str = "8g", **settings: str)
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    for key, value in RESULT_SETTINGS.items():
+    for key, value in {**RESULT_SETTINGS, **WRITE_SETTINGS}.items():
         spark.conf.set(key, value)
     return spark
 
