@@ -102,23 +102,6 @@ def array_cell(root: Column, path: Column, item: Column) -> Column:
     )
 
 
-def presence_cell(root: Column, path: Column) -> Column:
-    """Cell of a field that is only tested for null; nested values are not walked."""
-    return bind(
-        _get(root, json_path(path), "variant"),
-        lambda v: F.struct(
-            F.when(v.isNull(), F.when(_holder_is_object(root, path), F.lit(NULL)).otherwise(F.lit(NO_PARENT)))
-            .when(F.is_variant_null(v), F.lit(NULL))
-            .otherwise(F.lit(OTHER))
-            .alias("kind"),
-            F.lit(None).cast("bigint").alias("i"),
-            F.lit(None).cast("double").alias("d"),
-            F.lit(None).cast("string").alias("s"),
-            F.lit(None).cast(f"array<{SCALAR_TYPE}>").alias("items"),
-        ),
-    )
-
-
 def any_cell(root: Column, path: Column, item: Column) -> Column:
     """Cell for a path known only at run time (``item`` null for a plain field)."""
     return F.when(item.isNotNull(), array_cell(root, path, item)).otherwise(scalar_cell(root, path))

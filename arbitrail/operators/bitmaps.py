@@ -61,6 +61,7 @@ def layout(coded_rules: list[dict]) -> Layout:
         out.rules.append(
             {
                 "rule_id": r["rule_id"],
+                "rule_json": json.dumps(r["rule_id"], ensure_ascii=False)[1:-1],
                 "expression": r["expression"],
                 "fixed": None,
                 "causes": [STATIC_CAUSE.get(c["family"], K.NOT_COMPARABLE) for c in r["clauses"]],
@@ -73,12 +74,12 @@ def layout(coded_rules: list[dict]) -> Layout:
 
 def rule_type(words: int) -> str:
     masks = "".join(f",m{w}:bigint" for w in range(words))
-    return f"array<struct<rule_id:string,expression:string,fixed:int,causes:array<int>,paths:array<string>{masks}>>"
+    return f"array<struct<rule_id:string,rule_json:string,expression:string,fixed:int,causes:array<int>,paths:array<string>{masks}>>"
 
 
 def pseudo_rule(rule_id: str, code: int, words: int) -> dict:
     """A row that is not a rule: its code is fixed and its masks are empty."""
-    return {"rule_id": rule_id, "expression": None, "fixed": code, "causes": [], "paths": [], **{f"m{w}": 0 for w in range(words)}}
+    return {"rule_id": rule_id, "rule_json": None, "expression": None, "fixed": code, "causes": [], "paths": [], **{f"m{w}": 0 for w in range(words)}}
 
 
 # --- per event: typed values of each path, then the bitmaps ----------------------------------------

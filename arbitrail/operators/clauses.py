@@ -127,9 +127,6 @@ def clause_code(c: Column, number: Column, slot: Column) -> Column:
     )
 
 
-CODED_CLAUSE = "struct<no:int,slot:int,family:int,accepted:int,lit_kind:int,lit_int:bigint,lit_num:double,lit_str:string,path:string>"
-
-
 def _side(left: Column, right: Column) -> Column:
     return F.when(left < right, F.lit(BELOW)).when(left == right, F.lit(EQUAL)).otherwise(F.lit(ABOVE))
 

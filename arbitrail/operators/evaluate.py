@@ -71,6 +71,8 @@ def evaluate(
 
 def _run_pass(parsed, step, first, none, reasons, routed, source, matched_only) -> DataFrame:
     carried = _CARRIED + [c for c in (*_TIMES, "processed_at", "rule_version", "event_key", "event_id") if c in parsed.columns] + (["value"] if source else [])
+    if routed:  # the event's share of its routed texts, once per event
+        parsed = parsed.withColumns({"routed_head": routed_head(F.col("root")), "routed_tail": routed_tail(F.col("root"))})
     pairs = (_inline_pairs if isinstance(step, InlinePass) else _pack_pairs)(parsed, step, first, none, matched_only)
     texts = {}
     if reasons:
@@ -82,7 +84,7 @@ def _run_pass(parsed, step, first, none, reasons, routed, source, matched_only)
             .otherwise(K.error_text(F.col("code"), F.col("paths")))
         )
     if routed:
-        texts["routed_event"] = F.when(F.col("code") == 0, routed_event(F.col("root"), F.col("rule_id")))
+        texts["routed_event"] = F.when(F.col("code") == 0, F.concat("routed_head", "rule_json", "routed_tail"))
     kinds = {"audit_type": K.audit_type_of(F.col("code")), "failed_clause_no": K.failed_clause_of(F.col("code"))}
     columns = [c.alias(n) for n, c in {**kinds, **texts}.items()]
     return pairs.select(*carried, "rule_id", "code", *columns)
@@ -112,7 +114,7 @@ def _inline_pairs(parsed: DataFrame, step: InlinePass, first: bool, none: bool,
     code = F.expr(B.pair_code("r", plan.words))
     if matched_only:
         exploded, code = exploded.where(F.expr(B.pair_matches("r", plan.words))), F.lit(0)
-    return exploded.select(*parsed.columns, "fields", "r.rule_id", "r.expression", "r.paths", code.alias("code"))
+    return exploded.select(*parsed.columns, "fields", "r.rule_id", "r.rule_json", "r.expression", "r.paths", code.alias("code"))
 
 
 def _pack_pairs(parsed: DataFrame, step: PackPass, first: bool, none: bool, matched_only: bool) -> DataFrame:
@@ -128,7 +130,8 @@ def _pack_pairs(parsed: DataFrame, step: PackPass, first: bool, none: bool, matc
     no_predicates = F.array().cast("array<int>")
 
     def pair(rule_id, expression, paths, code):
-        return F.struct(rule_id.alias("rule_id"), expression.alias("expression"), paths.alias("paths"), code.alias("code"))
+        escaped = F.regexp_extract(F.to_json(F.struct(rule_id.alias("i"))), '^.{6}(.*)"}$', 1)
+        return F.struct(rule_id.alias("rule_id"), escaped.alias("rule_json"), expression.alias("expression"), paths.alias("paths"), code.alias("code"))
 
     no_text = F.lit(None).cast("string")
     failed = F.array(pair(F.lit(RULE_PARSE), no_text, F.array().cast("array<string>"), F.lit(K.CODE_PARSE)))
@@ -157,15 +160,14 @@ def unmatched_reason(expression: Column, fields: Column) -> Column:
     return F.concat(F.lit(UNMATCHED_PREFIX), expression, values)
 
 
-def routed_event(root: Column, rule_id: Column) -> Column:
-    """The confirmation event of one match, as JSON."""
-    return F.to_json(
-        F.struct(
-            F.lit(ROUTED_MESSAGE).alias("message"),
-            F.concat(original_type(root), F.lit("_"), rule_id).alias("type"),
-            root.alias("original_event"),
-        )
-    )
+def routed_head(root: Column) -> Column:
+    """Start of a match's confirmation event, up to the rule id that ends its ``type``."""
+    named = F.struct(F.lit(ROUTED_MESSAGE).alias("message"), F.concat(original_type(root), F.lit("_")).alias("type"))
+    return F.regexp_replace(F.to_json(named), '"}$', "")
+
+
+def routed_tail(root: Column) -> Column:
+    return F.concat(F.lit('","original_event":'), F.to_json(root), F.lit("}"))
 
 
 def event_verdicts(raw: DataFrame, outcomes: DataFrame) -> DataFrame:

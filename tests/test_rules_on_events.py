@@ -105,6 +105,14 @@ def test_routed_event_belongs_to_its_own_rule(spark):
     assert {"type": "t", "v": [1, {"w": None}]} in [json.loads(r["routed_event"])["original_event"] for r in routed]
 
 
+@pytest.mark.parametrize("sizes", [{}, {"inline_rules": 1}], ids=["inline", "packs"])
+def test_routed_event_escapes_its_parts(spark, sizes):
+    rules = rule_frame(spark, [rule('q"\\é', "", []), rule("z", "", [])])
+    rows = routed_events(audits(events(spark, ['{"type":"a\\"b","v":"\\u00e9\\n"}']), take_snapshot(rules, **sizes))).collect()
+    assert {json.loads(r["routed_event"])["type"] for r in rows} == {'a"b_q"\\é', 'a"b_z'}
+    assert json.loads(rows[0]["routed_event"])["original_event"] == {"type": 'a"b', "v": "é\n"}
+
+
 def random_rules(rng, n):
     def one():
         op = rng.choice(["gt", "ge", "lt", "le", "eq", "ne", "not_null", "starts_with", "any_gt", "any_le", "any_eq", "odd"])
