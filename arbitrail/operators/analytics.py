@@ -65,22 +65,29 @@ def total_messages(hour_rollups: DataFrame) -> DataFrame:
     return hour_rollups.agg(F.coalesce(F.sum("messages"), F.lit(0)).alias("total_messages"))
 
 
-def latency(rule_rollups: DataFrame) -> DataFrame:
-    """Mean nanoseconds, cut to whole numbers; 0 without evaluations."""
+_MEANS = {"avg_parse_time": "parse_sum", "avg_eval_time": "eval_sum", "avg_total_time": "total_sum"}
+
+
+def _means() -> list[Column]:
     n = F.sum("count")
+    return [F.coalesce(F.when(n > 0, (F.sum(c) / n).cast("bigint")), F.lit(0)).alias(name) for name, c in _MEANS.items()]
 
-    def mean(column: str, name: str) -> Column:
-        return F.coalesce(F.when(n > 0, (F.sum(column) / n).cast("bigint")), F.lit(0)).alias(name)
 
-    return rule_rollups.agg(
-        mean("parse_sum", "avg_parse_time"), mean("eval_sum", "avg_eval_time"), mean("total_sum", "avg_total_time")
-    )
+def latency(rule_rollups: DataFrame) -> DataFrame:
+    """Mean nanoseconds, cut to whole numbers; 0 without evaluations."""
+    return rule_rollups.agg(*_means())
 
 
 def dashboard(rule_rollups: DataFrame, hour_rollups: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """One-row totals, the rule statistics and the time series."""
-    one = [d.withColumn("_one", F.lit(1)) for d in (total_messages(hour_rollups), total_evaluations(rule_rollups), latency(rule_rollups))]
-    totals = one[0].join(one[1], "_one").join(one[2], "_one").drop("_one")
+    """One-row totals, the rule statistics and the time series.
+
+    The totals come from two one-row aggregates stacked and added up, so there is no join.
+    """
+    names = ["total_messages", "total_evaluations", *_MEANS]
+    zero = F.lit(0).cast("bigint")
+    of_rules = rule_rollups.agg(zero.alias(names[0]), F.coalesce(F.sum("count"), F.lit(0)).alias(names[1]), *_means())
+    of_hours = total_messages(hour_rollups).select(names[0], *[zero.alias(n) for n in names[1:]])
+    totals = of_rules.unionByName(of_hours).agg(*[F.sum(n).alias(n) for n in names])
     return totals, sort_rules(rule_stats(rule_rollups)), time_series(rule_rollups)
 
 

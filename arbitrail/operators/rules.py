@@ -62,11 +62,11 @@ def search(rules: DataFrame, term: str = "", status: str = "all") -> DataFrame:
 
 
 def lookup(rules: DataFrame, rule_id: str) -> DataFrame:
-    """One rule; running the result fails when the id is not there."""
+    """One rule; a missing id is an error."""
     found = rules.where(F.col("rule_id") == rule_id)
-    n = found.agg(F.count("*").alias("n"))
-    check = n.select(F.assert_true(F.col("n") == 1, f"Rule not found: {rule_id}").alias("checked"))
-    return found.join(F.broadcast(check.select(F.col("checked").isNull().alias("checked"))), F.col("checked"), "inner").drop("checked")
+    if found.isEmpty():
+        raise LookupError(f"Rule not found: {rule_id}")
+    return found
 
 
 def counts(rules: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ range of hours is pruned by the row groups' statistics.
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +16,8 @@ from pyspark.sql import functions as F
 from arbitrail import schema as S
 from arbitrail.functions.text import hour_key
 from arbitrail.operators import rollup as R
+from arbitrail.operators.clauses import rule
+from arbitrail.operators.rules import rule_frame
 
 _VERSION = "run_seq int, batch_id bigint, day string"
 
@@ -30,12 +34,16 @@ class AuditStore:
         audits.withColumn("day", F.date_format("timestamp", "yyyy-MM-dd")).write.mode("overwrite").partitionBy("day").parquet(folder)
         return folder
 
-    def all_versions(self) -> DataFrame:
+    def _read(self, folder: str) -> DataFrame:
         columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in S.AUDITS)
-        return self.spark.read.schema(f"{columns}, {_VERSION}").parquet(f"{self.root}/audits")
+        return self.spark.read.schema(f"{columns}, {_VERSION}").option("basePath", f"{self.root}/audits").parquet(folder)
+
+    def all_versions(self) -> DataFrame:
+        return self._read(f"{self.root}/audits")
 
     def batch(self, run_seq: int, batch_id: int) -> DataFrame:
-        return self.all_versions().where((F.col("run_seq") == run_seq) & (F.col("batch_id") == batch_id))
+        """One batch, listing only its own folder."""
+        return self._read(f"{self.root}/audits/run_seq={run_seq}/batch_id={batch_id}")
 
     def latest(self, start: Column | None = None, end: Column | None = None) -> DataFrame:
         """Last verdict per audit. An audit keeps its time in every run, so a range may be cut first."""
@@ -115,5 +123,15 @@ class RuleLog:
     def append(self, changes: DataFrame) -> None:
         changes.write.mode("append").parquet(self.path)
 
+    def put(self, row: dict, seq: int, moment: datetime, rule_id: str | None = None) -> None:
+        """Creates or updates one rule; a given ``rule_id`` wins over the row's own."""
+        named = {**row, "rule_id": rule_id or row["rule_id"], "updated_at": moment}
+        self.append(rule_frame(self.spark, [named]).withColumns({"seq": F.lit(seq).cast("bigint"), "op": F.lit("put")}))
+
+    def delete(self, rule_id: str, seq: int, moment: datetime) -> None:
+        """Removes a rule; deleting one that is not there changes nothing."""
+        gone = {**rule(rule_id, None, []), "updated_at": moment}
+        self.append(rule_frame(self.spark, [gone]).withColumns({"seq": F.lit(seq).cast("bigint"), "op": F.lit("delete")}))
+
     def changes(self) -> DataFrame:
         return self.spark.read.parquet(self.path)

@@ -4,6 +4,7 @@ import csv
 import hashlib
 import io
 import json
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -57,8 +58,20 @@ def test_rule_log_keeps_the_latest_change(spark):
     assert [r["rule_id"] for r in R.search(rules, "SECOND").collect()] == ["c1"]
     assert [r["rule_id"] for r in R.search(rules, "amount", "inactive").collect()] == ["c2"]
     assert R.lookup(rules, "c1").first()["description"] == "second"
-    with pytest.raises(Exception, match="Rule not found: zz"):
-        R.lookup(rules, "zz").collect()
+    with pytest.raises(LookupError, match="Rule not found: zz"):
+        R.lookup(rules, "zz")
+
+
+def test_put_and_delete_one_rule(spark):
+    log = RuleLog(spark, shared_dir(spark, "log"))
+    log.put(OVER, 1, datetime(2024, 1, 1))
+    log.put(ODD, 2, datetime(2024, 1, 2), rule_id="r1")
+    log.delete("never-there", 3, datetime(2024, 1, 3))
+    assert [(r["rule_id"], r["description"]) for r in R.current_rules(log.changes()).collect()] == [("r1", "odd")]
+    log.delete("r1", 4, datetime(2024, 1, 4))
+    assert R.current_rules(log.changes()).isEmpty()
+    before = R.rules_as_of(log.changes(), at("2024-01-01 12:00:00")).collect()
+    assert [r["description"] for r in before] == ["over"]
 
 
 def test_seeding_only_fills_an_empty_table(spark):
