@@ -29,7 +29,6 @@ def kafka_options(servers: str, topic: str, events_per_batch: int | None = None)
         "subscribe": topic,
         "startingOffsets": "earliest",
         "kafka.isolation.level": "read_committed",
-        "failOnDataLoss": "false",
     }
     if events_per_batch:
         options["maxOffsetsPerTrigger"] = str(events_per_batch)
