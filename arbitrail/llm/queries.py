@@ -66,3 +66,31 @@ def op2_quality_rules(spark, sf):
     from arbitrail.llm.quality_rules import apply_rules
 
     return apply_rules(table(spark, sf, "documents"))
+
+
+@query()
+def op5_bpe(spark, sf):
+    import public_tokenizers
+
+    from arbitrail.llm.bpe import round_trip
+
+    return round_trip(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+OP7_SQL = r"""
+WITH doc AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(w[i : i + 34], ' ') AS g FROM doc, unnest(range(1, len(w) - 33)) AS u(i) WHERE len(w) >= 35),
+repeated AS (SELECT doc_id, i FROM windows WHERE g IN (SELECT g FROM windows GROUP BY g HAVING count(*) > 1)),
+gone AS (SELECT DISTINCT doc_id, p FROM repeated, unnest(range(i, i + 35)) AS u(p)),
+lists AS (SELECT doc_id, list(p) AS places FROM gone GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(places), 0) AS BIGINT) AS n_removed,
+  sha256(array_to_string(CASE WHEN places IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(places, i)) END, ' ')) AS kept_sha256
+FROM doc d LEFT JOIN lists l USING (doc_id)
+"""
+
+
+@query(OP7_SQL)
+def op7_substring_dedup(spark, sf):
+    from arbitrail.llm.substring_dedup import digests
+
+    return digests(table(spark, sf, "documents"))
