@@ -94,3 +94,53 @@ def op7_substring_dedup(spark, sf):
     from arbitrail.llm.substring_dedup import digests
 
     return digests(table(spark, sf, "documents"))
+
+
+OP3_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+OP3_SQL = r"""
+WITH rest AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages),
+urls AS (SELECT page_id, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(substr(r, length(regexp_extract(r, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM rest),
+rules(rhost, rpath, rverdict) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+best AS (SELECT page_id, arg_max(rhost || rpath, length(rhost || rpath)) AS rule, arg_max(rverdict, length(rhost || rpath)) AS verdict
+  FROM urls JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM urls LEFT JOIN best USING (page_id)
+"""
+
+
+@query(OP3_SQL)
+def op3_url_filter(spark, sf):
+    from arbitrail.llm.url_filter import judge
+
+    rules = spark.createDataFrame(OP3_RULES, "host string, path string, verdict string")
+    return judge(table(spark, sf, "pages"), rules)
+
+
+def op4_sql() -> str:
+    from arbitrail.llm.license_scan import RULES, SENTENCES
+
+    known = ", ".join(f"('{i}', '{s}')" for i, s in SENTENCES)
+    names: dict[str, str] = {}
+    for name, sequence in RULES:
+        names.setdefault("".join(f"<{i}>" for i in sequence), name)
+    rules = ", ".join(f"('{m}', '{n}')" for m, n in names.items())
+    return rf"""
+WITH known(sentence_id, sentence) AS (VALUES {known}), rules(m, license) AS (VALUES {rules}),
+lines AS (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?])[ \t\r\f\x0B]+', '\1' || chr(10), 'g'), chr(10)) AS s FROM documents),
+places AS (SELECT doc_id, i, trim(regexp_replace(translate(s[i], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g')) AS sentence FROM lines, unnest(range(1, len(s) + 1)) AS u(i)),
+found AS (SELECT doc_id, list(sentence_id ORDER BY i) AS ids FROM places JOIN known USING (sentence) GROUP BY doc_id),
+matches AS (SELECT doc_id, regexp_extract_all(array_to_string(list_transform(ids, lambda x: '<' || x || '>'), ''), '{"|".join(names)}') AS ms FROM found),
+named AS (SELECT doc_id, license, min(k) AS k FROM (SELECT doc_id, ms[k] AS m, k FROM matches, unnest(range(1, len(ms) + 1)) AS u(k)) JOIN rules USING (m) GROUP BY doc_id, license)
+SELECT d.doc_id, CAST(coalesce(len(f.ids), 0) AS BIGINT) AS n_known, coalesce(array_to_string(f.ids, ','), '') AS sentence_ids, coalesce(n.licenses, '') AS licenses
+FROM documents d LEFT JOIN found f USING (doc_id) LEFT JOIN (SELECT doc_id, string_agg(license, ',' ORDER BY k) AS licenses FROM named GROUP BY doc_id) n USING (doc_id)
+"""
+
+
+@query()
+def op4_license_scan(spark, sf):
+    from arbitrail.llm.license_scan import scan
+
+    return scan(table(spark, sf, "documents"))
+
+
+ORACLES["op4_license_scan"] = op4_sql()
