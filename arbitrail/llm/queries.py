@@ -144,3 +144,19 @@ def op4_license_scan(spark, sf):
 
 
 ORACLES["op4_license_scan"] = op4_sql()
+
+
+OP10_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+firsts AS (SELECT d, min(page_id) AS f FROM p WHERE n >= 100 GROUP BY d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest, CASE WHEN f < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN f < page_id THEN f END AS refers_to
+FROM p LEFT JOIN firsts USING (d)
+"""
+
+
+@query(OP10_SQL)
+def op10_warc(spark, sf):
+    from arbitrail.llm.warc import archive
+
+    return archive(table(spark, sf, "pages"))
