@@ -160,3 +160,11 @@ def op10_warc(spark, sf):
     from arbitrail.llm.warc import archive
 
     return archive(table(spark, sf, "pages"))
+
+
+@query()
+def op6_quality_classifier(spark, sf):
+    from arbitrail.llm.quality_classifier import score, train
+
+    docs = table(spark, sf, "documents")
+    return score(docs, train(docs, table(spark, sf, "labels")))
