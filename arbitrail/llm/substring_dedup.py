@@ -4,10 +4,11 @@ A window is ``window`` consecutive words. Its minimiser is the smallest hash amo
 windows with one minimiser form a super-k-mer, which travels as one packed string to the minimiser's bucket; equal windows
 always meet in one bucket, where sorting them counts them exactly, word by word.
 
-1. Every text's super-k-mers, without their words, are counted by minimiser. One that no other super-k-mer shares can't
-   hold a repeated window, so it never travels.
-2. The others are packed from the texts. Equal strings are added up before the shuffle. A minimiser with more than
-   HOT super-k-mers is too common for one bucket: its windows travel singly, each in a bucket of its own hash.
+1. The super-k-mers of all texts, without their words, are counted by minimiser. One whose minimiser no other super-k-mer
+   has can't hold a repeated window and need not travel. The minimisers that count are marked in a bit field of fixed size;
+   a wrongly marked one only makes a string travel in vain.
+2. The others are packed from the texts. Of equal strings of a batch only one travels, with their number. A minimiser with
+   more than HOT super-k-mers is too common for one bucket: its windows travel singly, each in a bucket of its own hash.
 3. In each bucket the windows are sorted; those met twice or more give the spans to remove.
 
 Hashes only decide what meets where: words are compared as they are.
@@ -16,6 +17,7 @@ Hashes only decide what meets where: words are compared as they are.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -27,6 +29,8 @@ from arbitrail.llm.common import Words, attach, gram_hashes, keyed, map_batches,
 
 WINDOW, CORE = 35, 8
 HOT = 10_000
+#: Size of the bit field of minimisers: 16 MB.
+FIELD_BITS = 1 << 27
 KEY = ["doc_id", "text_key"]
 
 
@@ -68,50 +72,68 @@ def _first_place(grams: np.ndarray, at: np.ndarray, value: np.ndarray, reach: in
     return out
 
 
-def _runs(batch, window, core):
+def _minimisers(batch, window, core):
+    for _, _, words in slice_words(batch, "text", False):
+        _, _, _, value, twice = super_kmers(words, window, core)
+        if len(value):
+            value, back, times = np.unique(value, return_inverse=True, return_counts=True)
+            again = np.zeros(len(value), bool)
+            again[back[twice]] = True
+            yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(times), pa.array(again)], ["minimiser", "times", "twice"])
+
+
+def shared_minimisers(texts: DataFrame, window: int, core: int, hot: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bit field of the minimisers of several super-k-mers or of two places of one, sorted common ones).
+
+    The field has FIELD_BITS bits. Common ones have more than ``hot`` super-k-mers and more than one in 2**20 of all, so
+    there are at most 2**20.
+    """
+    counts = map_batches(texts, lambda b: _minimisers(b, window, core), "minimiser long, times long, twice boolean")
+    counts = stored(counts.groupBy("minimiser").agg(F.sum("times").alias("times"), F.max("twice").alias("twice")), "minimisers")
+    shared = counts.where("times > 1 or twice")
+    place = F.col("minimiser").bitwiseAND(F.lit(FIELD_BITS - 1))
+    one = F.expr(f"shiftleft(1L, cast((minimiser & {FIELD_BITS - 1}) & 63 as int))")
+    cells = shared.groupBy(F.shiftright(place, 6).alias("cell")).agg(F.bit_or(one).alias("bits")).toArrow()
+    field = np.zeros(FIELD_BITS // 64, np.int64)
+    field[cells["cell"].to_numpy()] = cells["bits"].to_numpy()
+    total = counts.agg(F.sum("times")).first()[0] or 0
+    common = counts.where(F.col("times") > max(hot, total >> 20)).select("minimiser").toArrow()["minimiser"].to_numpy()
+    return field, np.sort(common)
+
+
+def _pack(batch, window, core, field, common):
+    """Places and strings of the super-k-mers whose minimiser is marked; of equal strings of a batch one has its words."""
     ids, keys = batch.column(0), batch.column(1)
     for a, _, words in slice_words(batch, "text", False):
-        text, first, count, value, twice = super_kmers(words, window, core)
-        if len(text):
-            at = pa.array(text + a)
-            yield pa.RecordBatch.from_arrays(
-                [ids.take(at), keys.take(at), pa.array(value.view(np.int64)), pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(twice)],
-                ["doc_id", "text_key", "minimiser", "first", "windows", "twice"],
-            )
-
-
-def _pack(batch, window):
-    """Strings of the wanted super-k-mers of each text."""
-    hot_out = {"doc_id": [], "text_key": [], "bucket": [], "packed": [], "name": [], "first": []}
-    size = 0
-    for doc_id, key, data, wanted in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-        if not wanted:
+        text, first, count, value, _ = super_kmers(words, window, core)
+        place = (value & np.uint64(FIELD_BITS - 1)).astype(np.int64)
+        marked = (field[place >> 6] >> (place & 63)) & 1 == 1
+        if not marked.any():
             continue
-        words = data.split()
-        for run in wanted:
-            first, n, bucket = run["first"], run["windows"], run["minimiser"]
-            pieces = [(first, n)] if not run["hot"] else [(first + i, 1) for i in range(n)]
-            for at, count in pieces:
-                packed = b" ".join(words[at : at + count + window - 1])
-                name = hashlib.blake2b(packed, digest_size=16).digest()
-                hot_out["doc_id"].append(doc_id)
-                hot_out["text_key"].append(key)
-                hot_out["bucket"].append(int.from_bytes(name[:8], "little", signed=True) if run["hot"] else bucket)
-                hot_out["packed"].append(packed)
-                hot_out["name"].append(name)
-                hot_out["first"].append(at)
-                size += len(packed)
-        if size > 4 << 20:
-            yield _packed_batch(hot_out)
-            hot_out = {k: [] for k in hot_out}
-            size = 0
-    if hot_out["doc_id"]:
-        yield _packed_batch(hot_out)
-
-
-def _packed_batch(out):
-    kinds = {"packed": pa.binary(), "name": pa.binary(), "first": pa.int32()}
-    return pa.RecordBatch.from_arrays([pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()], list(out))
+        text, first, count, bucket = text[marked], first[marked], count[marked], value[marked].view(np.int64)
+        hot = np.isin(bucket, common)
+        if hot.any():
+            single = np.repeat(np.arange(len(text))[hot], count[hot])
+            step = np.arange(len(single)) - np.repeat(np.cumsum(count[hot]) - count[hot], count[hot])
+            bucket = np.concatenate([bucket[~hot], np.zeros(len(single), np.int64)])
+            text, first, count = (np.concatenate(x) for x in ((text[~hot], text[single]), (first[~hot], first[single] + step), (count[~hot], np.ones(len(single), np.int64))))
+            own = np.arange(len(text)) >= (~hot).sum()
+        else:
+            own = np.zeros(len(text), bool)
+        raw = words.data.tobytes()
+        begin = words.first[text] + first
+        starts, ends = words.starts[begin].tolist(), words.ends[begin + count + window - 2].tolist()
+        strings = [b" ".join(raw[x:y].split()) for x, y in zip(starts, ends, strict=True)]
+        names = [hashlib.blake2b(x, digest_size=16).digest() for x in strings]
+        buckets = [int.from_bytes(n[:8], "little", signed=True) if o else b for n, o, b in zip(names, own.tolist(), bucket.tolist(), strict=True)]
+        times = Counter(names)
+        number = [times.pop(n, 0) for n in names]  # all of a batch's equal strings count with the first
+        packed = [x if n else None for n, x in zip(number, strings, strict=True)]
+        at = pa.array(text + a)
+        yield pa.RecordBatch.from_arrays(
+            [ids.take(at), keys.take(at), pa.array(buckets, pa.int64()), pa.array(packed, pa.binary()), pa.array(names, pa.binary()), pa.array(first.astype(np.int32)), pa.array(number, pa.int64())],
+            ["doc_id", "text_key", "bucket", "packed", "name", "first", "times"],
+        )
 
 
 def repeated_places(strings: list[tuple[bytes, int]], window: int) -> list[list[tuple[int, int]]]:
@@ -155,7 +177,7 @@ _SPAN_TYPE = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 
 
 def _count_buckets(window):
-    """Over rows sorted by bucket: (bucket, packed, times)."""
+    """Over rows sorted by bucket and string: (bucket, packed, times)."""
 
     def finish(bucket, strings, out):
         for (packed, _), spans in zip(strings, repeated_places(strings, window), strict=True):
@@ -173,7 +195,10 @@ def _count_buckets(window):
                     finish(current, strings, out)
                     strings = []
                 current = bucket
-                strings.append((packed, times))
+                if strings and strings[-1][0] == packed:
+                    strings[-1] = (packed, strings[-1][1] + times)
+                else:
+                    strings.append((packed, times))
             if len(out) > 2000:
                 yield batch_of(out)
                 out = []
@@ -191,15 +216,12 @@ def find_repeats(texts: DataFrame, window: int = WINDOW, core: int = CORE, hot:
     ``texts`` is (doc_id, text_key, text) as ``keyed`` gives it. Words are runs of anything but ASCII white space.
     Repeated rows repeat each other's windows. Texts of fewer than ``window`` words have none.
     """
-    runs = stored(map_batches(texts, lambda b: _runs(b, window, core), "doc_id long, text_key long, minimiser long, first int, windows int, twice boolean"), "runs")
-    counts = runs.groupBy("minimiser").agg(F.count("*").alias("times"), F.max("twice").alias("twice"))
-    shared = counts.where("times > 1 or twice").select("minimiser", (F.col("times") > hot).alias("hot"))
-    wanted = runs.join(shared, "minimiser").groupBy(*KEY).agg(F.collect_set(F.struct("first", "windows", "minimiser", "hot")).alias("wanted"))
-    wanted = stored(wanted, "wanted")
-    rows = attach(texts, wanted, KEY, F.size("wanted") * 17).where("wanted is not null").select(*KEY, "text", "wanted")
-    packed = stored(map_batches(rows, lambda b: _pack(b, window), "doc_id long, text_key long, bucket long, packed binary, name binary, first int"), "packed")
-    strings = packed.groupBy("bucket", "packed").agg(F.count("*").alias("times"))
-    strings = strings.repartition("bucket").sortWithinPartitions("bucket")
+    spark = texts.sparkSession
+    marks = spark.sparkContext.broadcast(shared_minimisers(texts, window, core, hot))
+    schema = "doc_id long, text_key long, bucket long, packed binary, name binary, first int, times long"
+    packed = stored(map_batches(texts, lambda b: _pack(b, window, core, *marks.value), schema), "packed")
+    strings = packed.where("times > 0").select("bucket", "packed", "times")
+    strings = strings.repartition("bucket").sortWithinPartitions("bucket", "packed")
     found = stored(strings.mapInArrow(_count_buckets(window), f"bucket long, name binary, found {SPANS}"), "found")
     places = packed.select("doc_id", "text_key", "bucket", "name", "first").join(found, ["bucket", "name"])
     moved = F.transform("found", lambda s: F.struct((s["a"] + F.col("first")).alias("a"), (s["b"] + F.col("first")).alias("b")))
