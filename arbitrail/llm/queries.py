@@ -187,3 +187,10 @@ def op8_ngram_join(spark, sf):
     from arbitrail.llm.ngram_join import components
 
     return components(table(spark, sf, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@query()
+def op9_lm_score(spark, sf):
+    from arbitrail.llm.lm_score import score
+
+    return score(table(spark, sf, "documents"))
