@@ -194,3 +194,10 @@ def op9_lm_score(spark, sf):
     from arbitrail.llm.lm_score import score
 
     return score(table(spark, sf, "documents"))
+
+
+@query()
+def pipeline(spark, sf):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf)
