@@ -237,7 +237,7 @@ def item_digest(names: list[str]) -> str:
 
 def cut(data: bytes, spans: list[tuple[int, int]]) -> bytes:
     """The text without the words of the spans and what follows them up to the next word."""
-    places = [m.start() for m in WORD.finditer(data)] + [len(data)]
+    places = [m.start() for m in WORD.finditer(data.lower())] + [len(data)]
     out, at = [], 0
     for a, b in spans:
         out.append(data[at : places[a]])
