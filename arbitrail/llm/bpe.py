@@ -143,8 +143,6 @@ class ByteBpe:
         return np.split(symbols[order].astype("<u4"), np.cumsum(counts)[:-1])
 
     def _learn(self, words: list[str]) -> None:
-        if len(self.cache) + len(words) > CACHE_WORDS:
-            self.cache.clear()
         for word, ids in zip(words, self.merge([w.encode("utf-8", "surrogatepass") for w in words]), strict=True):
             self.cache[word] = ids.tobytes()
 
@@ -186,11 +184,10 @@ class ByteBpe:
         words = [joined[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
         cache = self.cache
         unknown = [w for w in dict.fromkeys(words) if w not in cache]
-        if unknown:
-            before = len(cache)
-            self._learn(unknown)
-            if len(cache) < before + len(unknown):  # the cache was emptied
-                self._learn([w for w in dict.fromkeys(words) if w not in cache])
+        if len(cache) + len(unknown) > CACHE_WORDS:
+            cache.clear()
+            unknown = list(dict.fromkeys(words))
+        self._learn(unknown)
         ids = [cache[w] for w in words]
         first = np.searchsorted(starts, breaks)
         return [b"".join(ids[first[i] : first[i + 1]]) for i in range(len(texts))]
