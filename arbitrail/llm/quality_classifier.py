@@ -29,6 +29,8 @@ N_FEATURES = len(SUMMARY) + 256
 
 def _repeats(values: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     """How many of each text's values equal another one of the text that comes before in sorted order."""
+    if not len(values):
+        return np.zeros(n)
     keys = mix(values ^ mix(doc.astype(np.uint64) + np.uint64(1)))
     order = np.argsort(keys, kind="stable")
     again = np.append(False, keys[order][1:] == keys[order][:-1])
