@@ -142,10 +142,3 @@ def with_rules(audit_rows: DataFrame, rules: DataFrame) -> DataFrame:
     """Audits with the description of their rule; pseudo rules have none."""
     return audit_rows.join(rules.select("rule_id", "description"), "rule_id", "left")
 
-
-def events_with_match(raw: DataFrame, outcomes: DataFrame) -> DataFrame:
-    return raw.join(outcomes.where(F.col("audit_type") == S.MATCHED), ["topic", "partition", "offset"], "left_semi")
-
-
-def events_without_match(raw: DataFrame, outcomes: DataFrame) -> DataFrame:
-    return raw.join(outcomes.where(F.col("audit_type") == S.MATCHED), ["topic", "partition", "offset"], "left_anti")

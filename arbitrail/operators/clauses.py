@@ -33,6 +33,9 @@ CAUSES = {
     RULE_REFUSED: "RULE_REFUSED",
 }
 
+# Fields of a coded clause.
+CODED = ("no", "family", "accepted", "lit_kind", "lit_int", "lit_num", "lit_str", "path", "item")
+
 # A rule's code is 0 when it matched, else clause number * CODE_BASE + outcome.
 CODE_BASE = 16
 CODE_PARSE, CODE_NO_RULES = -1, -2
@@ -99,31 +102,43 @@ def expression_text(row: dict) -> str:
     return row["predicate"] or " and ".join(one(c) for c in row["clauses"] or ()) or "true"
 
 
-def clause_code(c: Column, number: Column, slot: Column) -> Column:
-    """The clause in the form the evaluation reads: integer family and accepted orderings."""
-    op = c["op"]
+#: A path the event reader understands: names with dots between, positions and quoted names in brackets.
+PATH = r"^(?:[^.\[\]]+|\[\d+\]|\['[^']*'\])(?:\.[^.\[\]]+|\[\d+\]|\['[^']*'\])*$"
+
+
+def clause_code(c: Column, number: Column) -> Column:
+    """The clause in the form the evaluation reads: integer family and accepted orderings.
+
+    This is the only place where clauses are judged: whatever can't be evaluated (an unknown operation, a missing or malformed
+    path, item or literal) becomes the constant error outcome here, before a plan is chosen. ``item`` is kept for list clauses.
+    """
+    op = F.coalesce(c["op"], F.lit(""))
     plain = F.regexp_replace(op, f"^{ANY_PREFIX}", "")
     accepted = F.element_at(F.create_map(*[F.lit(x) for pair in ACCEPTED.items() for x in pair]), plain)
+    fine = lambda path: F.coalesce(path.rlike(PATH), F.lit(False))
+    number_of = F.coalesce(c["lit_num"], c["lit_int"].cast("double"))
+    text = c["lit_str"].isNotNull()
+    literal = F.coalesce(
+        F.when(c["lit_kind"] == "num", number_of.isNotNull() & ~F.isnan(number_of)).when(c["lit_kind"].isin("text", "bool"), text), F.lit(False)
+    )
+    is_any = op.startswith(ANY_PREFIX)
     family = (
-        F.when(op == "not_null", F.lit(NOT_NULL))
-        .when((op == "starts_with") & (c["lit_kind"] == "text"), F.lit(STARTS_WITH))
-        .when(op == "predicate", F.lit(PREDICATE))
-        .when(op == "refused", F.lit(REFUSED))
-        .when(accepted.isNull() | c["lit_kind"].isNull(), F.lit(UNSUPPORTED))
-        .when(op.startswith(ANY_PREFIX) & c["item"].isNotNull(), F.lit(ANY_ITEM))
-        .when(op.startswith(ANY_PREFIX), F.lit(UNSUPPORTED))
-        .otherwise(F.lit(COMPARE))
+        F.when(~fine(c["path"]), F.lit(UNSUPPORTED))
+        .when(op == "not_null", F.lit(NOT_NULL))
+        .when((op == "starts_with") & (c["lit_kind"] == "text") & text, F.lit(STARTS_WITH))
+        .when(accepted.isNull() | ~literal | (is_any & ~fine(c["item"])), F.lit(UNSUPPORTED))
+        .otherwise(F.when(is_any, F.lit(ANY_ITEM)).otherwise(F.lit(COMPARE)))
     )
     return F.struct(
         number.cast("int").alias("no"),
-        slot.cast("int").alias("slot"),
         family.alias("family"),
         F.coalesce(accepted, F.lit(0)).alias("accepted"),
         F.when(c["lit_kind"] == "num", F.lit(C.INTEGER)).when(c["lit_kind"] == "bool", F.lit(C.BOOL)).otherwise(F.lit(C.TEXT)).alias("lit_kind"),
         c["lit_int"].alias("lit_int"),
-        c["lit_num"].alias("lit_num"),
+        number_of.alias("lit_num"),
         c["lit_str"].alias("lit_str"),
         c["path"].alias("path"),
+        F.when(family == ANY_ITEM, c["item"]).alias("item"),
     )
 
 

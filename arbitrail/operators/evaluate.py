@@ -95,22 +95,27 @@ def _with_fields(events: DataFrame) -> DataFrame:
     return events.withColumn("fields", F.map_entries(F.from_json("value", _FIELDS)))
 
 
-def _inline_pairs(parsed: DataFrame, step: InlinePass, first: bool, none: bool, matched_only: bool) -> DataFrame:
-    plan = step.layout
+def _marked(parsed: DataFrame, step: InlinePass) -> DataFrame:
+    """Events with the bitmaps of all clauses."""
     typed = B.read_paths(_with_fields(parsed), step.slots)
     if step.predicates:
         # Conditions name the fields of the declared schema, so those stand apart from the event's columns.
         apart = typed.select(F.struct(*typed.columns).alias("__row"), F.from_json("value", step.event_schema).alias("__typed"))
         holds = [F.coalesce(F.expr(p), F.lit(False)).alias(f"p{i}") for i, p in enumerate(step.predicates)]
         typed = apart.select("__row", "__typed.*").select("__row.*", *holds)
-    marked = B.with_bitmaps(typed, plan)
+    return B.with_bitmaps(typed, step.layout)
+
 
-    def constant(rows: list[dict]) -> Column:
-        return F.from_json(F.lit(json.dumps(rows)), B.rule_type(plan.words))
+def _constant(rows: list[dict], words: int) -> Column:
+    return F.from_json(F.lit(json.dumps(rows)), B.rule_type(words))
 
+
+def _inline_pairs(parsed: DataFrame, step: InlinePass, first: bool, none: bool, matched_only: bool) -> DataFrame:
+    plan = step.layout
+    marked = _marked(parsed, step)
     lead = [B.pseudo_rule(RULE_PARSE, K.CODE_PARSE, plan.words)] if first else []
     rules = [B.pseudo_rule(RULE_NONE, K.CODE_NO_RULES, plan.words)] if none else plan.rules
-    exploded = marked.withColumn("r", F.explode(F.when(F.col("parsed"), constant(rules)).otherwise(constant(lead))))
+    exploded = marked.withColumn("r", F.explode(F.when(F.col("parsed"), _constant(rules, plan.words)).otherwise(_constant(lead, plan.words))))
     code = F.expr(B.pair_code("r", plan.words))
     if matched_only:
         exploded, code = exploded.where(F.expr(B.pair_matches("r", plan.words))), F.lit(0)
@@ -170,27 +175,65 @@ def routed_tail(root: Column) -> Column:
     return F.concat(F.lit('","original_event":'), F.to_json(root), F.lit("}"))
 
 
-def event_verdicts(raw: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """One verdict per event: any match wins, else any error, else unmatched (also with no results)."""
-    key = ["topic", "partition", "offset"]
-    agg = outcomes.groupBy(*key).agg(
-        F.bool_or(F.col("audit_type") == MATCHED).alias("m"), F.bool_or(F.col("audit_type") == ERRORED).alias("e")
-    )
-    verdict = F.when(F.coalesce("m", F.lit(False)), F.lit(MATCHED)).when(F.coalesce("e", F.lit(False)), F.lit(ERRORED)).otherwise(F.lit(UNMATCHED))
-    return raw.select(*key).join(agg, key, "left").select(*key, verdict.alias("verdict"))
+def event_results(raw: DataFrame, snapshot: Snapshot) -> DataFrame:
+    """One row per event: provenance, ``parsed`` and ``results``, an array of (rule_id, code, paths) of the real rules.
 
+    Rules that fit into the plan are judged inside the event's row, without a fan-out, a shuffle or a second scan. Larger rule
+    tables are joined as ever and their results gathered per event.
+    """
+    parsed = parse_events(raw)
+    if len(snapshot.passes) == 1 and isinstance(snapshot.passes[0], InlinePass):
+        step = snapshot.passes[0]
+        marked = _marked(parsed, step).withColumn("__rules", _constant(step.layout.rules, step.layout.words))
+        code = B.pair_code("r", step.layout.words)
+        results = f"case when parsed then transform(__rules, r -> named_struct('rule_id', r.rule_id, 'code', {code}, 'paths', r.paths)) end"
+        return marked.select(*parsed.columns, F.expr(results).alias("results"))
+    branches = []
+    for i, p in enumerate(snapshot.passes):
+        make = _inline_pairs if isinstance(p, InlinePass) else _pack_pairs
+        branches.append(make(parsed, p, i == 0, snapshot.count == 0, False).select(*EVENT, "parsed", "rule_id", "code", "paths"))
+    pairs = branches[0]
+    for more in branches[1:]:
+        pairs = pairs.unionByName(more)
+    real = F.when(F.col("code") >= 0, F.struct("rule_id", F.col("code").cast("int").alias("code"), "paths"))
+    return pairs.groupBy(*EVENT).agg(F.first("parsed").alias("parsed"), F.collect_list(real).alias("results"))
 
-def event_summary(outcomes: DataFrame) -> DataFrame:
-    """Per event: rules that matched, rules evaluated, and the reason of each error.
 
-    The group is one event's rule results, so its size is the number of active rules.
-    """
-    key = ["topic", "partition", "offset"]
-    real = F.col("code") >= 0
-    return outcomes.groupBy(*key).agg(
-        F.array_sort(F.collect_list(F.when(real & (F.col("audit_type") == MATCHED), F.col("rule_id")))).alias("matched_rule_ids"),
-        F.array_sort(F.collect_list(F.when(real, F.col("rule_id")))).alias("evaluated_rule_ids"),
-        F.map_from_entries(
-            F.array_sort(F.collect_list(F.when(F.col("audit_type") == ERRORED, F.struct("rule_id", "reason"))))
-        ).alias("errors"),
+EVENT = ["topic", "partition", "offset"]
+
+
+def _has(kind: str) -> Column:
+    found = F.exists("results", lambda r: K.audit_type_of(r["code"]) == kind)
+    return F.coalesce(found, F.lit(False))
+
+
+def event_verdicts(raw: DataFrame, snapshot: Snapshot) -> DataFrame:
+    """One verdict per event: any match wins, else any error (a parse failure is one), else unmatched, also without rules."""
+    verdict = F.when(_has(MATCHED), F.lit(MATCHED)).when(~F.col("parsed") | _has(ERRORED), F.lit(ERRORED)).otherwise(F.lit(UNMATCHED))
+    return event_results(raw, snapshot).select(*EVENT, verdict.alias("verdict"))
+
+
+def event_summary(raw: DataFrame, snapshot: Snapshot) -> DataFrame:
+    """Per event: rules that matched, rules evaluated, and the reason of each error, by rule id; a parse failure is the error
+    of the pseudo rule. Of rules that share an id each counts, but the errors name it once."""
+    results = F.coalesce("results", F.array().cast("array<struct<rule_id:string,code:int,paths:array<string>>>"))
+    ids = lambda rows: F.array_sort(F.transform(rows, lambda r: r["rule_id"]))
+    failed = F.filter(results, lambda r: K.audit_type_of(r["code"]) == ERRORED)
+    errors = F.transform(failed, lambda r: F.struct(r["rule_id"].alias("rule_id"), K.error_text(r["code"], r["paths"]).alias("reason")))
+    errors = F.when(F.col("parsed"), F.array_sort(errors)).otherwise(F.array(F.struct(F.lit(RULE_PARSE).alias("rule_id"), F.lit(PARSE_REASON).alias("reason"))))
+    names = F.array_distinct(F.transform(errors, lambda e: e["rule_id"]))
+    reasons = F.transform(names, lambda n: F.element_at(F.filter(errors, lambda e: e["rule_id"] == n), 1)["reason"])
+    return event_results(raw, snapshot).select(
+        *EVENT,
+        ids(F.filter(results, lambda r: r["code"] == 0)).alias("matched_rule_ids"),
+        ids(results).alias("evaluated_rule_ids"),
+        F.map_from_arrays(names, reasons).alias("errors"),
     )
+
+
+def events_with_match(raw: DataFrame, snapshot: Snapshot) -> DataFrame:
+    return event_results(raw, snapshot).where(_has(MATCHED)).drop("results", "root", "parsed")
+
+
+def events_without_match(raw: DataFrame, snapshot: Snapshot) -> DataFrame:
+    return event_results(raw, snapshot).where(~_has(MATCHED)).drop("results", "root", "parsed")

@@ -7,7 +7,11 @@ ANSI cast or an overflow would end the whole job because of one bad event.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException, ParseException
+import re
+from functools import lru_cache
+
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, IllegalArgumentException, ParseException
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -19,13 +23,13 @@ ALLOWED_NODES = frozenset(
     Alias AttributeReference GetStructField GetArrayStructFields Literal
     And Or Not EqualTo EqualNullSafe GreaterThan GreaterThanOrEqual LessThan LessThanOrEqual
     In InSet Between IsNull IsNotNull Coalesce If CaseWhen NullIf
-    StartsWith EndsWith Contains Like RLike Lower Upper StringTrim Length
+    StartsWith EndsWith Contains Lower Upper StringTrim Length
     ArrayExists ArrayFilter ArrayTransform ArrayContains Size LambdaFunction NamedLambdaVariable
-    Abs Greatest Least
+    Greatest Least
     """.split()
 )
 # Arithmetic is safe on doubles only: whole numbers can overflow and division by zero raises.
-DOUBLE_ONLY_NODES = frozenset("Add Subtract Multiply UnaryMinus".split())
+DOUBLE_ONLY_NODES = frozenset("Add Subtract Multiply UnaryMinus Abs".split())
 
 
 def _nodes(node):
@@ -41,6 +45,8 @@ def _allowed(node) -> bool:
         return True
     if name in DOUBLE_ONLY_NODES:
         return node.dataType().typeName() == "double"
+    if name in ("RLike", "Like"):
+        return _safe_pattern(node, name)
     if name == "Cast":  # only widening numeric casts, which cannot fail
         source, target = node.child().dataType().typeName(), node.dataType().typeName()
         order = ["byte", "short", "integer", "long", "float", "double"]
@@ -49,8 +55,25 @@ def _allowed(node) -> bool:
     return False
 
 
+def _safe_pattern(node, name: str) -> bool:
+    """Whether the pattern is a constant that compiles: one from the data could end the job at any row."""
+    pattern = node.right()
+    if pattern.getClass().getSimpleName() != "Literal" or pattern.value() is None:
+        return False
+    text = pattern.value().toString()
+    if name == "Like":  # the escape character stands before a wildcard or itself
+        escape = str(node.escapeChar())
+        return re.fullmatch(rf"(?:[^{re.escape(escape)}]|{re.escape(escape)}[_%{re.escape(escape)}])*", text, re.DOTALL) is not None
+    try:
+        SparkSession.active()._jvm.java.util.regex.Pattern.compile(text)
+    except (IllegalArgumentException, Py4JJavaError):
+        return False
+    return True
+
+
+@lru_cache(maxsize=100_000)
 def check_condition(spark: SparkSession, condition: str, event_schema: str) -> str:
-    """``accepted``, or why the condition cannot be used. Nothing is executed."""
+    """``accepted``, or why the condition cannot be used. Nothing is executed; a text is judged once in a session."""
     empty = spark.createDataFrame([], event_schema)
     try:
         analysed = empty.select(F.expr(condition).alias("holds"))

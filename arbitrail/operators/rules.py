@@ -13,7 +13,7 @@ from arbitrail.functions import text
 from arbitrail.operators import clauses as K
 from arbitrail.operators import predicates as P
 from arbitrail.operators.bitmaps import Layout, layout, slot_needs
-from arbitrail.session import shared_dir
+from arbitrail.session import remove_folder, shared_dir
 
 # A snapshot up to these sizes travels inside the plan; a larger one is joined (see evaluate.py).
 INLINE_RULES = 1000
@@ -42,7 +42,7 @@ def current_rules(changes: DataFrame) -> DataFrame:
     named = with_rule_id(changes)
     payload = F.struct(*[F.col(c) for c in named.columns if c != "rule_id"])
     latest = named.groupBy("rule_id").agg(F.max_by(payload, F.struct("updated_at", "seq")).alias("last"))
-    return latest.select("rule_id", "last.*").where(F.col("op") != "delete")
+    return latest.select("rule_id", "last.*").where(~F.col("op").eqNullSafe("delete"))
 
 
 def rules_as_of(changes: DataFrame, moment: Column) -> DataFrame:
@@ -62,11 +62,11 @@ def search(rules: DataFrame, term: str = "", status: str = "all") -> DataFrame:
 
 
 def lookup(rules: DataFrame, rule_id: str) -> DataFrame:
-    """One rule; a missing id is an error."""
-    found = rules.where(F.col("rule_id") == rule_id)
-    if found.isEmpty():
-        raise LookupError(f"Rule not found: {rule_id}")
-    return found
+    """One rule; a missing id is an error when the result is read. The table is evaluated once."""
+    found = rules.where(F.col("rule_id") == rule_id).withColumn("__found", F.lit(True))
+    asked = rules.sparkSession.range(1).select(F.lit(rule_id).alias("rule_id"))
+    here = asked.join(found, "rule_id", "left").where(F.col("__found") | F.raise_error(F.lit(f"Rule not found: {rule_id}")).cast("boolean"))
+    return here.select(*rules.columns)
 
 
 def counts(rules: DataFrame) -> DataFrame:
@@ -119,6 +119,12 @@ class Snapshot:
     count: int
     passes: list = field(default_factory=list)
     load_errors: list[tuple] = field(default_factory=list)
+    folder: str | None = None  # of the stored rules, if the plan reads them
+
+    def release(self) -> None:
+        """Removes the stored rules; the snapshot can't be evaluated afterwards."""
+        if self.folder:
+            remove_folder(self.spark, self.folder)
 
 
 def take_snapshot(
@@ -129,9 +135,13 @@ def take_snapshot(
     rules_per_pack: int = RULES_PER_PACK,
     broadcast_bytes: int = BROADCAST_BYTES,
 ) -> Snapshot:
-    """Reads the active rules once; the result does not change when the table does."""
+    """Reads the active rules once; the result does not change when the table does.
+
+    All clauses are coded and judged first, by one expression, so the plans that sizes lead to agree. A null id is a blank one.
+    """
     spark = rules.sparkSession
-    active = rules.where("active").select("rule_id", "expression", "clauses", "predicate")
+    coded = F.transform("clauses", lambda c, i: K.clause_code(c, i + 1))
+    active = rules.where("active").select(F.coalesce("rule_id", F.lit("")).alias("rule_id"), "expression", coded.alias("clauses"), "predicate")
     head = active.limit(inline_rules + 1).collect()
     bits = {(i, *c) for r in head for i, c in enumerate(r["clauses"] or ())}
     paths = {(c["path"], c["item"]) for r in head for c in (r["clauses"] or ())}
@@ -141,21 +151,24 @@ def take_snapshot(
         return snap
 
     folder = shared_dir(spark, "rules")
-    active.write.parquet(folder)
+    active.withColumn("row_no", F.monotonically_increasing_id()).write.parquet(folder)
     kept = spark.read.parquet(folder)
     plain = kept.where("predicate is null")
     n, size = plain.agg(F.count("*"), F.sum(F.length(F.to_json(F.struct("rule_id", "expression", "clauses"))))).first()
-    snap = Snapshot(spark, n)
+    snap = Snapshot(spark, n, folder=folder)
     if n:
         n_packs = -(-n // rules_per_pack)
         snap.passes.append(PackPass(_packs(plain, n_packs), n_packs, (size or 0) <= broadcast_bytes))
-    last = ""
-    while True:  # conditions are compiled, so they come in bounded portions, one pass each
-        portion = kept.where(F.col("predicate").isNotNull() & (F.col("rule_id") > last)).orderBy("rule_id").limit(inline_rules).collect()
+    last = -1
+    while True:  # conditions are compiled, so they come in bounded portions, one pass each; the row number is unique
+        portion = kept.where(F.col("predicate").isNotNull() & (F.col("row_no") > last)).orderBy("row_no").limit(inline_rules).collect()
         if not portion:
-            return snap
-        last = portion[-1]["rule_id"]
+            break
+        last = portion[-1]["row_no"]
         _add_inline(snap, portion, event_schema)
+    if not snap.passes:
+        _add_inline(snap, [], event_schema)
+    return snap
 
 
 def _add_inline(snap: Snapshot, rows: list, event_schema: str | None) -> None:
@@ -168,23 +181,16 @@ def _add_inline(snap: Snapshot, rows: list, event_schema: str | None) -> None:
             if verdict == P.UNPARSEABLE:
                 snap.load_errors.append((r["rule_id"], verdict))
                 continue
-            clause_rows = [{"op": "predicate" if verdict == P.ACCEPTED else "refused"}]
-            slot_of = [len(predicates)]
+            family = K.PREDICATE if verdict == P.ACCEPTED else K.REFUSED
+            clause_rows = [{**_NO_LITERAL, "no": 1, "family": family, "slot": len(predicates)}]
             if verdict == P.ACCEPTED:
                 predicates.append(r["predicate"])
         else:
-            clause_rows = [c.asDict() for c in (r["clauses"] or ())]
-            slot_of = []
-            for c in clause_rows:
-                key = (c["path"], c["item"]) if c["path"] is not None else None
-                slot_of.append(-1 if key is None else slots.setdefault(key, len(slots)))
-        coded.append(
-            {
-                "rule_id": r["rule_id"],
-                "expression": r["expression"],
-                "clauses": [_code(c, i + 1, s) for i, (c, s) in enumerate(zip(clause_rows, slot_of))],
-            }
-        )
+            clause_rows = []
+            for c in r["clauses"] or ():
+                slot = -1 if c["family"] == K.UNSUPPORTED else slots.setdefault((c["path"], c["item"]), len(slots))
+                clause_rows.append({**c.asDict(), "slot": slot})
+        coded.append({"rule_id": r["rule_id"], "expression": r["expression"], "clauses": clause_rows})
     snap.count += len(coded)
     if coded or not snap.passes:
         needs: dict[int, set[str]] = {}
@@ -194,32 +200,7 @@ def _add_inline(snap: Snapshot, rows: list, event_schema: str | None) -> None:
         snap.passes.append(InlinePass(layout(coded), ordered, predicates, event_schema))
 
 
-def _code(c: dict, number: int, slot: int) -> dict:
-    """Same coding as ``clauses.clause_code``, for rows already on the driver."""
-    op, kind = c["op"], c.get("lit_kind")
-    is_any = op.startswith(K.ANY_PREFIX)
-    accepted = K.ACCEPTED.get(op.removeprefix(K.ANY_PREFIX))
-    if op == "not_null":
-        family = K.NOT_NULL
-    elif op == "starts_with" and kind == "text":
-        family = K.STARTS_WITH
-    elif op in ("predicate", "refused"):
-        family = K.PREDICATE if op == "predicate" else K.REFUSED
-    elif accepted is None or kind is None or (is_any and c.get("item") is None):
-        family = K.UNSUPPORTED
-    else:
-        family = K.ANY_ITEM if is_any else K.COMPARE
-    return {
-        "no": number,
-        "slot": slot,
-        "family": family,
-        "accepted": accepted or 0,
-        "lit_kind": {"num": C.INTEGER, "bool": C.BOOL}.get(kind, C.TEXT),
-        "lit_int": c.get("lit_int"),
-        "lit_num": c.get("lit_num"),
-        "lit_str": c.get("lit_str"),
-        "path": c.get("path"),
-    }
+_NO_LITERAL = {"accepted": 0, "lit_kind": C.TEXT, "lit_int": None, "lit_num": None, "lit_str": None, "path": None, "item": None}
 
 
 def _packs(rules: DataFrame, n_packs: int) -> DataFrame:
@@ -230,32 +211,30 @@ def _packs(rules: DataFrame, n_packs: int) -> DataFrame:
         .groupBy("pack_no")
         .agg(F.collect_list(F.struct("rule_id", "expression", "clauses")).alias("members"))
     )
-    slots = F.array_distinct(F.flatten(F.transform("members", lambda m: F.transform(m["clauses"], key))))
+    reading = lambda cs: F.filter(cs, lambda c: c["family"] != K.UNSUPPORTED)
+    slots = F.array_distinct(F.flatten(F.transform("members", lambda m: F.transform(reading(m["clauses"]), key))))
 
     def coded(m, slots_col):
-        return F.struct(
-            m["rule_id"].alias("rule_id"),
-            m["expression"].alias("expression"),
-            F.transform(
-                m["clauses"],
-                lambda c, i: K.clause_code(c, i + 1, (F.array_position(slots_col, key(c)) - 1)),
-            ).alias("clauses"),
-        )
+        slot = lambda c: F.array_position(slots_col, key(c)) - 1
+        placed = F.transform(m["clauses"], lambda c: F.struct(*[c[n].alias(n) for n in K.CODED], slot(c).cast("int").alias("slot")))
+        return F.struct(m["rule_id"].alias("rule_id"), m["expression"].alias("expression"), placed.alias("clauses"))
 
     return grouped.withColumn("slots", slots).select(
         "pack_no", "slots", F.transform("members", lambda m: coded(m, F.col("slots"))).alias("rules")
     )
 
 
-def load_errors(rules: DataFrame, event_schema: str) -> DataFrame:
-    """Verdict on each active condition: accepted, refused, not_boolean or unparseable (skipped)."""
+def load_errors(rules: DataFrame, event_schema: str | None = None) -> DataFrame:
+    """(rule_id, verdict) of each active rule with a condition or with clauses that can't be evaluated.
+
+    accepted, refused, not_boolean or unparseable for a condition (an unparseable one is skipped), bad_clause for a rule some of
+    whose clauses always give an error. Conditions are judged once for each distinct text.
+    """
     spark = rules.sparkSession
-    rows, last = [], ""
-    conditions = rules.where(F.col("active") & F.col("predicate").isNotNull()).select("rule_id", "predicate")
-    while True:
-        portion = conditions.where(F.col("rule_id") > last).orderBy("rule_id").limit(INLINE_RULES).collect()
-        if not portion:
-            break
-        last = portion[-1]["rule_id"]
-        rows += [(r["rule_id"], P.check_condition(spark, r["predicate"], event_schema)) for r in portion]
-    return spark.createDataFrame(rows, "rule_id string, verdict string")
+    active = rules.where("active")
+    broken = F.exists("clauses", lambda c: K.clause_code(c, F.lit(1))["family"] == K.UNSUPPORTED)
+    bad = active.where(F.col("predicate").isNull() & F.coalesce(broken, F.lit(False))).select("rule_id", F.lit("bad_clause").alias("verdict"))
+    conditions = active.where(F.col("predicate").isNotNull()).select("rule_id", "predicate")
+    judged = [(r["predicate"], P.check_condition(spark, r["predicate"], event_schema) if event_schema else P.REFUSED) for r in conditions.select("predicate").distinct().toLocalIterator()]
+    verdicts = spark.createDataFrame(judged, "predicate string, verdict string")
+    return conditions.join(verdicts, "predicate").select("rule_id", "verdict").unionByName(bad)

@@ -117,10 +117,33 @@ def q_sql_rules(spark, sf):
 
 @query
 def q_rule_guard(spark, sf):
-    rules = X.click_conditions(spark)
+    """Verdict on each rule, and how many audits it gives: bad rules are errors of their own and harm no other."""
+    rules = X.guarded_rules(spark)
     verdicts = R.load_errors(rules, X.CLICK_SCHEMA)
-    counts = E.evaluate(X.click_events(spark, sf), R.take_snapshot(rules, X.CLICK_SCHEMA)).groupBy("rule_id").agg(F.count("*").alias("audits"))
-    return verdicts.join(counts, "rule_id", "left").select("rule_id", "verdict", F.coalesce("audits", F.lit(0)).alias("audits"))
+    outcomes = E.evaluate(X.click_events(spark, sf), R.take_snapshot(rules, X.CLICK_SCHEMA))
+    counts = outcomes.groupBy("rule_id").agg(F.count("*").alias("audits"), F.count_if(F.col("audit_type") == "ERRORED").alias("errors"))
+    zero = F.lit(0)
+    return verdicts.join(counts, "rule_id", "left").select("rule_id", "verdict", F.coalesce("audits", zero).alias("audits"), F.coalesce("errors", zero).alias("errors"))
+
+
+@query
+def q_plans_agree(spark, sf):
+    """Good and bad clause rules, some without an id, by the plan for few rules and by that for many."""
+    rules = X.guarded_rules(spark).where("predicate is null").unionByName(X.click_rules(spark))
+    rules = rules.withColumn("rule_id", F.when(F.col("rule_id") == "c3", F.lit("")).when(F.col("rule_id") != "c5", F.col("rule_id")))
+    events = X.click_events(spark, sf)
+    plans = {"few": R.take_snapshot(rules), "many": R.take_snapshot(rules, inline_rules=3, rules_per_pack=4)}
+    found = [E.evaluate(events, s).groupBy("rule_id", "audit_type", "failed_clause_no").agg(F.count("*").alias("audits")).withColumn("plan", F.lit(p)) for p, s in plans.items()]
+    return found[0].unionByName(found[1])
+
+
+@query
+def q_conditions_in_portions(spark, sf):
+    """Conditions beyond the size of one pass, two of them with a blank and a null id."""
+    rules = X.click_conditions(spark)
+    rules = rules.withColumn("rule_id", F.when(F.col("rule_id") == "s1", F.lit("")).when(F.col("rule_id") != "s2", F.col("rule_id")))
+    outcomes = E.evaluate(X.click_events(spark, sf), R.take_snapshot(rules, X.CLICK_SCHEMA, inline_rules=2))
+    return outcomes.groupBy("rule_id", "audit_type").agg(F.count("*").alias("audits"))
 
 
 @query
@@ -132,12 +155,18 @@ def q_unmatched_reason(spark, sf):
 def q_event_verdict(spark, sf):
     events = X.click_events(spark, sf)
     rules = X.click_rules(spark).where("rule_id in ('c1', 'c2', 'c3', 'c7')")
-    return E.event_verdicts(events, E.evaluate(events, R.take_snapshot(rules)))
+    return E.event_verdicts(events, R.take_snapshot(rules))
+
+
+@query
+def q_event_no_results(spark, sf):
+    """Without active rules an event has no results; its verdict is unmatched, or errored if it can't be read."""
+    return E.event_verdicts(X.click_events(spark, sf), R.take_snapshot(X.click_rules(spark).where("false")))
 
 
 @query
 def q_event_summary(spark, sf):
-    summary = E.event_summary(click_outcomes(spark, sf, reasons=True))
+    summary = E.event_summary(X.click_events(spark, sf), R.take_snapshot(X.click_rules(spark)))
     return summary.select(
         *EVENT,
         F.array_join("matched_rule_ids", ",").alias("matched_rules"),
@@ -219,14 +248,14 @@ def q_audit_json(spark, sf):
 def q_events_any_match(spark, sf):
     events = X.click_events(spark, sf)
     rules = X.click_rules(spark).where("rule_id in ('c1', 'c2')")
-    return A.events_with_match(events, E.evaluate(events, R.take_snapshot(rules))).select(*EVENT)
+    return E.events_with_match(events, R.take_snapshot(rules)).select(*EVENT)
 
 
 @query
 def q_events_no_match(spark, sf):
     events = X.click_events(spark, sf)
     rules = X.click_rules(spark).where("rule_id in ('c1', 'c2')")
-    return A.events_without_match(events, E.evaluate(events, R.take_snapshot(rules))).select(*EVENT)
+    return E.events_without_match(events, R.take_snapshot(rules)).select(*EVENT)
 
 
 @query

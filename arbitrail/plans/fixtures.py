@@ -119,6 +119,24 @@ def click_conditions(spark: SparkSession) -> DataFrame:
     )
 
 
+def guarded_rules(spark: SparkSession) -> DataFrame:
+    """The conditions above, more that must not end a job, and clauses that can't be evaluated."""
+    more = [
+        rule("t1", "Distance", predicate="abs(amount - 100D) > 50D"),
+        rule("t2", "Overflows on the smallest number", predicate="abs(user_id) > 5"),
+        rule("t3", "Pattern that doesn't compile", predicate="type RLIKE '('"),
+        rule("t4", "Escape at the end", predicate="type LIKE 'x\\\\'"),
+        rule("t5", "Pattern from the data", predicate="type RLIKE type"),
+        rule("t6", "Wildcards", predicate="type LIKE 'pur%'"),
+        rule("u1", "Empty name in the path", [clause("gt", "metadata..priority", 1)]),
+        rule("u2", "Empty path", [clause("eq", "", "x")]),
+        rule("u3", "No path", [clause("gt", None, 1)]),
+        rule("u4", "List without item", [clause("any_gt", "items", 1)]),
+        rule("u5", "No literal", [clause("gt", "amount", None)]),
+    ]
+    return click_conditions(spark).unionByName(rule_frame(spark, more))
+
+
 # --- order events ----------------------------------------------------------------------------------
 
 

@@ -245,9 +245,19 @@ def oracles() -> dict[str, str]:
           SELECT rule_id, CASE left(st, 1) WHEN 'M' THEN 'MATCHED' WHEN 'U' THEN 'UNMATCHED' ELSE 'ERRORED' END AS audit_type,
             CASE WHEN length(st) = 2 THEN CAST(right(st, 1) AS INTEGER) END AS failed_clause_no, count(*) AS audits FROM st GROUP BY ALL""",
         "q_sql_rules": f"WITH {EV} st AS ({sql_rules}) SELECT rule_id, audit_type, count(*) AS audits FROM st GROUP BY ALL",
-        "q_rule_guard": f"""WITH {EV} x AS (SELECT 1) SELECT rule_id, verdict, CASE WHEN verdict = 'unparseable' THEN 0 ELSE {good} END AS audits FROM (VALUES
+        "q_rule_guard": f"""WITH {EV} x AS (SELECT 1) SELECT rule_id, verdict, CASE WHEN verdict = 'unparseable' THEN 0 ELSE {good} END AS audits,
+          CASE WHEN verdict IN ('refused', 'not_boolean', 'bad_clause') THEN {good} ELSE 0 END AS errors FROM (VALUES
           ('s1', 'accepted'), ('s2', 'accepted'), ('s3', 'accepted'), ('s4', 'accepted'), ('s5', 'accepted'), ('s6', 'refused'),
-          ('s7', 'not_boolean'), ('s8', 'unparseable'), ('s9', 'refused')) AS v(rule_id, verdict)""",
+          ('s7', 'not_boolean'), ('s8', 'unparseable'), ('s9', 'refused'), ('t1', 'accepted'), ('t2', 'refused'), ('t3', 'refused'),
+          ('t4', 'refused'), ('t5', 'refused'), ('t6', 'accepted'), ('u1', 'bad_clause'), ('u2', 'bad_clause'), ('u3', 'bad_clause'),
+          ('u4', 'bad_clause'), ('u5', 'bad_clause')) AS v(rule_id, verdict)""",
+        "q_plans_agree": f"""{WITH}, named AS (SELECT CASE rule_id WHEN 'c3' THEN '' WHEN 'c5' THEN '' ELSE rule_id END AS rule_id, audit_type, failed_clause_no FROM audits),
+          bad AS (SELECT rule_id, 'ERRORED' AS audit_type, 1 AS failed_clause_no FROM raw, (VALUES ('u1'), ('u2'), ('u3'), ('u4'), ('u5')) AS u(rule_id) WHERE NOT bad),
+          counted AS (SELECT rule_id, audit_type, failed_clause_no, count(*) AS audits FROM (SELECT * FROM named UNION ALL SELECT * FROM bad) GROUP BY ALL)
+          SELECT counted.*, plan FROM counted CROSS JOIN (VALUES ('few'), ('many')) AS p(plan)""",
+        "q_conditions_in_portions": f"""WITH {EV} st AS ({sql_rules}) SELECT CASE WHEN rule_id IN ('s1', 's2') THEN '' ELSE rule_id END AS rule_id, audit_type, count(*) AS audits
+          FROM st GROUP BY ALL""",
+        "q_event_no_results": f"""WITH {EV} x AS (SELECT 1) SELECT {EVENT}, CASE WHEN bad THEN 'ERRORED' ELSE 'UNMATCHED' END AS verdict FROM raw""",
         "q_unmatched_reason": f"{WITH} SELECT {EVENT}, rule_id, {REASON} AS reason FROM audits WHERE audit_type <> 'ERRORED'",
         "q_event_verdict": f"{WITH} {_verdict(FOUR)}",
         "q_event_summary": f"""{WITH} SELECT {EVENT},

@@ -13,7 +13,10 @@ from arbitrail.operators.clauses import clause, rule
 from arbitrail.operators.evaluate import evaluate, event_summary, event_verdicts
 from arbitrail.operators.matching import match_pairs
 from arbitrail.operators.rules import PackPass, rule_frame, take_snapshot
+from arbitrail.plans import fixtures as X
 from arbitrail.rulesets.seed import seed_rules
+from arbitrail.schema import RAW_EVENTS
+from arbitrail.session import shared_dir
 
 OVER = rule("r1", "over", [clause("gt", "amount", 1000)])
 ODD = rule("r2", "odd", [clause("nonexistentMethod", "amount")])
@@ -40,16 +43,31 @@ def test_match_no_match_and_reasons(spark):
 
 
 def test_verdict_precedence_and_missing_results(spark):
-    source = events(spark, ['{"amount":5000}', '{"amount":10}', "{bad json", '{"amount":1}'])
-    found = evaluate(source, take_snapshot(rule_frame(spark, [OVER, ODD]))).where("offset < 3")
-    got = {r["offset"]: r["verdict"] for r in event_verdicts(source, found).collect()}
-    assert got == {0: "MATCHED", 1: "ERRORED", 2: "ERRORED", 3: "UNMATCHED"}
+    source = events(spark, ['{"amount":5000}', '{"amount":10}', "{bad json"])
+    verdicts = lambda rules, **sizes: {r["offset"]: r["verdict"] for r in event_verdicts(source, take_snapshot(rule_frame(spark, rules), **sizes)).collect()}
+    for sizes in ({}, {"inline_rules": 0}):
+        assert verdicts([OVER, ODD], **sizes) == {0: "MATCHED", 1: "ERRORED", 2: "ERRORED"}
+        assert verdicts([OVER], **sizes) == {0: "MATCHED", 1: "UNMATCHED", 2: "ERRORED"}
+        assert verdicts([{**OVER, "active": False}], **sizes) == {0: "UNMATCHED", 1: "UNMATCHED", 2: "ERRORED"}
+
+
+def test_verdicts_need_no_shuffle(spark, sf):
+    source = spark.read.schema(RAW_EVENTS).parquet(_stored_events(spark, sf))
+    plan = event_verdicts(source, take_snapshot(rule_frame(spark, [OVER, ODD])))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("FileScan") == 1 and "Generate" not in plan
+
+
+def _stored_events(spark, sf):
+    folder = shared_dir(spark, "events")
+    X.click_columns(X.table(spark, sf, "events")).write.parquet(f"{folder}/in")
+    return f"{folder}/in"
 
 
 def test_summary_lists_rules_and_errors(spark):
     source = events(spark, ['{"amount":5000}'])
-    row = event_summary(evaluate(source, take_snapshot(rule_frame(spark, [OVER, ODD])), reasons=True)).first()
-    assert (row["matched_rule_ids"], row["evaluated_rule_ids"], list(row["errors"])) == (["r1"], ["r1", "r2"], ["r2"])
+    for sizes in ({}, {"inline_rules": 0}):
+        row = event_summary(source, take_snapshot(rule_frame(spark, [OVER, ODD, ODD]), **sizes)).first()
+        assert (row["matched_rule_ids"], row["evaluated_rule_ids"], list(row["errors"])) == (["r1"], ["r1", "r2", "r2"], ["r2"])
 
 
 def test_no_active_rules_gives_one_row_per_event(spark):
