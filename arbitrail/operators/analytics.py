@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arbitrail.functions.text import hour_key
@@ -36,12 +36,16 @@ def sort_rules(stats: DataFrame, key: str = "matched", descending: bool = True)
 
 
 def page_of_rules(stats: DataFrame, page: int, key: str = "matched", descending: bool = True, size: int = PAGE_SIZE) -> DataFrame:
-    """One page of the sorted rules; the page number is kept within 1 and the last page."""
-    last = max(1, -(-stats.count() // size))
-    page = min(max(page, 1), last)
-    return sort_rules(stats, key, descending).offset((page - 1) * size).limit(size).withColumns(
-        {"page": F.lit(page), "pages": F.lit(last)}
-    )
+    """One page of the sorted rules; the page number is kept within 1 and the last page.
+
+    Places and the number of pages come from one window over the statistics, a row for each rule.
+    """
+    value = F.col("matched") + F.col("unmatched") if key == "total" else F.col(key)
+    everything = Window.partitionBy(F.lit(0))
+    place = F.row_number().over(everything.orderBy(value.desc() if descending else value.asc(), "rule_id"))
+    numbered = stats.withColumns({"__place": place, "pages": F.greatest(F.lit(1), F.ceil(F.count("*").over(everything) / size)).cast("int")})
+    shown = F.least(F.greatest(F.lit(page), F.lit(1)), F.col("pages"))
+    return numbered.withColumn("page", shown).where(F.ceil(F.col("__place") / size) == F.col("page")).orderBy("__place").drop("__place")
 
 
 def time_series(rule_rollups: DataFrame) -> DataFrame:
@@ -60,6 +64,15 @@ def total_evaluations(rule_rollups: DataFrame) -> DataFrame:
     return rule_rollups.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("total_evaluations"))
 
 
+def evaluations_of_presets(rule_rollups: DataFrame, as_of: Column, presets: tuple[int, ...] = (1, 6, 24)) -> DataFrame:
+    """(hours, total_evaluations) of each preset, from one pass over the rollups."""
+    start = lambda h: hour_key(as_of - F.make_dt_interval(hours=F.lit(h)))
+    sums = [F.coalesce(F.sum(F.when(F.col("hour") >= start(h), F.col("count"))), F.lit(0)).alias(f"h{h}") for h in presets]
+    one = rule_rollups.where(F.col("hour") <= hour_key(as_of)).agg(*sums)
+    pairs = F.array(*[F.struct(F.lit(h).alias("hours"), F.col(f"h{h}").alias("total_evaluations")) for h in presets])
+    return one.select(F.explode(pairs).alias("p")).select("p.total_evaluations", "p.hours")
+
+
 def total_messages(hour_rollups: DataFrame) -> DataFrame:
     """Sum of the hourly distinct counts."""
     return hour_rollups.agg(F.coalesce(F.sum("messages"), F.lit(0)).alias("total_messages"))

@@ -6,15 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arbitrail import schema as S
-from arbitrail.functions import text
+from arbitrail.functions import keys, text
 from arbitrail.operators import evaluate as E
+from arbitrail.operators.parse import as_raw_events
 from arbitrail.operators.rules import Snapshot
 
 
 def audits(raw: DataFrame, snapshot: Snapshot, reasons: bool = True, source: bool = True, routed: bool = True) -> DataFrame:
     """One audit per (event, active rule) with the columns of ``schema.AUDITS``.
 
-    ``timestamp`` is the event's own time, so a repeated run gives the same rows. Latencies are taken
+    ``timestamp`` is the event's own time, so a repeated run gives the same rows; an event without one has that of 1970. Latencies are taken
     from the input when it has them. With ``source`` or ``reasons`` off those columns stay null and
     ``full_audits`` puts them back: at 100 rules per event the texts would be stored 100 times.
     """
@@ -25,7 +26,7 @@ def audits(raw: DataFrame, snapshot: Snapshot, reasons: bool = True, source: boo
         given = F.col(name) if name in outcomes.columns else F.lit(None).cast("bigint")
         return F.when(F.col("code") == -1, F.lit(0)).otherwise(given).cast("bigint").alias(name)
 
-    extra = [c for c in ("processed_at", "rule_version") if c in outcomes.columns]
+    processed = F.col("processed_at") if "processed_at" in outcomes.columns else F.lit(None).cast("timestamp")
     return outcomes.select(
         "audit_id",
         "event_id",
@@ -39,27 +40,32 @@ def audits(raw: DataFrame, snapshot: Snapshot, reasons: bool = True, source: boo
         F.col("topic").alias("source_topic"),
         "partition",
         "offset",
-        F.col("ts").alias("timestamp"),
+        F.coalesce("ts", F.lit(0).cast("timestamp")).alias("timestamp"),
         nanos("parse_time_nano"),
         nanos("eval_time_nano"),
         nanos("total_time_nano"),
-        *extra,
+        F.col("code").cast("int").alias("code"),
+        F.lit(snapshot.version).cast("long").alias("rule_version"),
+        processed.alias("processed_at"),
     )
 
 
-def full_audits(stored: DataFrame, raw: DataFrame, snapshot: Snapshot) -> DataFrame:
-    """Narrow audits with reason and source event put back, from the events they came from.
+def full_audits(stored: DataFrame, raw: DataFrame, rules: DataFrame) -> DataFrame:
+    """Stored audits with the texts they lack: source event, reason, and routed event of matches.
 
-    The texts are recomputed from the events and joined on the audit id, which is unique on both sides,
-    so no key is hot.
+    rules: (rule_version, rule_id, expression, paths), the texts of every version that judged (``Snapshot.texts``,
+    ``AuditStore.rule_texts``). Each event's text is joined once, by event id; the reason follows from the stored outcome code
+    and the rule as it was then, so nothing is evaluated again.
     """
-    texts = E.evaluate(raw, snapshot, reasons=True, source=True, ids=True).select(
-        "audit_id", F.col("reason").alias("full_reason"), F.col("value").alias("full_source")
-    )
-    joined = stored.join(texts, "audit_id", "left")
-    return joined.withColumns(
-        {"reason": F.coalesce("reason", "full_reason"), "source_event": F.coalesce("source_event", "full_source")}
-    ).select(*stored.columns)
+    events = as_raw_events(raw)
+    events = events.select(keys.event_id(F.col("topic"), F.col("partition"), F.col("offset")).alias("event_id"), F.col("value").alias("found_value"))
+    found = stored.join(events.dropDuplicates(["event_id"]), "event_id", "left").join(rules.dropDuplicates(["rule_version", "rule_id"]), ["rule_version", "rule_id"], "left")
+    source = F.coalesce("source_event", "found_value")
+    code, root = F.col("code"), F.try_parse_json(source)
+    reason = E.reason_text(code, F.col("expression"), F.map_entries(F.from_json(source, "map<string,string>")), F.col("paths"))
+    escaped = F.regexp_extract(F.to_json(F.struct(F.col("rule_id").alias("i"))), '^.{6}(.*)"}$', 1)
+    routed = F.when(code == 0, F.concat(E.routed_head(root), escaped, E.routed_tail(root)))
+    return found.withColumns({"reason": F.coalesce("reason", reason), "source_event": source, "routed_event": F.coalesce("routed_event", routed)}).select(*stored.columns)
 
 
 def routed_events(audit_rows: DataFrame) -> DataFrame:

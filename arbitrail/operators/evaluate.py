@@ -70,19 +70,13 @@ def evaluate(
 
 
 def _run_pass(parsed, step, first, none, reasons, routed, source, matched_only) -> DataFrame:
-    carried = _CARRIED + [c for c in (*_TIMES, "processed_at", "rule_version", "event_key", "event_id") if c in parsed.columns] + (["value"] if source else [])
+    carried = _CARRIED + [c for c in (*_TIMES, "processed_at", "event_key", "event_id") if c in parsed.columns] + (["value"] if source else [])
     if routed:  # the event's share of its routed texts, once per event
         parsed = parsed.withColumns({"routed_head": routed_head(F.col("root")), "routed_tail": routed_tail(F.col("root"))})
     pairs = (_inline_pairs if isinstance(step, InlinePass) else _pack_pairs)(parsed, step, first, none, matched_only)
     texts = {}
     if reasons:
-        texts["reason"] = (
-            F.when(F.col("code") == K.CODE_PARSE, F.lit(PARSE_REASON))
-            .when(F.col("code") == K.CODE_NO_RULES, F.lit(NO_RULES_REASON))
-            .when(F.col("code") == 0, F.lit(None).cast("string"))
-            .when(F.col("code") % K.CODE_BASE == K.FALSE, unmatched_reason(F.col("expression"), F.col("fields")))
-            .otherwise(K.error_text(F.col("code"), F.col("paths")))
-        )
+        texts["reason"] = reason_text(F.col("code"), F.col("expression"), F.col("fields"), F.col("paths"))
     if routed:
         texts["routed_event"] = F.when(F.col("code") == 0, F.concat("routed_head", "rule_json", "routed_tail"))
     kinds = {"audit_type": K.audit_type_of(F.col("code")), "failed_clause_no": K.failed_clause_of(F.col("code"))}
@@ -157,6 +151,17 @@ def _pack_pairs(parsed: DataFrame, step: PackPass, first: bool, none: bool, matc
     return exploded.where("r is not null").select(*parsed.columns, "fields", "r.*")
 
 
+def reason_text(code: Column, expression: Column, fields: Column, paths: Column) -> Column:
+    """The reason of an outcome code; a match has none."""
+    return (
+        F.when(code == K.CODE_PARSE, F.lit(PARSE_REASON))
+        .when(code == K.CODE_NO_RULES, F.lit(NO_RULES_REASON))
+        .when(code == 0, F.lit(None).cast("string"))
+        .when(code % K.CODE_BASE == K.FALSE, unmatched_reason(expression, fields))
+        .otherwise(K.error_text(code, paths))
+    )
+
+
 def unmatched_reason(expression: Column, fields: Column) -> Column:
     """The condition plus ``key=value`` for each top-level field whose name occurs in it."""
     named = F.filter(fields, lambda e: F.contains(expression, e["key"]))

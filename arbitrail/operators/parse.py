@@ -9,6 +9,8 @@ from arbitrail.schema import PARSE_REASON, UNKNOWN_TOPIC, UNKNOWN_TYPE
 from arbitrail.session import prepare
 
 _BLANK = " \t\r\n"
+#: A source of less than this for each task is too small for its own splits.
+SPLIT_BYTES = 4 << 20
 
 
 def as_raw_events(df: DataFrame) -> DataFrame:
@@ -28,12 +30,13 @@ def as_raw_events(df: DataFrame) -> DataFrame:
 
 
 def spread(events: DataFrame) -> DataFrame:
-    """Events by time range over the shuffle partitions, before the fan-out multiplies them.
+    """Events over enough tasks for the fan-out: a source smaller than one split for each task is dealt out anew.
 
-    Small files read as one partition; ranging also keeps each task's hours, and so its output files, few.
+    A larger one keeps its splits, so nothing is shuffled before the fan-out. The size is the optimiser's estimate.
     """
     n = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return events.repartitionByRange(n, "ts", "partition", "offset")
+    size = int(str(events._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return events if size >= n * SPLIT_BYTES else events.repartition(n)
 
 
 def parse_events(raw: DataFrame) -> DataFrame:

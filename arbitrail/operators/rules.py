@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import xor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,11 +64,11 @@ def search(rules: DataFrame, term: str = "", status: str = "all") -> DataFrame:
 
 
 def lookup(rules: DataFrame, rule_id: str) -> DataFrame:
-    """One rule; a missing id is an error when the result is read. The table is evaluated once."""
-    found = rules.where(F.col("rule_id") == rule_id).withColumn("__found", F.lit(True))
-    asked = rules.sparkSession.range(1).select(F.lit(rule_id).alias("rule_id"))
-    here = asked.join(found, "rule_id", "left").where(F.col("__found") | F.raise_error(F.lit(f"Rule not found: {rule_id}")).cast("boolean"))
-    return here.select(*rules.columns)
+    """One rule; a missing id is an error. The table is evaluated once; its one row is what comes back."""
+    found = rules.where(F.col("rule_id") == rule_id).limit(1).collect()
+    if not found:
+        raise LookupError(f"Rule not found: {rule_id}")
+    return rules.sparkSession.createDataFrame(found, rules.schema)
 
 
 def counts(rules: DataFrame) -> DataFrame:
@@ -120,6 +122,8 @@ class Snapshot:
     passes: list = field(default_factory=list)
     load_errors: list[tuple] = field(default_factory=list)
     folder: str | None = None  # of the stored rules, if the plan reads them
+    version: int = 0  # of the active rules' content, the same in every run
+    texts: DataFrame | None = None  # (rule_version, rule_id, expression, paths) of the active rules
 
     def release(self) -> None:
         """Removes the stored rules; the snapshot can't be evaluated afterwards."""
@@ -142,11 +146,13 @@ def take_snapshot(
     spark = rules.sparkSession
     coded = F.transform("clauses", lambda c, i: K.clause_code(c, i + 1))
     active = rules.where("active").select(F.coalesce("rule_id", F.lit("")).alias("rule_id"), "expression", coded.alias("clauses"), "predicate")
+    active = active.withColumn("mark", F.xxhash64("rule_id", "expression", F.to_json(F.struct("clauses")), "predicate"))
     head = active.limit(inline_rules + 1).collect()
     bits = {(i, *c) for r in head for i, c in enumerate(r["clauses"] or ())}
     paths = {(c["path"], c["item"]) for r in head for c in (r["clauses"] or ())}
     if len(head) <= inline_rules and len(bits) <= INLINE_BITS and len(paths) <= inline_paths:
-        snap = Snapshot(spark, 0)
+        snap = Snapshot(spark, 0, version=reduce(xor, (r["mark"] for r in head), 0))
+        snap.texts = _texts(spark.createDataFrame(head, active.schema), snap.version)
         _add_inline(snap, sorted(head, key=lambda r: r["rule_id"]), event_schema)
         return snap
 
@@ -155,7 +161,8 @@ def take_snapshot(
     kept = spark.read.parquet(folder)
     plain = kept.where("predicate is null")
     n, size = plain.agg(F.count("*"), F.sum(F.length(F.to_json(F.struct("rule_id", "expression", "clauses"))))).first()
-    snap = Snapshot(spark, n, folder=folder)
+    snap = Snapshot(spark, n, folder=folder, version=kept.agg(F.bit_xor("mark")).first()[0] or 0)
+    snap.texts = _texts(kept, snap.version)
     if n:
         n_packs = -(-n // rules_per_pack)
         snap.passes.append(PackPass(_packs(plain, n_packs), n_packs, (size or 0) <= broadcast_bytes))
@@ -171,6 +178,11 @@ def take_snapshot(
     return snap
 
 
+def _texts(rules: DataFrame, version: int) -> DataFrame:
+    paths = F.transform("clauses", lambda c: F.coalesce(c["path"], F.lit("")))
+    return rules.select(F.lit(version).cast("long").alias("rule_version"), "rule_id", "expression", F.coalesce(paths, F.array().cast("array<string>")).alias("paths"))
+
+
 def _add_inline(snap: Snapshot, rows: list, event_schema: str | None) -> None:
     slots: dict[tuple, int] = {}
     predicates: list[str] = []

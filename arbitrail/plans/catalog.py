@@ -276,10 +276,20 @@ def q_audit_sample(spark, sf):
 
 @query
 def q_audit_full(spark, sf):
-    """Narrow audits with reason and source text put back from the events."""
-    events, snapshot = X.click_events(spark, sf), R.take_snapshot(X.click_rules(spark))
-    narrow = A.audits(events, snapshot, reasons=False, source=False, routed=False)
-    return A.full_audits(narrow, events, snapshot).where("audit_type <> 'ERRORED'").select("audit_id", "reason", "source_event")
+    """Narrow audits of a store whose rules have changed meanwhile, with their texts put back as they were judged."""
+    full = A.full_audits(*_narrow_store(spark, sf))
+    routed = F.get_json_object("routed_event", "$.type")
+    return full.where("audit_type <> 'ERRORED'").select("audit_id", "audit_type", "reason", "source_event", routed.alias("routed_type"))
+
+
+def _narrow_store(spark, sf):
+    store, events = AuditStore(spark, shared_dir(spark, "store")), X.click_columns(X.table(spark, sf, "events"))
+    runs = [(1, events, X.click_rules(spark)), (2, events.where(F.col("ts") >= at("2024-01-15 00:00:00")), changed_rules(spark))]
+    for run_seq, rows, rules in runs:
+        snapshot = R.take_snapshot(rules)
+        store.write_rule_texts(snapshot.texts, snapshot.version)
+        store.write_batch(A.audits(rows, snapshot, reasons=False, source=False, routed=False), run_seq, 0)
+    return store.latest(), events, store.rule_texts()
 
 
 # --- rule table ----------------------------------------------------------------------------------------
@@ -411,6 +421,46 @@ def q_rollup_store(spark, sf):
     return store.hour_rollups()
 
 
+@query
+def q_rollup_store_rules(spark, sf):
+    """Rollups by rule of a store in which a second run has judged a part anew, taken before and after that run."""
+    store = AuditStore(spark, shared_dir(spark, "store"))
+    store.write_batch(click_audits(spark, sf), run_seq=1, batch_id=0)
+    store.refresh_rollups(at("2024-02-01 00:00:00"))
+    since = X.click_events(spark, sf).where(F.col("ts") >= at("2024-01-15 00:00:00"))
+    store.write_batch(A.audits(since, R.take_snapshot(changed_rules(spark)), reasons=False, source=False, routed=False), run_seq=2, batch_id=0)
+    store.refresh_rollups(at("2024-02-01 00:00:00"))
+    return store.rule_rollups().select("hour", "rule_id", "matched", "unmatched", "errored", "count")
+
+
+@query
+def q_rollup_late(spark, sf):
+    """Audits whose event time lies weeks before the trailing window reach the rollups with the next refresh."""
+    store, audits = AuditStore(spark, shared_dir(spark, "store")), click_audits(spark, sf)
+    late = F.col("timestamp") < at("2024-01-10 08:20:00")
+    for batch_id, rows in enumerate((audits.where(~late), audits.where(late))):
+        store.write_batch(rows, run_seq=1, batch_id=batch_id)
+        store.refresh_rollups(at("2024-01-31 00:00:00"))
+    return store.rule_rollups()
+
+
+@query
+def q_audit_compacted(spark, sf):
+    """The last verdicts after old versions of some days are dropped."""
+    store = _store_with_rerun(spark, sf)
+    store.compact(3, at("2024-01-10 00:00:00"), at("2024-01-20 12:00:00"))
+    return store.latest().select("audit_id", "rule_id", "audit_type")
+
+
+@query
+def q_store_two_streams(spark, sf):
+    """Two streams with the same run and batch numbers in one store."""
+    store, audits = AuditStore(spark, shared_dir(spark, "store")), click_audits(spark, sf)
+    for name, rows in (("a", audits.where("partition < 8")), ("b", audits.where("partition >= 8"))):
+        store.write_batch(rows, run_seq=1, batch_id=0, stream=name)
+    return store.latest().select("audit_id", "rule_id", "audit_type")
+
+
 # --- analytics -----------------------------------------------------------------------------------------
 
 
@@ -426,9 +476,17 @@ def q_time_series(spark, sf):
 
 @query
 def q_totals(spark, sf):
-    hours = N.in_range(rollup.hour_rollups(click_audits(spark, sf)), at(RANGE[0]), at(RANGE[1]))
-    rules = N.in_range(click_rollups(spark, sf), at(RANGE[0]), at(RANGE[1]))
-    return N.dashboard(rules, hours)[0].select("total_messages", "total_evaluations")
+    rules, hours = _both_rollups(spark, sf)
+    totals = N.dashboard(*[N.in_range(r, at(RANGE[0]), at(RANGE[1])) for r in (rules, hours)])[0]
+    return totals.select("total_messages", "total_evaluations")
+
+
+def _both_rollups(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Rollups by rule and by hour as a dashboard finds them: stored, after one evaluation of the events."""
+    store = AuditStore(spark, shared_dir(spark, "store"))
+    store.write_batch(click_audits(spark, sf), run_seq=1, batch_id=0)
+    store.refresh_rollups(at("2024-02-01 00:00:00"))
+    return store.rule_rollups(), store.hour_rollups()
 
 
 @query
@@ -438,15 +496,12 @@ def q_latency(spark, sf):
 
 @query
 def q_dashboard(spark, sf):
-    hours = N.last_hours(rollup.hour_rollups(click_audits(spark, sf)), at(PRESET_AS_OF))
-    return N.dashboard(N.last_hours(click_rollups(spark, sf), at(PRESET_AS_OF)), hours)[0]
+    return N.dashboard(*[N.last_hours(r, at(PRESET_AS_OF)) for r in _both_rollups(spark, sf)])[0]
 
 
 @query
 def q_range_presets(spark, sf):
-    rollups = click_rollups(spark, sf)
-    parts = [N.total_evaluations(N.last_hours(rollups, at(PRESET_AS_OF), h)).withColumn("hours", F.lit(h)) for h in (1, 6, 24)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return N.evaluations_of_presets(click_rollups(spark, sf), at(PRESET_AS_OF))
 
 
 @query
@@ -504,28 +559,77 @@ def q_rule_page(spark, sf):
 # --- streaming -----------------------------------------------------------------------------------------
 
 
-@query
-def q_stream_audits(spark, sf):
+def _streamed_store(spark, sf) -> AuditStore:
     folder = shared_dir(spark, "stream")
     X.click_columns(X.table(spark, sf, "events")).select(*RAW_EVENTS.fieldNames()).repartition(6).write.parquet(f"{folder}/in")
     store = AuditStore(spark, f"{folder}/out")
     events = stream_events(spark, f"{folder}/in", files_per_batch=3)
     pipeline.start(events, store, lambda: X.click_rules(spark), f"{folder}/checkpoint").awaitTermination()
+    return store
+
+
+@query
+def q_stream_audits(spark, sf):
+    """Streamed audits as they are stored, texts and latencies included."""
+    rows = _streamed_store(spark, sf).latest()
+    reason = F.when(F.col("rule_id").isin("c1", "c2", "c3", "c5", "c6", "c9") & (F.col("audit_type") != "ERRORED"), F.col("reason"))
+    return rows.select("audit_id", "rule_id", "audit_type", reason.alias("reason"), "source_event", "total_time_nano")
+
+
+@query
+def q_stream_routed(spark, sf):
+    """Routed events and quarantined records of the same stream."""
+    store = _streamed_store(spark, sf)
+    routed = store.part("routed_events").select("event_id", "rule_id", F.get_json_object("routed_event", "$.type").alias("text"))
+    return routed.unionByName(store.part("quarantine").select(F.lit(None).cast("string").alias("event_id"), F.lit("quarantine").alias("rule_id"), F.col("value").alias("text")))
+
+
+@query
+def q_store_new_checkpoint(spark, sf):
+    """A store that goes on with a new checkpoint after the old one was lost: nothing earlier is overwritten."""
+    folder = shared_dir(spark, "stream")
+    rows = X.click_columns(X.table(spark, sf, "events"))
+    store = AuditStore(spark, f"{folder}/out")
+    for name, part in (("first", rows.where("partition < 12")), ("second", rows.where("partition >= 12"))):
+        part.select(*RAW_EVENTS.fieldNames()).write.parquet(f"{folder}/{name}")
+        pipeline.start(stream_events(spark, f"{folder}/{name}"), store, lambda: X.click_rules(spark), f"{folder}/checkpoint-{name}").awaitTermination()
     return store.latest().select("audit_id", "rule_id", "audit_type")
 
 
+def _audit_stream(spark, sf, copies: int) -> tuple[str, DataFrame]:
+    """Audits as a stream of small batches, newest first, each audit in ``copies`` of them."""
+    folder, audits = shared_dir(spark, "stream"), click_audits(spark, sf)
+    cuts = ["2024-01-24", "2024-01-16", "2024-01-08", "2023-01-01"]
+    for i, (low, high) in enumerate(zip(cuts, ["2025-01-01", *cuts])):
+        part = audits.where((F.col("timestamp") >= at(low)) & (F.col("timestamp") < at(high)))
+        for _ in range(copies):
+            part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    return folder, stream_events(spark, f"{folder}/in", AUDITS, files_per_batch=1)
+
+
 @query
 def q_stream_rollup(spark, sf):
-    folder = shared_dir(spark, "stream")
-    click_audits(spark, sf).write.parquet(f"{folder}/in")
-    stream = pipeline.stream_rollups(stream_events(spark, f"{folder}/in", AUDITS))
-    return pipeline.run_to_table(stream, f"{folder}/out", f"{folder}/checkpoint", keys=["hour", "rule_id"])
+    folder, audits = _audit_stream(spark, sf, copies=1)
+    pipeline.start_rollups(audits, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return pipeline.streamed_rollups(spark, f"{folder}/out")
 
 
 @query
 def q_stream_dedup(spark, sf):
+    folder, audits = _audit_stream(spark, sf, copies=2)
+    pipeline.start_dedup(audits, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.schema(AUDITS).parquet(f"{folder}/out").select("audit_id", "rule_id")
+
+
+@query
+def q_audit_messages(spark, sf):
+    """Audit messages streamed into a store, some cut off: what it holds, and how many it set aside."""
     folder = shared_dir(spark, "stream")
-    audits = click_audits(spark, sf)
-    audits.unionByName(audits).write.parquet(f"{folder}/in")
-    stream = pipeline.drop_repeats(stream_events(spark, f"{folder}/in", AUDITS)).select("audit_id", "rule_id")
-    return pipeline.run_to_table(stream, f"{folder}/out", f"{folder}/checkpoint")
+    messages = A.audit_json(click_audits(spark, sf))
+    offset = F.get_json_object("audit_json", "$.offset").cast("bigint")
+    cut = F.when(offset % 53 == 0, F.substring("audit_json", 1, 30)).otherwise(F.col("audit_json"))
+    messages.select(cut.alias("audit_json")).repartition(3).write.parquet(f"{folder}/in")
+    store = AuditStore(spark, f"{folder}/out")
+    pipeline.start_audit_messages(stream_events(spark, f"{folder}/in", "audit_json string", 1), store, f"{folder}/checkpoint").awaitTermination()
+    good = store.latest().groupBy("audit_type").agg(F.count("*").alias("messages"))
+    return good.unionByName(store.part("audit_poison").agg(F.count("*").alias("messages")).select(F.lit("unreadable").alias("audit_type"), "messages"))

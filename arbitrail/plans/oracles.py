@@ -283,7 +283,12 @@ def oracles() -> dict[str, str]:
           ('c6', 'Everything'), ('c7', 'Unknown method'), ('c9', 'Flagged')) AS d(rule_id, description) ON a.rule_id = d.rule_id GROUP BY ALL""",
         "q_type_tally": f"{WITH} SELECT audit_type, count(*) AS audits FROM audits GROUP BY ALL",
         "q_audit_sample": f"{WITH} SELECT audit_type, left(audit_id, 8) AS short_id, rule_id, val AS source_event FROM audits ORDER BY ts, audit_id LIMIT 5",
-        "q_audit_full": f"{WITH} SELECT audit_id, {REASON} AS reason, val AS source_event FROM audits WHERE audit_type <> 'ERRORED'",
+        "q_audit_full": f"""{WITH}, again AS (SELECT * REPLACE (
+            CASE WHEN newer THEN CASE WHEN akind = 'text' THEN 'ERRORED' WHEN akind = 'num' AND amount > 50 THEN 'MATCHED' ELSE 'UNMATCHED' END ELSE audit_type END AS audit_type,
+            CASE WHEN newer THEN '[''amount''] > 50' ELSE CASE rule_id WHEN 'c4' THEN '[''timestamp''] != null and [''timestamp''].startsWith(''2024'')' ELSE expr END END AS expr)
+          FROM (SELECT *, rule_id = 'c1' AND ts >= TIMESTAMP '2024-01-15' AS newer FROM audits))
+          SELECT audit_id, audit_type, CASE WHEN rule_id = 'c4' AND audit_type <> 'MATCHED' THEN NULL ELSE {REASON} END AS reason, val AS source_event,
+            CASE WHEN audit_type = 'MATCHED' THEN type || '_' || rule_id END AS routed_type FROM again WHERE audit_type <> 'ERRORED'""",
         "q_rule_current": f"{CHANGES} SELECT rule_id, expression, active, seq FROM cur",
         "q_rule_slug": f"{CHANGES} SELECT seq, rule_id FROM named",
         "q_rule_active": f"{CHANGES} SELECT rule_id, description, expression FROM cur WHERE active",
@@ -307,6 +312,13 @@ def oracles() -> dict[str, str]:
         "q_rollup_backfill": f"{ROLL} SELECT * FROM hr WHERE {_since(26)}",
         "q_rollup_merge": f"{ROLL} SELECT * FROM rr",
         "q_rollup_store": f"{ROLL} SELECT * FROM hr",
+        "q_rollup_store_rules": RERUN.replace("{since}", "2024-01-15 00:00:00").replace("SELECT audit_id, rule_id, CASE", "SELECT ts, audit_id, rule_id, CASE")
+        + f"""SELECT {HOUR} AS hour, rule_id, count(*) FILTER (audit_type = 'MATCHED') AS matched, count(*) FILTER (audit_type = 'UNMATCHED') AS unmatched,
+          count(*) FILTER (audit_type = 'ERRORED') AS errored, count(*) AS "count" FROM latest GROUP BY 1, 2""",
+        "q_rollup_late": f"{ROLL} SELECT * FROM rr",
+        "q_audit_compacted": RERUN.replace("{since}", "2024-01-15 00:00:00") + "SELECT * FROM latest",
+        "q_store_two_streams": f"{WITH} SELECT audit_id, rule_id, audit_type FROM audits",
+        "q_store_new_checkpoint": f"{WITH} SELECT audit_id, rule_id, audit_type FROM audits",
         "q_rule_stats": f"{ROLL} SELECT rule_id, {SUMS}, rule_id IN ('_parse', '_none') AS is_pseudo FROM rr WHERE {_range()} GROUP BY rule_id",
         "q_time_series": f'{ROLL} SELECT hour AS "timestamp", rule_id, matched, unmatched, errored FROM rr WHERE {_range()}',
         "q_totals": f"""{ROLL} SELECT (SELECT CAST(coalesce(sum(messages), 0) AS BIGINT) FROM hr WHERE {_range()}) AS total_messages,
@@ -330,7 +342,12 @@ def oracles() -> dict[str, str]:
         "q_rule_sorted": f"{ROLL} SELECT rule_id, CAST(sum(matched + unmatched) AS BIGINT) AS total FROM rr GROUP BY 1",
         "q_rule_page": f"""{sales}, st AS (SELECT rule_id, count(*) FILTER (failed = 0) AS matched, count(*) FILTER (failed > 0) AS unmatched FROM judged GROUP BY 1)
           SELECT rule_id, matched, unmatched, CAST(10 AS INTEGER) AS page, CAST(10 AS INTEGER) AS pages FROM st ORDER BY unmatched DESC, rule_id LIMIT 10 OFFSET 90""",
-        "q_stream_audits": f"{WITH} SELECT audit_id, rule_id, audit_type FROM audits",
-        "q_stream_rollup": f'{ROLL} SELECT hour, rule_id, matched, unmatched, errored, "count" FROM rr',
+        "q_stream_audits": f"""{WITH} SELECT audit_id, rule_id, audit_type,
+          CASE WHEN rule_id IN ('c1', 'c2', 'c3', 'c5', 'c6', 'c9') AND audit_type <> 'ERRORED' THEN {REASON} END AS reason, val AS source_event,
+          CAST(parse_nano + eval_nano AS BIGINT) AS total_time_nano FROM audits""",
+        "q_stream_routed": f"""{WITH} SELECT event_hash AS event_id, rule_id, type || '_' || rule_id AS text FROM audits WHERE audit_type = 'MATCHED'
+          UNION ALL SELECT NULL, 'quarantine', val FROM raw WHERE bad""",
+        "q_audit_messages": f"""{WITH} SELECT CASE WHEN "offset" % 53 = 0 THEN 'unreadable' ELSE audit_type END AS audit_type, count(*) AS messages FROM audits GROUP BY 1""",
+        "q_stream_rollup": f"{ROLL} SELECT * FROM rr",
         "q_stream_dedup": f"{WITH} SELECT audit_id, rule_id FROM audits",
     }

@@ -26,6 +26,9 @@ RAW_EVENTS = T.StructType(
         T.StructField("offset", T.LongType()),
         T.StructField("ts", T.TimestampType()),
         T.StructField("value", T.StringType()),
+        T.StructField("parse_time_nano", T.LongType()),
+        T.StructField("eval_time_nano", T.LongType()),
+        T.StructField("total_time_nano", T.LongType()),
     ]
 )
 
@@ -71,6 +74,9 @@ AUDITS = T.StructType(
         T.StructField("parse_time_nano", T.LongType()),
         T.StructField("eval_time_nano", T.LongType()),
         T.StructField("total_time_nano", T.LongType()),
+        T.StructField("code", T.IntegerType()),
+        T.StructField("rule_version", T.LongType()),
+        T.StructField("processed_at", T.TimestampType()),
     ]
 )
 

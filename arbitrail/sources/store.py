@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,20 +17,35 @@ from arbitrail.functions.text import hour_key
 from arbitrail.operators import rollup as R
 from arbitrail.operators.clauses import rule
 from arbitrail.operators.rules import rule_frame
+from arbitrail.session import folder_exists, remove_folder
 
-_VERSION = "run_seq int, batch_id bigint, day string"
+_VERSION = "stream string, run_seq int, batch_id bigint, day string"
+_BATCH = ["stream", "run_seq", "batch_id"]
+_TOUCHED = "hour string, audits bigint, stream string, run_seq int, batch_id bigint"
+COMPACTED = "compacted"
 
 
 class AuditStore:
+    """Audits, routed events, quarantine and rollups below one folder.
+
+    A batch is named by the stream that wrote it, its run and its number; only a replay of that very batch replaces it. ``touched``
+    lists the hours of each batch, ``rolled`` the batches whose hours the rollups have taken in.
+    """
+
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
+    def _at(self, name: str, stream: str, run_seq: int, batch_id: int) -> str:
+        return f"{self.root}/{name}/stream={stream}/run_seq={run_seq}/batch_id={batch_id}"
+
     # --- audits ---------------------------------------------------------------------------------
 
-    def write_batch(self, audits: DataFrame, run_seq: int, batch_id: int) -> str:
+    def write_batch(self, audits: DataFrame, run_seq: int, batch_id: int, stream: str = "batch") -> str:
         """Writes one batch; writing it again replaces it. Returns its folder."""
-        folder = f"{self.root}/audits/run_seq={run_seq}/batch_id={batch_id}"
+        folder = self._at("audits", stream, run_seq, batch_id)
         audits.withColumn("day", F.date_format("timestamp", "yyyy-MM-dd")).write.mode("overwrite").partitionBy("day").parquet(folder)
+        hours = self._read(folder).groupBy(hour_key(F.col("timestamp")).alias("hour")).agg(F.count("*").alias("audits"))
+        hours.write.mode("overwrite").parquet(self._at("touched", stream, run_seq, batch_id))
         return folder
 
     def _read(self, folder: str) -> DataFrame:
@@ -41,77 +55,144 @@ class AuditStore:
     def all_versions(self) -> DataFrame:
         return self._read(f"{self.root}/audits")
 
-    def batch(self, run_seq: int, batch_id: int) -> DataFrame:
+    def batch(self, run_seq: int, batch_id: int, stream: str = "batch") -> DataFrame:
         """One batch, listing only its own folder."""
-        return self._read(f"{self.root}/audits/run_seq={run_seq}/batch_id={batch_id}")
+        return self._read(self._at("audits", stream, run_seq, batch_id))
+
+    def touched(self) -> DataFrame:
+        """(hour, audits) of each batch."""
+        return self._table("touched", _TOUCHED)
 
-    def latest(self, start: Column | None = None, end: Column | None = None) -> DataFrame:
-        """Last verdict per audit. An audit keeps its time in every run, so a range may be cut first."""
+    def latest(self, start: Column | None = None, end: Column | None = None, days: list[str] | None = None) -> DataFrame:
+        """Last verdict per audit. An audit keeps its time in every run, so a range may be cut first.
+
+        Days that one batch alone has written hold each audit once and are only scanned; the others are compared, on ids and
+        versions first, so that texts travel only for audits with several versions.
+        """
         versions = self.all_versions()
+        if days is not None:
+            versions = versions.where(F.col("day").isin(days))
         for bound, compare in ((start, "__ge__"), (end, "__le__")):
             if bound is not None:
                 same_day = getattr(F.col("day"), compare)(F.date_format(bound, "yyyy-MM-dd"))
                 versions = versions.where(same_day & getattr(F.col("timestamp"), compare)(bound))
-        return latest_audits(versions).drop("day")
+        shared = self._shared_days()
+        if not shared:
+            return versions.drop("day", "stream")
+        alone = versions.where(~F.col("day").isin(shared)).drop("day", "stream")
+        return alone.unionByName(latest_audits(versions.where(F.col("day").isin(shared))).drop("day", "stream"))
+
+    def _shared_days(self) -> list[str]:
+        """Days that several batches have written: a number of days, from the small table of hours."""
+        batches = self.touched().select(F.substring("hour", 1, 10).alias("day"), *_BATCH).distinct()
+        return [r[0] for r in batches.groupBy("day").count().where("count > 1").orderBy("day").select("day").collect()]
 
     def compact(self, run_seq: int, start: Column, end: Column) -> None:
-        """Rewrites the last verdicts of a time range as one batch of a new run, which then wins."""
-        self.write_batch(self.latest(start, end), run_seq, 0)
+        """Keeps only the last verdicts of the whole days within a range, in one batch, and deletes what it replaces.
+
+        The new batch is complete before anything goes, so readers in between see the same verdicts.
+        """
+        first, last = F.date_format(start, "yyyy-MM-dd"), F.date_format(end, "yyyy-MM-dd")
+        whole = (F.col("day") >= first) & (F.col("day") < last) & ((F.col("day") > first) | (start == F.date_trunc("day", start)))
+        old = self.touched().select(F.substring("hour", 1, 10).alias("day"), *_BATCH).where(whole).distinct().collect()
+        if not old:
+            return
+        days = sorted({r["day"] for r in old})
+        batch_id = run_seq
+        self.write_batch(self.latest(days=days).drop("run_seq", "batch_id"), run_seq, batch_id, COMPACTED)
+        self._mark_rolled(self.touched().where((F.col("stream") == COMPACTED) & (F.col("run_seq") == run_seq)))
+        for r in old:
+            if (r["stream"], r["run_seq"], r["batch_id"]) != (COMPACTED, run_seq, batch_id):
+                remove_folder(self.spark, f"{self._at('audits', *[r[c] for c in _BATCH])}/day={r['day']}")
+        for b in {tuple(r[c] for c in _BATCH) for r in old} - {(COMPACTED, run_seq, batch_id)}:
+            hours = self.touched().where((F.col("stream") == b[0]) & (F.col("run_seq") == b[1]) & (F.col("batch_id") == b[2]))
+            kept = hours.where(~F.substring("hour", 1, 10).isin(days)).select("hour", "audits").collect()  # hours of one batch
+            self.spark.createDataFrame(kept, "hour string, audits bigint").write.mode("overwrite").parquet(self._at("touched", *b))
+
+    # --- rules as they judged --------------------------------------------------------------------
+
+    def write_rule_texts(self, texts: DataFrame, version: int) -> None:
+        """Texts of one version of the rules, for ``full_audits``; kept once however often it comes."""
+        texts.select("rule_id", "expression", "paths").write.mode("overwrite").parquet(f"{self.root}/rule_texts/rule_version={version}")
+
+    def rule_texts(self) -> DataFrame:
+        return self._table("rule_texts", "rule_id string, expression string, paths array<string>, rule_version bigint")
 
     # --- routed events and quarantine -------------------------------------------------------------
 
-    def write_part(self, name: str, rows: DataFrame, run_seq: int, batch_id: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.root}/{name}/run_seq={run_seq}/batch_id={batch_id}")
+    def write_part(self, name: str, rows: DataFrame, run_seq: int, batch_id: int, stream: str = "batch") -> None:
+        rows.write.mode("overwrite").parquet(self._at(name, stream, run_seq, batch_id))
 
     def part(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{name}")
 
     # --- rollups ----------------------------------------------------------------------------------
 
-    def merge_rollups(self, rule_rows: DataFrame, hour_rows: DataFrame, start: Column) -> None:
-        """Replaces the recomputed hours; other hours, also of the same day, stay as they are."""
-        first_day = F.substring(hour_key(start), 1, 10)
-        for name, fresh in (("rule_rollups", rule_rows), ("hour_rollups", hour_rows)):
-            existing = getattr(self, name)().where(F.substring("hour", 1, 10) >= first_day)
+    def refresh_rollups(self, as_of: Column, hours: int = S.RECOMPUTE_HOURS, enabled: bool = True) -> None:
+        """The periodic job, and with more hours the backfill.
+
+        Recomputed are the hours of the trailing window and every hour, however old, that a batch not taken in yet has touched.
+        Their days alone are read, of audits and of rollups, once for each table; each of these hours is replaced as a whole.
+        """
+        if not enabled:
+            return
+        touched = self.touched()
+        fresh = touched.join(self._table("rolled", "stream string, run_seq int, batch_id bigint"), _BATCH, "left_anti")
+        in_window = F.col("hour") >= hour_key(R.window_start(as_of, hours))
+        affected = fresh.select("hour").unionByName(touched.where(in_window).select("hour")).distinct()
+        taken_in = fresh.select(*_BATCH).distinct().collect()  # a row for each new batch
+        wanted = [r[0] for r in affected.collect()]  # hours, few however many audits they hold
+        if not wanted:
+            return
+        days = sorted({h[:10] for h in wanted})
+        hour_list = self.spark.createDataFrame([(h,) for h in wanted], "hour string")
+        audits = self.latest(days=days).withColumn("hour", hour_key(F.col("timestamp"))).join(F.broadcast(hour_list), "hour", "left_semi")
+        for name, rows in (("rule_rollups", R.rule_rollups(audits)), ("hour_rollups", R.hour_rollups(audits))):
+            existing = self._rollups(name).where(F.col("day").isin(days)).join(F.broadcast(hour_list), "hour", "left_anti")
+            merged = existing.unionByName(rows.withColumn("day", F.substring("hour", 1, 10)))
             (
-                R.merged(existing, fresh)
-                .withColumn("day", F.substring("hour", 1, 10))
-                .repartition("day")
+                merged.repartitionByRange("day", "hour")
                 .write.mode("overwrite")
                 .option("partitionOverwriteMode", "dynamic")
                 .partitionBy("day")
                 .parquet(f"{self.root}/{name}")
             )
+        if taken_in:
+            self._mark_rolled(self.spark.createDataFrame(taken_in, "stream string, run_seq int, batch_id bigint"))
 
-    def refresh_rollups(self, as_of: Column, hours: int = S.RECOMPUTE_HOURS, enabled: bool = True) -> None:
-        """The periodic job, and with more hours the backfill. The audit scan is cut to the window."""
-        if not enabled:
-            return
-        start = R.window_start(as_of, hours)
-        rule_rows, hour_rows = R.recompute(self.latest(start), as_of, hours)
-        self.merge_rollups(rule_rows, hour_rows, start)
+    def _mark_rolled(self, batches: DataFrame) -> None:
+        batches.select(*_BATCH).distinct().coalesce(1).write.mode("append").parquet(f"{self.root}/rolled")
 
     def rule_rollups(self) -> DataFrame:
-        return self._rollups("rule_rollups", S.RULE_ROLLUPS)
+        return self._rollups("rule_rollups").drop("day")
 
     def hour_rollups(self) -> DataFrame:
-        return self._rollups("hour_rollups", S.HOUR_ROLLUPS)
+        return self._rollups("hour_rollups").drop("day")
+
+    def _rollups(self, name: str) -> DataFrame:
+        schema = S.RULE_ROLLUPS if name == "rule_rollups" else S.HOUR_ROLLUPS
+        return self._table(name, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + ", day string")
 
-    def _rollups(self, name: str, schema) -> DataFrame:
-        try:
-            return self.spark.read.schema(schema).parquet(f"{self.root}/{name}").select(*schema.fieldNames())
-        except AnalysisException:  # nothing was rolled up yet
+    def _table(self, name: str, schema: str) -> DataFrame:
+        """A table of the store, without rows while its folder isn't there; any other fault is one."""
+        if not folder_exists(self.spark, f"{self.root}/{name}"):
             return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
 
 
 def latest_audits(versions: DataFrame) -> DataFrame:
-    """The version with the highest (run_seq, batch_id) per audit id.
+    """The version with the highest (run_seq, processed_at, batch_id, stream) per audit id.
 
-    ``max_by`` combines before the shuffle, so an audit replayed very often is no hot group.
+    The winners are found on ids and versions, which combine before the shuffle, and only then joined with the rows.
     """
-    payload = F.struct(*[F.col(c) for c in versions.columns if c not in ("audit_id", "run_seq", "batch_id")])
-    best = versions.groupBy("audit_id").agg(F.max_by(payload, F.struct("run_seq", "batch_id")).alias("last"))
-    return best.select("audit_id", "last.*")
+    order = [c for c in ("run_seq", "processed_at", "batch_id", "stream") if c in versions.columns]
+    best = versions.groupBy("audit_id").agg(F.max(F.struct(*order)).alias("best"))
+    same = versions["audit_id"] == best["audit_id"]
+    for c in order:
+        same &= versions[c].eqNullSafe(best[f"best.{c}"])
+    # equal rows of one batch, delivered twice, are one audit
+    won = versions.join(best, same, "left_semi")
+    return won.dropDuplicates(["audit_id"])
 
 
 class RuleLog:

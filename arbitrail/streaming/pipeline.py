@@ -8,19 +8,26 @@ replayed batch overwrites itself in both places. The checkpoint moves on only af
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from arbitrail.functions.text import hour_key
-from arbitrail.operators.audit import audit_json, audits, routed_events
+from arbitrail.operators.audit import audit_json, audits, read_audit_json, routed_events
 from arbitrail.operators.parse import as_raw_events, quarantine, spread
+from arbitrail.operators.rollup import rule_rollups
 from arbitrail.operators.rules import take_snapshot
-from arbitrail.schema import ERRORED, MATCHED, UNMATCHED
+from arbitrail.schema import AUDITS, RULE_ROLLUPS
+from arbitrail.session import folder_exists
 from arbitrail.sources.store import AuditStore
 
 
+def stream_id(events: DataFrame) -> str:
+    """The identity of the running stream: Spark's own, which its checkpoint keeps; ``batch`` outside a stream."""
+    return events.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "batch"
+
+
 def process_batch(
     events: DataFrame,
     batch_id: int,
@@ -28,23 +35,34 @@ def process_batch(
     load_rules: Callable[[], DataFrame],
     run_seq: int = 1,
     event_schema: str | None = None,
-    narrow: bool = True,
+    narrow: bool = False,
     json_sink: bool = False,
+    stream: str | None = None,
 ) -> None:
-    """Evaluates and stores one batch; safe to call again with the same batch id."""
+    """Evaluates and stores one batch; safe to call again with the same batch id of the same stream.
+
+    With ``narrow`` reason, source and routed text stay out of the audits; ``full_audits`` makes them again from events and
+    the stored rule texts.
+    """
+    stream = stream or stream_id(events)
     events = as_raw_events(events).persist()  # the raw records only: read once, used for both writes
-    if events.isEmpty():
+    snapshot = None
+    try:
+        if events.isEmpty():
+            return
+        snapshot = take_snapshot(load_rules(), event_schema)
+        store.write_rule_texts(snapshot.texts, snapshot.version)
+        stamped = spread(events).withColumn("processed_at", F.lit(datetime.now(timezone.utc)))
+        store.write_batch(audits(stamped, snapshot, reasons=not narrow, source=not narrow), run_seq, batch_id, stream)
+        written = store.batch(run_seq, batch_id, stream)
+        store.write_part("routed_events", routed_events(written), run_seq, batch_id, stream)
+        store.write_part("quarantine", quarantine(events), run_seq, batch_id, stream)
+        if json_sink:
+            store.write_part("audit_json", audit_json(written), run_seq, batch_id, stream)
+    finally:
         events.unpersist()
-        return
-    snapshot = take_snapshot(load_rules(), event_schema)
-    rows = audits(spread(events), snapshot, reasons=not narrow, source=not narrow)
-    store.write_batch(rows, run_seq, batch_id)
-    written = store.batch(run_seq, batch_id)
-    store.write_part("routed_events", routed_events(written), run_seq, batch_id)
-    store.write_part("quarantine", quarantine(events), run_seq, batch_id)
-    if json_sink:
-        store.write_part("audit_json", audit_json(written), run_seq, batch_id)
-    events.unpersist()
+        if snapshot:
+            snapshot.release()
 
 
 def start(
@@ -63,42 +81,58 @@ def start(
     return writer.start()
 
 
-def stream_rollups(audit_rows: DataFrame, lateness: str = "3 hours") -> DataFrame:
-    """Tumbling one-hour counts per rule over a stream of audits; late rows count within ``lateness``."""
-    kind = F.col("audit_type")
-    return (
-        audit_rows.withWatermark("timestamp", lateness)
-        .groupBy(F.window("timestamp", "1 hour"), "rule_id")
-        .agg(
-            F.count_if(kind == MATCHED).alias("matched"),
-            F.count_if(kind == UNMATCHED).alias("unmatched"),
-            F.count_if(kind == ERRORED).alias("errored"),
-            F.count("*").alias("count"),
-        )
-        .select(hour_key(F.col("window.start")).alias("hour"), "rule_id", "matched", "unmatched", "errored", "count")
-    )
+def start_rollups(audit_rows: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """Counts and latency sums per hour and rule of a stream of audits: each batch keeps its own sums.
+
+    No audit is too late for its hour, however the stream is cut into batches; a replayed batch replaces its sums. Deliver each
+    audit once (``start_dedup``).
+    """
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        rule_rollups(batch).write.mode("overwrite").parquet(f"{folder}/stream={stream_id(batch)}/batch_id={batch_id}")
 
+    return audit_rows.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(keep).start()
 
-def drop_repeats(audit_rows: DataFrame, lateness: str = "3 hours") -> DataFrame:
-    """Each audit once, however often its record was delivered within ``lateness``."""
-    return audit_rows.withWatermark("timestamp", lateness).dropDuplicatesWithinWatermark(["audit_id"])
 
+def streamed_rollups(spark: SparkSession, folder: str) -> DataFrame:
+    """The sums of all batches; a row for each batch, hour and rule is read."""
+    parts = spark.read.schema(RULE_ROLLUPS).parquet(folder)
+    return parts.groupBy("hour", "rule_id").agg(*[F.sum(c).alias(c) for c in RULE_ROLLUPS.fieldNames() if c not in ("hour", "rule_id")])
 
-def run_to_table(stream: DataFrame, folder: str, checkpoint: str, keys: list[str] | None = None) -> DataFrame:
-    """Runs a stream over what is there and reads back its result.
 
-    With ``keys`` the stream sends updates; each batch keeps its own folder and the last update per key wins.
+def start_dedup(audit_rows: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """Each audit once, however often, in whatever batch and order its record comes.
+
+    A batch leaves out what earlier batches have kept; as an audit never changes its time, only its days are compared, and
+    only audit ids are read of them.
     """
-    spark = stream.sparkSession
-    if keys is None:
-        query = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).format("parquet").start(folder)
-        query.awaitTermination()
-        return spark.read.schema(stream.schema).parquet(folder)
 
     def keep(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/batch_id={batch_id}")
+        spark, stream = batch.sparkSession, stream_id(batch)
+        mine = f"{folder}/stream={stream}/batch_id={batch_id}"
+        rows = batch.dropDuplicates(["audit_id"]).withColumn("day", F.coalesce(F.date_format("timestamp", "yyyy-MM-dd"), F.lit("none"))).persist()
+        try:
+            if folder_exists(spark, folder):
+                days = [r[0] for r in rows.select("day").distinct().collect()]
+                kept = spark.read.schema("audit_id string, stream string, batch_id bigint, day string").parquet(folder)
+                others = kept.where(F.col("day").isin(days) & ~((F.col("stream") == stream) & (F.col("batch_id") == batch_id)))
+                new = rows.join(others.select("audit_id"), "audit_id", "left_anti")
+            else:
+                new = rows
+            new.write.mode("overwrite").partitionBy("day").parquet(mine)
+        finally:
+            rows.unpersist()
+
+    return audit_rows.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(keep).start()
+
+
+def start_audit_messages(messages: DataFrame, store: AuditStore, checkpoint: str, run_seq: int = 1) -> StreamingQuery:
+    """A stream of audit messages (``audit_json``) into the store; unreadable ones are kept in its part ``audit_poison``."""
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        readable, poison = read_audit_json(batch)
+        missing = {f.name: F.lit(None).cast(f.dataType) for f in AUDITS if f.name not in readable.columns}
+        store.write_batch(readable.withColumns(missing).select(*AUDITS.fieldNames()), run_seq, batch_id, stream_id(batch))
+        store.write_part("audit_poison", poison, run_seq, batch_id, stream_id(batch))
 
-    stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
-    updates = spark.read.parquet(folder)
-    rest = F.struct(*[c for c in stream.columns if c not in keys])
-    return updates.groupBy(*keys).agg(F.max_by(rest, "batch_id").alias("last")).select(*keys, "last.*")
+    return messages.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(keep).start()
