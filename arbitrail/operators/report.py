@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arbitrail.functions.text import csv_escape, instant_text, quoted
-from arbitrail.schema import CSV_HEADER
+from arbitrail.schema import CSV_HEADER, DEFAULT_RANGE_HOURS
 
 
 def of_type(audits: DataFrame, audit_type: str, start: Column, end: Column) -> DataFrame:
@@ -14,6 +14,12 @@ def of_type(audits: DataFrame, audit_type: str, start: Column, end: Column) -> D
     return audits.where((F.col("audit_type") == audit_type) & F.col("timestamp").between(start, end))
 
 
+def last_day(as_of: Column, start: Column | None = None, end: Column | None = None) -> tuple[Column, Column]:
+    """The range asked for; what isn't given is the end at ``as_of`` and the start a day before the end."""
+    end = as_of if end is None else end
+    return (end - F.make_dt_interval(hours=F.lit(DEFAULT_RANGE_HOURS)) if start is None else start), end
+
+
 def top(audits: DataFrame, audit_type: str, start: Column, end: Column, n: int = 10) -> DataFrame:
     """The newest ``n``; equal times by audit id. A top-k per task, then one merge."""
     return of_type(audits, audit_type, start, end).orderBy(F.desc("timestamp"), "audit_id").limit(n)

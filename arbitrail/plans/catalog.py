@@ -584,6 +584,33 @@ def q_stream_routed(spark, sf):
     return routed.unionByName(store.part("quarantine").select(F.lit(None).cast("string").alias("event_id"), F.lit("quarantine").alias("rule_id"), F.col("value").alias("text")))
 
 
+@query
+def q_stream_topics(spark, sf):
+    """Keyed records of both topics, as a broker would get them."""
+    folder = shared_dir(spark, "stream")
+    X.click_columns(X.table(spark, sf, "events")).select(*RAW_EVENTS.fieldNames()).repartition(4).write.parquet(f"{folder}/in")
+    stream = pipeline.start(
+        stream_events(spark, f"{folder}/in", files_per_batch=2), AuditStore(spark, f"{folder}/out"), lambda: X.click_rules(spark), f"{folder}/checkpoint",
+        topics=pipeline.file_topics(f"{folder}/topics"),
+    )
+    stream.awaitTermination()
+    read = lambda topic, path: spark.read.parquet(f"{folder}/topics/{topic}").select(F.lit(topic).alias("topic"), "key", F.get_json_object("value", path).alias("name"))
+    return read("routed_events", "$.type").unionByName(read("audits", "$.auditId"))
+
+
+@query
+def q_store_reports(spark, sf):
+    """The newest matches of the day before a moment, and the totals of that day, both read from a store."""
+    store = AuditStore(spark, shared_dir(spark, "store"))
+    store.write_batch(click_audits(spark, sf), run_seq=1, batch_id=0)
+    store.refresh_rollups(at("2024-02-01 00:00:00"))
+    newest = store.top("MATCHED", at(PRESET_AS_OF)).select(F.col("audit_id").alias("name"), F.lit(1).cast("bigint").alias("value"))
+    totals = store.dashboard(at(PRESET_AS_OF))[0]
+    return newest.unionByName(totals.select(F.lit("messages").alias("name"), F.col("total_messages").alias("value"))).unionByName(
+        totals.select(F.lit("evaluations").alias("name"), F.col("total_evaluations").alias("value"))
+    )
+
+
 @query
 def q_store_new_checkpoint(spark, sf):
     """A store that goes on with a new checkpoint after the old one was lost: nothing earlier is overwritten."""

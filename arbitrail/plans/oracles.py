@@ -318,6 +318,12 @@ def oracles() -> dict[str, str]:
         "q_rollup_late": f"{ROLL} SELECT * FROM rr",
         "q_audit_compacted": RERUN.replace("{since}", "2024-01-15 00:00:00") + "SELECT * FROM latest",
         "q_store_two_streams": f"{WITH} SELECT audit_id, rule_id, audit_type FROM audits",
+        "q_stream_topics": f"""{WITH} SELECT 'audits' AS topic, event_hash AS key, audit_id AS name FROM audits
+          UNION ALL SELECT 'routed_events', event_hash, type || '_' || rule_id FROM audits WHERE audit_type = 'MATCHED'""",
+        "q_store_reports": f"""{ROLL} SELECT * FROM (SELECT audit_id AS name, 1::BIGINT AS value FROM audits WHERE audit_type = 'MATCHED'
+            AND ts BETWEEN TIMESTAMP '{PRESET_AS_OF}' - INTERVAL 24 HOUR AND TIMESTAMP '{PRESET_AS_OF}' ORDER BY ts DESC, audit_id LIMIT 10)
+          UNION ALL SELECT 'messages', CAST(coalesce(sum(messages), 0) AS BIGINT) FROM hr WHERE {_last(24)}
+          UNION ALL SELECT 'evaluations', CAST(coalesce(sum("count"), 0) AS BIGINT) FROM rr WHERE {_last(24)}""",
         "q_store_new_checkpoint": f"{WITH} SELECT audit_id, rule_id, audit_type FROM audits",
         "q_rule_stats": f"{ROLL} SELECT rule_id, {SUMS}, rule_id IN ('_parse', '_none') AS is_pseudo FROM rr WHERE {_range()} GROUP BY rule_id",
         "q_time_series": f'{ROLL} SELECT hour AS "timestamp", rule_id, matched, unmatched, errored FROM rr WHERE {_range()}',

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from arbitrail import schema as S
 from arbitrail.functions.text import hour_key
+from arbitrail.operators import analytics as N
+from arbitrail.operators import report
 from arbitrail.operators import rollup as R
 from arbitrail.operators.clauses import rule
 from arbitrail.operators.rules import rule_frame
@@ -163,11 +165,35 @@ class AuditStore:
     def _mark_rolled(self, batches: DataFrame) -> None:
         batches.select(*_BATCH).distinct().coalesce(1).write.mode("append").parquet(f"{self.root}/rolled")
 
-    def rule_rollups(self) -> DataFrame:
-        return self._rollups("rule_rollups").drop("day")
+    def rule_rollups(self, start: Column | None = None, end: Column | None = None) -> DataFrame:
+        return self._between("rule_rollups", start, end)
 
-    def hour_rollups(self) -> DataFrame:
-        return self._rollups("hour_rollups").drop("day")
+    def hour_rollups(self, start: Column | None = None, end: Column | None = None) -> DataFrame:
+        return self._between("hour_rollups", start, end)
+
+    def _between(self, name: str, start: Column | None, end: Column | None) -> DataFrame:
+        """Rollups of the hours of a range; only the folders of its days are read."""
+        rows = self._rollups(name)
+        for bound, compare in ((start, "__ge__"), (end, "__le__")):
+            if bound is not None:
+                rows = rows.where(getattr(F.col("day"), compare)(F.date_format(bound, "yyyy-MM-dd")) & getattr(F.col("hour"), compare)(hour_key(bound)))
+        return rows.drop("day")
+
+    # --- answers from the store -------------------------------------------------------------------
+
+    def dashboard(self, as_of: Column, start: Column | None = None, end: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Totals, rule statistics and time series of a range, by default the day before ``as_of``."""
+        start, end = report.last_day(as_of, start, end)
+        return N.dashboard(self.rule_rollups(start, end), self.hour_rollups(start, end))
+
+    def top(self, audit_type: str, as_of: Column, start: Column | None = None, end: Column | None = None, n: int = 10) -> DataFrame:
+        """The newest audits of one type; only the days of the range are read."""
+        start, end = report.last_day(as_of, start, end)
+        return report.top(self.latest(start, end), audit_type, start, end, n)
+
+    def export_csv(self, audit_type: str, as_of: Column, start: Column | None = None, end: Column | None = None) -> DataFrame:
+        start, end = report.last_day(as_of, start, end)
+        return report.export_csv(self.latest(start, end), audit_type, start, end)
 
     def _rollups(self, name: str) -> DataFrame:
         schema = S.RULE_ROLLUPS if name == "rule_rollups" else S.HOUR_ROLLUPS

@@ -20,6 +20,7 @@ from arbitrail.operators.rollup import rule_rollups
 from arbitrail.operators.rules import take_snapshot
 from arbitrail.schema import AUDITS, RULE_ROLLUPS
 from arbitrail.session import folder_exists
+from arbitrail.sources.events import kafka_records
 from arbitrail.sources.store import AuditStore
 
 
@@ -38,9 +39,11 @@ def process_batch(
     narrow: bool = False,
     json_sink: bool = False,
     stream: str | None = None,
+    topics: Callable[[str, DataFrame, str, int], None] | None = None,
 ) -> None:
     """Evaluates and stores one batch; safe to call again with the same batch id of the same stream.
 
+    ``topics`` gets (topic, keyed text records, stream, batch id) of routed events and audits, for a topic or ``file_topics``.
     With ``narrow`` reason, source and routed text stay out of the audits; ``full_audits`` makes them again from events and
     the stored rule texts.
     """
@@ -59,12 +62,24 @@ def process_batch(
         store.write_part("quarantine", quarantine(events), run_seq, batch_id, stream)
         if json_sink:
             store.write_part("audit_json", audit_json(written), run_seq, batch_id, stream)
+        if topics:
+            topics("routed_events", kafka_records(routed_events(written), "event_id", "routed_event"), stream, batch_id)
+            topics("audits", kafka_records(audit_json(written), "event_id", "audit_json"), stream, batch_id)
     finally:
         events.unpersist()
         if snapshot:
             snapshot.release()
 
 
+def file_topics(folder: str) -> Callable[[str, DataFrame, str, int], None]:
+    """Topics as folders of keyed records; a replayed batch replaces its own."""
+
+    def write(topic: str, records: DataFrame, stream: str, batch_id: int) -> None:
+        records.write.mode("overwrite").parquet(f"{folder}/{topic}/stream={stream}/batch_id={batch_id}")
+
+    return write
+
+
 def start(
     events: DataFrame,
     store: AuditStore,
