@@ -2,8 +2,8 @@
 
 Each event is parsed once and each path the rules mention is read once. A rule snapshot of bounded size
 is a constant inside the plan and decided with bitmaps (bitmaps.py): no join, no shuffle. A larger one is
-a table of rule packs joined on the pack number, with the clauses folded over the typed cells: broadcast
-while its measured size allows, otherwise shuffled with a salt so that no pack becomes one hot task.
+cut into chunks of rule packs, each small enough to be broadcast, with the clauses folded over the typed
+cells inside the event's row; each chunk is a pass over the events, which never move.
 """
 
 from __future__ import annotations
@@ -117,37 +117,32 @@ def _inline_pairs(parsed: DataFrame, step: InlinePass, first: bool, none: bool,
 
 
 def _pack_pairs(parsed: DataFrame, step: PackPass, first: bool, none: bool, matched_only: bool) -> DataFrame:
-    numbered = _with_fields(parsed).withColumn("pack_no", F.explode(F.sequence(F.lit(0), F.lit(step.n_packs - 1))))
-    if step.broadcast:
-        joined = numbered.join(F.broadcast(step.packs), "pack_no", "left")
-    else:
-        salts = int(parsed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        salt = F.pmod(F.xxhash64("topic", "partition", "offset"), F.lit(salts)).cast("int")
-        copies = step.packs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        joined = numbered.withColumn("salt", salt).join(copies, ["pack_no", "salt"], "left")
-    celled = joined.withColumn("cells", F.transform("slots", lambda s: C.any_cell(F.col("root"), s["path"], s["item"])))
+    """The packs come to each event as one array; the event stays one row up to the final explode and never moves."""
+    everywhere = F.pmod(F.hash("topic"), F.lit(1)).alias("at")  # 0 for each event, but not a constant, so the join is a hash join
+    packs = F.broadcast(step.packs.select(F.lit(0).alias("at"), "packs"))
+    joined = _with_fields(parsed).select("*", everywhere).join(packs, "at", "left")
     no_predicates = F.array().cast("array<int>")
 
     def pair(rule_id, expression, paths, code):
         escaped = F.regexp_extract(F.to_json(F.struct(rule_id.alias("i"))), '^.{6}(.*)"}$', 1)
         return F.struct(rule_id.alias("rule_id"), escaped.alias("rule_json"), expression.alias("expression"), paths.alias("paths"), code.alias("code"))
 
+    def of_pack(p):
+        cells = F.transform(p["slots"], lambda s: C.any_cell(F.col("root"), s["path"], s["item"]))
+        judged = lambda r, cs: pair(r["rule_id"], r["expression"], F.transform(r["clauses"], lambda c: c["path"]), K.rule_code(r["clauses"], cs, no_predicates))
+        return C.bind(cells, lambda cs: F.transform(p["rules"], lambda r: judged(r, cs)))
+
     no_text = F.lit(None).cast("string")
     failed = F.array(pair(F.lit(RULE_PARSE), no_text, F.array().cast("array<string>"), F.lit(K.CODE_PARSE)))
     if not first:
         failed = F.slice(failed, 1, 0)
-    evaluated = F.transform(
-        "rules",
-        lambda r: pair(
-            r["rule_id"], r["expression"], F.transform(r["clauses"], lambda c: c["path"]), K.rule_code(r["clauses"], F.col("cells"), no_predicates)
-        ),
-    )
+    evaluated = F.flatten(F.transform("packs", of_pack))
     if matched_only:
         evaluated = F.filter(evaluated, lambda o: o["code"] == 0)
         failed = F.slice(failed, 1, 0)
-    outcomes = F.when(F.col("parsed"), evaluated).when(F.col("pack_no") == 0, failed)
+    outcomes = F.when(F.col("parsed"), evaluated).otherwise(failed)
     # explode_outer: a plain explode has Catalyst test the array in a filter below, evaluating every pack twice.
-    exploded = celled.select(*parsed.columns, "fields", F.explode_outer(outcomes).alias("r"))
+    exploded = joined.select(*parsed.columns, "fields", F.explode_outer(outcomes).alias("r"))
     return exploded.where("r is not null").select(*parsed.columns, "fields", "r.*")
 
 

@@ -108,11 +108,9 @@ class InlinePass:
 
 @dataclass
 class PackPass:
-    """Rules kept as a table of packs that events are joined with."""
+    """Rules kept as packs in one row of bounded size, which is broadcast to the events."""
 
     packs: DataFrame
-    n_packs: int
-    broadcast: bool
 
 
 @dataclass
@@ -165,7 +163,11 @@ def take_snapshot(
     snap.texts = _texts(kept, snap.version)
     if n:
         n_packs = -(-n // rules_per_pack)
-        snap.passes.append(PackPass(_packs(plain, n_packs), n_packs, (size or 0) <= broadcast_bytes))
+        n_chunks = min(n_packs, -(-(size or 1) // max(1, broadcast_bytes)))
+        packs = _packs(plain, n_packs)
+        for chunk in range(n_chunks):  # a pass over the events for each chunk that is small enough to be broadcast
+            members = packs.where(F.pmod("pack_no", F.lit(n_chunks)) == chunk)
+            snap.passes.append(PackPass(members.agg(F.collect_list(F.struct("slots", "rules")).alias("packs"))))
     last = -1
     while True:  # conditions are compiled, so they come in bounded portions, one pass each; the row number is unique
         portion = kept.where(F.col("predicate").isNotNull() & (F.col("row_no") > last)).orderBy("row_no").limit(inline_rules).collect()
