@@ -61,7 +61,25 @@ def op1_decontamination(spark, sf):
     )
 
 
-@query()
+OP2_SQL = r"""
+WITH doc AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+grams AS (SELECT doc_id, i, array_to_string(w[i : i + 2], ' ') AS g FROM doc, unnest(range(1, len(w) - 1)) AS u(i) WHERE len(w) >= 3),
+again AS (SELECT doc_id, i FROM grams JOIN (SELECT doc_id, g FROM grams GROUP BY ALL HAVING count(*) > 1) USING (doc_id, g)),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM again, unnest(range(i, i + 3)) AS u(p) GROUP BY doc_id),
+measured AS (SELECT doc_id, t, w, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words,
+    length(regexp_replace(t, '[^A-Z]', '', 'g')) AS upper, length(regexp_replace(t, '[^a-z]', '', 'g')) AS lower, length(regexp_replace(t, '[^!]', '', 'g')) AS bangs
+  FROM doc LEFT JOIN covered USING (doc_id)),
+judged AS (SELECT *, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM measured)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR n_symbols > 0.1::DOUBLE * n_words
+    OR n_dup_lines > 0.5::DOUBLE * len(lines) OR upper > 0.3::DOUBLE * (upper + lower) OR bangs > 0.3::DOUBLE * n_words OR NOT word_chars BETWEEN 3 * n_words AND 10 * n_words
+    OR len(list_filter(w, lambda x: regexp_matches(x, '[^\x00-\x40\x5B-\x60\x7B-\x7F]'))) < 0.8::DOUBLE * n_words) AS kept
+FROM judged
+"""
+
+
+@query(OP2_SQL)
 def op2_quality_rules(spark, sf):
     from arbitrail.llm.quality_rules import apply_rules
 

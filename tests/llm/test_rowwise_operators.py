@@ -47,7 +47,7 @@ def same_as_sql(spark, sf, name, **tables):
     assert sorted(map(repr, (tuple(r[c] for c in names) for r in got.collect()))) == sorted(map(repr, cur.fetchall()))
 
 
-@pytest.mark.parametrize("name", ["op1_decontamination", "op3_url_filter", "op4_license_scan", "op7_substring_dedup", "op8_ngram_join", "op10_warc"])
+@pytest.mark.parametrize("name", ["op1_decontamination", "op2_quality_rules", "op3_url_filter", "op4_license_scan", "op7_substring_dedup", "op8_ngram_join", "op10_warc"])
 def test_same_as_sql(spark, sf, name):
     same_as_sql(spark, sf, name)
 
