@@ -206,7 +206,7 @@ def connected(links: DataFrame, purpose: str = "links") -> DataFrame:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        large = stored(large.where("a <> b").distinct(), purpose)
+        large = stored(large.where("a <> b"), purpose)
         low = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(low.select("a", F.col("low").alias("b")))
         edges = stored(small.where("a <> b").distinct(), purpose)
