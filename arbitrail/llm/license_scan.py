@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arbitrail.llm.common import attach, stored, text_bytes
+from arbitrail.llm.common import BROADCAST_BYTES, attach, stored, text_bytes
 
 #: Sentences of public licenses and notices, normalised, with the license each speaks of.
 SENTENCES = [
@@ -78,7 +78,8 @@ def scan(
 ) -> DataFrame:
     """(doc_id, n_known, sentence_ids, licenses), a row for each row of ``docs``.
 
-    known: (sentence_id, sentence), distinct sentences already normalised; it is joined, so it may be large. n_known counts
+    known: (sentence_id, sentence), distinct sentences already normalised; while small (it is measured) it is broadcast, else the
+    sentences of all texts are shuffled to it. n_known counts
     a text's known sentences; sentence_ids lists them in order, licenses those of the rules that match, in order of place,
     each once; both comma-joined and empty where there is none. Null and empty texts have none. Repeated rows give
     repeated rows.
@@ -86,9 +87,12 @@ def scan(
     rules = RULES if rules is None else rules
     if known is None:
         known = docs.sparkSession.createDataFrame(SENTENCES, "sentence_id string, sentence string")
+    size = known.agg(F.sum(F.length("sentence_id") + F.length("sentence") + 32)).first()[0] or 0
+    lookup = known.select("sentence_id", "sentence")
+    lookup = F.broadcast(lookup) if size <= BROADCAST_BYTES else lookup
     body = F.col(text).cast("string")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text_bytes(text)).alias("text_key"), F.posexplode(sentences(body)).alias("place", "raw"))
-    hits = rows.select(*KEY, "place", normalised(F.col("raw")).alias("sentence")).join(known.select("sentence_id", "sentence"), "sentence")
+    hits = rows.select(*KEY, "place", normalised(F.col("raw")).alias("sentence")).join(lookup, "sentence")
     # a set, since repeated rows bring each place again
     ordered = F.array_sort(F.collect_set(F.struct("place", "sentence_id")))
     found = hits.groupBy(*KEY).agg(ordered.alias("found")).select(*KEY, F.col("found.sentence_id").alias("ids"))
