@@ -161,17 +161,16 @@ class Scanner:
 
     def __init__(self, blocks: list[list[tuple[str, list[bytes]]]], window: int):
         self.blocks, self.window = blocks, window
-        self.kept = [Automaton(b, window) for b in blocks] if len(blocks) <= 2 else None
+        self.kept = [Automaton(b, window) for b in blocks or [[]]] if len(blocks) <= 3 else None
 
     def scan(self, texts: list[bytes]) -> list[tuple[int, list[tuple[int, int]], set[str]]]:
         """(number of words, hit spans, items) of each text."""
-        words = [WORD.findall(t.lower()) for t in texts]
-        out = [(len(w), [], set()) for w in words]
+        out: list[tuple[int, list[tuple[int, int]], set[str]]] = [(0, [], set()) for _ in texts]
         for automaton in self.kept or (Automaton(b, self.window) for b in self.blocks):
-            for i, w in enumerate(words):
-                spans, names = automaton.leaks(w)
-                if spans:
-                    out[i] = (len(w), merge_spans(out[i][1] + spans), out[i][2] | names)
+            for i, text in enumerate(texts):  # the words of one text at a time are in memory
+                words = WORD.findall(text.lower())
+                spans, names = automaton.leaks(words)
+                out[i] = (len(words), merge_spans(out[i][1] + spans) if spans else out[i][1], out[i][2] | names)
         return out
 
 
