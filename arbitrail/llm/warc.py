@@ -30,6 +30,7 @@ from arbitrail.session import shared_dir
 REVISIT_BYTES = 100
 CHUNK_BYTES = 64 << 20  # of payload, what one task writes
 FILE_BYTES = 16 << 20  # of compressed records; a file ends with the record that reaches it
+READ_BYTES = 16 << 10
 DATE = "2024-01-01T00:00:00Z"
 #: Fixed value: the profile of revisits by equal payload in the WARC 1.1 standard.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -64,19 +65,23 @@ def build_record(page_id: int | None, url: str | None, payload: bytes, digest: s
     if revisit:
         head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_to, digest)}", f"X-Refers-To-Page: {refers_to}"]
     block = b"" if revisit else payload
-    head += ["Content-Type: text/html; charset=utf-8", f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}", f"Content-Length: {len(block)}"]
+    head += ["Content-Type: text/html; charset=utf-8", f"WARC-Block-Digest: sha256:{hashlib.sha256(b'').hexdigest() if revisit else digest}", f"Content-Length: {len(block)}"]
     return member("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n")
 
 
 def parse_records(data: bytes):
     """(headers, block) of each record of a file; one member is unpacked at a time."""
-    rest = data
-    while rest:
-        unpack = zlib.decompressobj(31)
-        record = unpack.decompress(rest)
-        if not unpack.eof:
-            raise ValueError("a WARC record is cut off")
-        rest = unpack.unused_data
+    view, at = memoryview(data), 0
+    while at < len(data):
+        unpack, parts = zlib.decompressobj(31), []
+        while not unpack.eof:
+            piece = view[at : at + READ_BYTES]
+            if not piece:
+                raise ValueError("a WARC record is cut off")
+            parts.append(unpack.decompress(piece))
+            at += len(piece)
+        at -= len(unpack.unused_data)  # of the last piece, so never more than a piece is copied
+        record = b"".join(parts)
         head, _, body = record.partition(b"\r\n\r\n")
         lines = head.decode().split("\r\n")
         fields = dict(line.split(": ", 1) for line in lines[1:])
@@ -207,7 +212,7 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
                 n += 1
                 payload = block if fields["WARC-Type"] == "response" else None
                 known = fields["WARC-Payload-Digest"].removeprefix("sha256:")
-                if payload is not None and hashlib.sha256(payload).hexdigest() != known:
+                if payload is not None and fields["WARC-Block-Digest"] != fields["WARC-Payload-Digest"]:
                     raise ValueError("a payload differs from its digest")
                 page, refers = fields.get("X-Page-ID"), fields.get("X-Refers-To-Page")
                 out.append((page and int(page), fields.get("WARC-Target-URI"), int(fields["X-Payload-Length"]), known, fields["WARC-Type"], refers and int(refers), payload))
