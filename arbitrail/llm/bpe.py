@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from arbitrail.llm.common import map_batches, text_bytes
 
 #: Distinct words remembered by a task.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 60_000
 #: Characters cut into words in one go; one longer text is cut alone.
 PIECE_CHARS = 1 << 18
 

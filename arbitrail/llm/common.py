@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,6 +16,8 @@ from arbitrail.session import shared_dir
 BROADCAST_BYTES = 32 << 20
 #: Bytes of text that the array kernels look at in one go. One longer text is one slice.
 SLICE_BYTES = 1 << 20
+#: Rows whose texts are rewritten in one go.
+REWRITTEN = 1000
 
 _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
@@ -154,11 +157,21 @@ def attach(rows: DataFrame, facts: DataFrame, keys: list[str], bytes_of_facts: C
     return joined.select(*[rows[c] for c in rows.columns], *[facts[c] for c in facts.columns if c not in keys])
 
 
+def give_back() -> None:
+    """Returns freed memory to the system at the end of a task: workers go on to other tasks, and what they keep adds up."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     def run(batches):
         for batch in batches:
             if batch.num_rows:
                 yield from work(batch)
+        give_back()
 
     return df.mapInArrow(run, schema)
 
@@ -173,12 +186,15 @@ def rewrite_texts(df: DataFrame, text: str, work: Callable[[list], list]) -> Dat
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            column = batch.column(place)
-            out = work(column.cast(pa.binary()).to_pylist())
-            keep = pa.array([x is not False for x in out], pa.bool_())
-            texts = pa.array([x if x is not False else None for x in out], pa.binary()).cast(column.type)
-            arrays = [texts if i == place else batch.column(i) for i in range(batch.num_columns)]
-            yield pa.RecordBatch.from_arrays(arrays, schema=batch.schema).filter(keep)
+            for a in range(0, batch.num_rows, REWRITTEN):  # a part at a time, so that few texts are in memory twice
+                part = batch.slice(a, REWRITTEN)
+                column = part.column(place)
+                out = work(column.cast(pa.binary()).to_pylist())
+                keep = pa.array([x is not False for x in out], pa.bool_())
+                texts = pa.array([x if x is not False else None for x in out], pa.binary()).cast(column.type)
+                arrays = [texts if i == place else part.column(i) for i in range(part.num_columns)]
+                yield pa.RecordBatch.from_arrays(arrays, schema=part.schema).filter(keep)
+        give_back()
 
     return df.mapInArrow(run, schema)
 

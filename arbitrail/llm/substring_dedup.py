@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arbitrail.llm.common import Words, attach, gram_hashes, keyed, map_batches, slice_words, stored, text_bytes
+from arbitrail.llm.common import Words, attach, give_back, gram_hashes, keyed, map_batches, slice_words, stored, text_bytes
 
 WINDOW, CORE = 35, 8
 HOT = 10_000
@@ -206,6 +206,7 @@ def _count_buckets(window):
             finish(current, strings, out)
         if out:
             yield batch_of(out)
+        give_back()
 
     return run
 
