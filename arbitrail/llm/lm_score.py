@@ -87,10 +87,15 @@ def contexts(symbols: np.ndarray) -> np.ndarray:
 def _often(batch):
     """(word, n): training words that a batch has four times or more, and as the null word the batch's words and texts."""
     texts = batch.column(1).filter(pc.invert(batch.column(0)))
-    seen = [Words(data, offsets, True).hashes() for _, _, data, offsets in text_slices(texts)]
-    if not seen:
+    counted: list[tuple[np.ndarray, np.ndarray]] = []
+    seen: list[np.ndarray] = []
+    for _, _, data, offsets in text_slices(texts):
+        seen.append(Words(data, offsets, True).hashes())
+        if sum(map(len, seen)) > 1 << 20:  # a batch may hold far more words than distinct ones
+            counted, seen = [*counted, np.unique(np.concatenate(seen), return_counts=True)], []
+    if not len(texts):
         return
-    values, times = np.unique(np.concatenate(seen), return_counts=True)
+    values, times = _added([*counted, *(np.unique(h, return_counts=True) for h in seen)])
     total = int(times.sum())
     values, times = values[times > 3], times[times > 3]
     word = pa.array(np.append(values.view(np.int64), 0), mask=np.append(np.zeros(len(values), bool), True))
@@ -173,6 +178,8 @@ def _occurrences(batch, vocabulary: Vocabulary):
         if len(code):
             first = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
             codes.append((code[first], np.diff(np.append(first, len(code)))))
+        if len(codes) == 16:
+            codes = [_added(codes)]
     seen = sums > 0
     for kind, word, n in ((FREQUENT_WORD, vocabulary.hashes[seen].view(np.int64), sums[seen]), (CONTEXT, *_added(codes))):
         m = len(word)
@@ -182,8 +189,9 @@ def _occurrences(batch, vocabulary: Vocabulary):
 
 
 def _added(parts):
+    """Counts by key, of several such."""
     if not parts:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     keys, times = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.argsort(keys, kind="stable")
     keys, times = keys[order], times[order]
