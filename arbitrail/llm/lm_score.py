@@ -85,7 +85,7 @@ def contexts(symbols: np.ndarray) -> np.ndarray:
 
 
 def _often(batch):
-    """(word, n): training words that a batch has four times or more, and as the null word the batch's words and texts."""
+    """(word, n): each training word of a batch with its count, and as the null word the batch's words and texts."""
     texts = batch.column(1).filter(pc.invert(batch.column(0)))
     counted: list[tuple[np.ndarray, np.ndarray]] = []
     seen: list[np.ndarray] = []
@@ -97,7 +97,6 @@ def _often(batch):
         return
     values, times = _added([*counted, *(np.unique(h, return_counts=True) for h in seen)])
     total = int(times.sum())
-    values, times = values[times > 3], times[times > 3]
     word = pa.array(np.append(values.view(np.int64), 0), mask=np.append(np.zeros(len(values), bool), True))
     texts_of = np.append(np.zeros(len(values), np.int64), len(texts))
     yield pa.RecordBatch.from_arrays([word, pa.array(np.append(times, total)), pa.array(texts_of)], ["word", "n", "texts"])

@@ -351,6 +351,20 @@ def test_scores_beat_single_words_on_held_out_texts(spark):
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
 
 
+def test_scores_do_not_depend_on_batches(spark):
+    """Words that no single text has more than three times count as much as if all texts were one batch."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"w{int(rng.paretovariate(0.5)) % 500} v{rng.randrange(300)}" for _ in range(40))) for i in range(80)]
+    found = []
+    for size in ("1", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            found.append({r.doc_id: r.score for r in lm_score.score(frame(spark, rows), frequent=100).collect()})
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert all(math.isclose(found[0][i], found[1][i], rel_tol=1e-9) for i, _ in rows)
+
+
 def test_scores_without_training_texts(spark):
     held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 10 == 0][:3]
     got = lm_score.score(frame(spark, [(i, "a b") for i in held])).collect()
