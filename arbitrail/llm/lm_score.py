@@ -1,15 +1,23 @@
 """Scores texts under a probabilistic suffix tree over words and under a word unigram model, both counted over the corpus.
 
-The tree's symbols are the most frequent words, the end of a text, and one for all other words. For each context of up to
-DEPTH symbols the next symbols are counted. A context becomes a state of the tree when it was seen often enough and its
-next-symbol distribution diverges from that of its parent, the context without its oldest symbol, by more than chance: count
-times Kullback-Leibler divergence is the gain, and the states of largest gain are retained. Distributions are smoothed towards
-the next shorter state; the root's is the unigram one. Each word of a text is scored in the longest state that is a suffix of
-what came before, and a word of the other-words symbol by its share of these. Unigram shares are discounted by DISCOUNT of a
-word each; what that frees is the share of all unseen words together.
-
-Unigram counts cover the whole vocabulary. The words met most often, at most FREQUENT, have their counts sent to the
-scoring tasks; every other word's occurrences meet its count in a shuffle by word.
+The tree's symbols are all words and the end of a text. A context, a run of words before a word, becomes a state when it was
+seen MIN_COUNT times or more and its next words diverge from those of its parent, the context without its oldest word, by
+more than chance: the gain is count times Kullback-Leibler divergence, less one for each cell, and has to reach MIN_GAIN. Cells
+are the next words seen LEAST times or more, the usual least size of a cell in such a test, and all others pooled. Contexts grow
+word by word, up to the first length, from two on, at which no context of the corpus passes; a longer one that tells more after
+such a gap isn't looked for. Nothing else bounds the tree: it has as many words, contexts and lengths as pass the tests. A state's distribution is smoothed towards the next shorter state's; the pooled words
+share what is left in the proportions they have there. The root's is the unigram one. Each word is scored in the longest state
+that is a suffix of what came before in its text. Unigram shares are discounted by DISCOUNT of a word each; what that frees is
+the share of all unseen words together.
+
+A score is the sum of unigram logarithms and of what the states change in them. Unigram counts cover the whole vocabulary: the
+words met most often, at most FREQUENT, have their counts sent to the scoring tasks; every other word's occurrences meet its
+count in a shuffle by word. The states are stored tables, sent to the scoring tasks in parts of about BROADCAST_BYTES by the
+newest word of the context; a further part costs a further pass over the texts.
+
+Contexts of each length are counted in a pass over the texts. Only occurrences travel whose context and whose next word after
+the shorter context can be counted often enough, by two bit fields of fixed size; what they let through by mistake is sorted out
+by the counts.
 """
 
 from __future__ import annotations
@@ -22,18 +30,19 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arbitrail.llm.common import Words, map_batches, stored, text_bytes, text_slices
+from arbitrail.llm.common import BROADCAST_BYTES, Words, map_batches, mix, stored, text_bytes, text_slices
 
-DEPTH, SYMBOLS = 2, 256
 FREQUENT = 1 << 18
-STATES = 8192
-MIN_COUNT, MIN_GAIN = 50, 20.0
+MIN_COUNT, MIN_GAIN, LEAST = 50, 20.0, 5
+PULL = 20.0
 DISCOUNT = 0.5
 FOLDS = 10
-END, OTHER = 0, 1
-PAD = DEPTH  # end symbols after each text: the text's end, then the context of the next text
-#: Kinds of rows: a frequent word's count, an occurrence of another word, the count of a context with its next symbol.
-FREQUENT_WORD, OTHER_WORD, CONTEXT = range(3)
+#: The hash of a text's end, which also stands before its first word.
+END = np.uint64(0x5851F42D4C957F2D)
+#: Bits of a bit field, as a power of two: 16 MB.
+FIELD = 27
+#: Rows of a batch's counts that are held before they are added up.
+HELD = 1 << 20
 
 
 def held_out(doc_id: Column, folds: int = FOLDS) -> Column:
@@ -43,45 +52,22 @@ def held_out(doc_id: Column, folds: int = FOLDS) -> Column:
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """The frequent words: sorted hashes, and the tree's symbol of each."""
+    """Sorted hashes of the frequent words, and their counts."""
 
     hashes: np.ndarray
-    symbol: np.ndarray
-
-    @classmethod
-    def of(cls, ranked: np.ndarray) -> Vocabulary:
-        order = np.argsort(ranked)
-        symbol = np.where(np.arange(len(ranked)) < SYMBOLS - 2, np.arange(len(ranked)) + 2, OTHER)
-        return cls(ranked[order], symbol[order].astype(np.uint8))
+    sizes: np.ndarray
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place, whether frequent) of each word hash."""
-        if not len(self.hashes):
-            return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return at, self.hashes[at] == h
-
-    def sequence(self, words: Words, at: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(symbols of a slice, whether each from PAD on belongs to a text). PAD ends come first and after each text."""
-        n = len(words.offsets) - 1
-        symbols = np.zeros(len(words.starts) + PAD * (n + 1), np.uint8)
-        place = np.arange(len(words.starts)) + PAD * (words.doc_of_word() + 1)
-        symbols[place] = OTHER
-        symbols[place[known]] = self.symbol[at[known]]
-        spoken = np.ones(len(symbols) - PAD, bool)
-        after = words.first[1:] + PAD * np.arange(1, n + 1)  # behind each text's last pad, counted from PAD on
-        for j in range(1, PAD):
-            spoken[after - j] = False
-        return symbols, spoken
-
-
-def contexts(symbols: np.ndarray) -> np.ndarray:
-    """The last DEPTH symbols before each place from PAD on, the newest as the lowest digit."""
-    n = len(symbols) - PAD
-    code = np.zeros(n, np.int64)
-    for j in range(DEPTH, 0, -1):
-        code = code * SYMBOLS + symbols[PAD - j : PAD - j + n]
-    return code
+        return find(self.hashes, h)
+
+
+def find(keys: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, whether there) of each value in sorted keys."""
+    if not len(keys):
+        return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+    return at, keys[at] == h
 
 
 def _often(batch):
@@ -102,124 +88,243 @@ def _often(batch):
     yield pa.RecordBatch.from_arrays([word, pa.array(np.append(times, total)), pa.array(texts_of)], ["word", "n", "texts"])
 
 
+def _added(parts):
+    """Counts by key, of several such."""
+    if not parts:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    keys, times = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(keys, kind="stable")
+    keys, times = keys[order], times[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return keys[first], np.add.reduceat(times, first)
+
+
+# --- contexts -------------------------------------------------------------------------------------------
+
+
+def sequence(words: Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, place in its text, text) of the words of a slice, with an end before and behind each text."""
+    size = np.diff(words.first) + 2
+    out = np.full(int(size.sum()), END)
+    out[np.arange(len(h)) + 2 * words.doc_of_word() + 1] = h
+    begins = np.repeat(np.append(0, np.cumsum(size)[:-1]), size)
+    return out, np.arange(len(out)) - begins, np.repeat(np.arange(len(size)), size)
+
+
+def longer(gram: np.ndarray, h: np.ndarray, k: int) -> np.ndarray:
+    """Hash of the k + 1 words up to each place, from that of k; the first k places have none."""
+    out = np.zeros_like(gram)
+    if len(gram) > k:
+        out[k:] = mix(mix(gram[k:]) ^ h[: len(h) - k])
+    return out
+
+
+def marked(field: np.ndarray, h: np.ndarray) -> np.ndarray:
+    bit = h >> np.uint64(64 - FIELD)
+    return (field[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
+
+
+def bit_field(grams: DataFrame) -> np.ndarray:
+    """A bit for each value of column ``gram``; its words, never more than the field has, come to the driver."""
+    bit = F.shiftrightunsigned("gram", 64 - FIELD)
+    bits = grams.select(F.shiftright(bit, 6).alias("at"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(gram, {64 - FIELD}) & 63 as int))").alias("bit"))
+    found = bits.groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    field = np.zeros(1 << (FIELD - 6), np.uint64)
+    field[found["at"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    return field
+
+
+COUNTED = "gram long, context long, suffix long, n long"
+
+
+def _count(batch, k: int, fields: tuple[np.ndarray, np.ndarray]):
+    """(gram, context, suffix, n): how often a word follows k others in training texts. gram names all k + 1, context the k
+    before the word, suffix the last k."""
+    parts: list[list[np.ndarray]] = []
+    held = 0
+    for _, _, data, offsets in text_slices(batch.column(1).filter(pc.invert(batch.column(0)))):
+        words = Words(data, offsets, True)
+        h, place, _ = sequence(words, words.hashes())
+        gram = h
+        for j in range(1, k):
+            gram = longer(gram, h, j)
+        at = np.flatnonzero(place >= k)
+        at = at[marked(fields[0], gram[at - 1])]
+        at = at[marked(fields[1], gram[at])]
+        whole = mix(mix(gram[at]) ^ h[at - k])
+        names, first, times = np.unique(whole, return_index=True, return_counts=True)
+        parts.append([names, gram[at - 1][first], gram[at][first], times])
+        held += len(names)
+        if held > HELD:
+            parts = [_met(parts)]
+            if len(parts[0][0]) > HELD // 2:
+                yield _counts_of(parts.pop())
+            held = sum(len(p[0]) for p in parts)
+    if parts:
+        yield _counts_of(_met(parts))
+
+
+def _met(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
+    names, context, suffix, times = (np.concatenate(x) for x in zip(*parts, strict=True))
+    names, first, number = np.unique(names, return_index=True, return_inverse=True)
+    return [names, context[first], suffix[first], np.bincount(number, times, len(names)).astype(np.int64)]
+
+
+def _counts_of(part: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in part], ["gram", "context", "suffix", "n"])
+
+
+def level(counted: DataFrame, totals: DataFrame, before: DataFrame, min_count: int, min_gain: float) -> tuple[DataFrame, DataFrame]:
+    """Contexts one word longer than those of ``before``: (table, states).
+
+    table: (gram, context, n, total, newest, chance, root, is_state) of next words seen LEAST times or more, chance as the tree
+    gives it after this context, root after none. states: (context, newest, alpha) of the contexts that pass; alpha is
+    log10 of what a pooled word's share in the next shorter state is multiplied by.
+    """
+    shorter = before.select(F.col("gram").alias("suffix"), (F.col("n") / F.col("total")).alias("above"), F.col("chance").alias("shorter"), "root", "newest")
+    rows = counted.where(F.col("n") >= LEAST).join(totals.where(F.col("total") >= min_count), "context").join(shorter, "suffix")
+    rows = stored(rows.withColumn("newest", F.coalesce("newest", "context")), "followers")
+    each = F.col("n") * F.log(F.col("n") / F.col("total") / F.col("above"))
+    sums = rows.groupBy("context", "newest", "total").agg(
+        F.sum("n").alias("n"), F.sum(each).alias("parted"), F.sum("above").alias("above"), F.sum("shorter").alias("shorter"), F.count("*").alias("cells")
+    )
+    rest = F.col("total") - F.col("n")
+    pooled = F.when(rest > 0, rest * F.log(rest / F.col("total") / F.greatest(1 - F.col("above"), F.lit(1e-12)))).otherwise(0.0)
+    left = F.greatest(1 - F.col("shorter"), F.lit(1e-12))
+    alpha = F.log10((rest + PULL * left) / (F.col("total") + PULL) / left)
+    passed = F.round(F.col("parted") + pooled - F.col("cells"), 6) >= min_gain
+    states = stored(sums.where(passed).select("context", "newest", alpha.alias("alpha")), "states")
+    known = states.select("context", F.lit(True).alias("is_state"))
+    own = F.when(F.col("is_state"), (F.col("n") + PULL * F.col("shorter")) / (F.col("total") + PULL)).otherwise(F.col("shorter"))
+    table = rows.join(known, "context", "left").withColumn("chance", own)
+    return stored(table.select("gram", "context", "n", "total", "newest", "chance", "root", "is_state"), "level"), states
+
+
+@dataclass(frozen=True)
+class Part:
+    """Of each context length: states and log10 alpha, next words in states and log10 of their chance over the unigram one."""
+
+    levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+
+    def change(self, words: Words, h: np.ndarray) -> np.ndarray:
+        """What the states of this part add to each text's sum of unigram logarithms."""
+        h, place, doc = sequence(words, h)
+        out, gram = np.zeros(len(h)), h
+        for k, (states, alpha, entries, value) in enumerate(self.levels, 1):
+            further = longer(gram, h, k)
+            at = np.flatnonzero(place >= k)
+            which, there = find(states, gram[at - 1])
+            at, which = at[there], which[there]
+            entry, there = find(entries, further[at])
+            out[at] = np.where(there, value[entry] if len(entries) else 0.0, out[at] + alpha[which])
+            gram = further
+        return np.bincount(doc, out, minlength=len(words.offsets) - 1)
+
+
 @dataclass(frozen=True)
 class Tree:
-    """state_of: state of each context of DEPTH symbols; log10: of each next symbol in each state."""
+    """(table, states) of each context length from one word on."""
+
+    levels: list[tuple[DataFrame, DataFrame]]
+
+    def parts(self, limit: int = BROADCAST_BYTES) -> list[int]:
+        rows = sum(states.count() + table.where("is_state").count() for table, states in self.levels)
+        return list(range(max(1, -(-rows * 16 // limit))))
+
+    def part(self, number: int, of: int) -> Part:
+        mine = F.pmod("newest", F.lit(of)) == number
+        out = []
+        for table, states in self.levels:
+            pairs = (
+                states.where(mine).select(F.col("context").alias("key"), F.col("alpha").alias("value")),
+                table.where(mine & F.col("is_state")).select(F.col("gram").alias("key"), F.log10(F.col("chance") / F.col("root")).alias("value")),
+            )
+            arrays: list[np.ndarray] = []
+            for pair in pairs:
+                found = pair.toArrow()
+                key = found["key"].to_numpy().view(np.uint64)
+                order = np.argsort(key)
+                arrays += [key[order], found["value"].to_numpy()[order]]
+            out.append(tuple(arrays))
+        return Part(out)
+
+
+def grow(rows: DataFrame, root: DataFrame, min_count: int = MIN_COUNT, min_gain: float = MIN_GAIN) -> Tree:
+    """The tree over (held_out, text). root: as a level's table, of contexts of no words."""
+    spark = rows.sparkSession
+    before, levels = root, []
+    while True:
+        fields = spark.sparkContext.broadcast((bit_field(before.where(F.col("n") >= min_count)), bit_field(before)))
+        k = len(levels) + 1
+        counted = map_batches(rows, lambda b, k=k, fields=fields: _count(b, k, fields.value), COUNTED)
+        counted = counted.groupBy("gram", "context", "suffix").agg(F.sum("n").alias("n"))
+        totals = before.select(F.col("gram").alias("context"), F.col("n").alias("total"))
+        before, states = level(counted, totals, before, min_count, min_gain)
+        fields.destroy()
+        levels.append((before, states))
+        if k > 1 and states.isEmpty():
+            return Tree(levels)
+
+
+@dataclass(frozen=True)
+class SmallTree:
+    """log10 of each symbol's share in each state, the root first."""
 
-    state_of: np.ndarray
     log10: np.ndarray
 
-    def score(self, symbols: np.ndarray, spoken: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Sum of log10 over each text, which has ``sizes`` words; its end counts."""
-        each = self.log10[self.state_of[contexts(symbols)], symbols[PAD:]].astype(np.float64)
-        each[~spoken] = 0.0
-        return np.add.reduceat(each, np.append(0, np.cumsum(sizes + PAD))[:-1])
-
-
-def states(counts: DataFrame, max_states: int, min_count: int, min_gain: float) -> DataFrame:
-    """(k, context, symbol, n) of the retained contexts; k is a context's length. counts: (word, n), word a code."""
-    full = counts.select(F.floor(F.col("word") / SYMBOLS).alias("context"), F.pmod("word", F.lit(SYMBOLS)).alias("symbol"), "n")
-    k = F.explode(F.sequence(F.lit(0), F.lit(DEPTH))).alias("k")
-    short = F.pmod("context", F.pow(F.lit(SYMBOLS), "k").cast("long"))
-    levels = full.select("context", "symbol", "n", k).groupBy("k", short.alias("context"), "symbol").agg(F.sum("n").alias("n"))
-    levels = stored(levels, "levels")
-    totals = levels.groupBy("k", "context").agg(F.sum("n").alias("total"))
-    shares = levels.join(totals, ["k", "context"]).where(F.col("total") >= min_count)
-    parent = shares.select((F.col("k") + 1).alias("k"), F.col("context").alias("suffix"), "symbol", (F.col("n") / F.col("total")).alias("above"))
-    own = shares.where("k > 0").withColumn("suffix", F.pmod("context", F.pow(F.lit(SYMBOLS), F.col("k") - 1).cast("long")))
-    each = F.col("n") * F.log(F.col("n") / F.col("total") / F.col("above"))
-    # by chance alone, the gain is about half the number of symbols seen
-    gain = own.join(parent, ["k", "suffix", "symbol"]).groupBy("k", "context").agg((F.sum(each) - F.count("*")).alias("gain"))
-    best = gain.where(F.col("gain") >= min_gain).orderBy(F.desc("gain"), "k", "context").limit(max_states).select("k", "context")
-    return levels.join(F.broadcast(best), ["k", "context"], "left_semi")
-
-
-def build_tree(counts: DataFrame, root: np.ndarray, max_states: int = STATES, min_count: int = MIN_COUNT, min_gain: float = MIN_GAIN, pull: float = 20.0) -> Tree:
-    """The tree over the distribution ``root``; at most ``max_states`` states come to the driver."""
-    found = states(counts, max_states, min_count, min_gain).toArrow()
-    k, context, symbol, n = (found[c].to_numpy() for c in ("k", "context", "symbol", "n"))
-    names, number = np.unique(np.append(0, k.astype(np.int64) * SYMBOLS**DEPTH + context), return_inverse=True)  # by length, the root first
-    table = np.zeros((len(names), SYMBOLS))
-    table[number[1:], symbol] = n
-    state_of = np.zeros(SYMBOLS**DEPTH, np.int32)
-    chance = np.zeros_like(table)
-    chance[0] = root
-    lengths, codes = names // SYMBOLS**DEPTH, names % SYMBOLS**DEPTH
-    for length in range(1, DEPTH + 1):
-        these = np.flatnonzero(lengths == length)
-        shorter = chance[state_of[codes[these]]]
-        chance[these] = (table[these] + pull * shorter) / (table[these].sum(1, keepdims=True) + pull)
-        state_of.reshape(-1, SYMBOLS**length)[:, codes[these]] = these
-    return Tree(state_of, np.log10(np.maximum(chance, 1e-30)).astype(np.float32))
+
+def build_tree(counts: DataFrame, root: np.ndarray, min_count: int = MIN_COUNT, min_gain: float = MIN_GAIN) -> SmallTree:
+    """A tree of contexts of up to two symbols with every share written out, by the same tests, to look at. The symbols are the
+    places of ``root``, s; counts: (word, n), word a context's and the next symbol as digits to the base s."""
+    s = len(root)
+    shares = counts.sparkSession.createDataFrame(list(enumerate(map(float, root))), "gram long, chance double")
+    digits = lambda k: F.pmod("word", F.lit(s**k))
+    n = counts.agg(F.sum("n")).first()[0]
+    before = counts.groupBy(digits(1).alias("gram")).agg(F.sum("n").alias("n")).join(shares, "gram")
+    before = before.select("gram", "n", F.lit(n).alias("total"), F.lit(None).cast("long").alias("newest"), "chance", F.col("chance").alias("root"))
+    dense, found = {(0, 0): root}, [root]
+    for k in (1, 2):
+        context = F.floor(digits(k + 1) / s)
+        counted = counts.groupBy(digits(k + 1).alias("gram"), context.alias("context"), digits(k).alias("suffix")).agg(F.sum("n").alias("n"))
+        before, states = level(counted, counted.groupBy("context").agg(F.sum("n").alias("total")), before, min_count, min_gain)
+        chances = before.where("is_state").collect()
+        for state in states.collect():
+            row = dense.get((k - 1, state.context % s ** (k - 1)), root) * 10.0**state.alpha
+            for r in chances:
+                if r.context == state.context:
+                    row[r.gram % s] = r.chance
+            dense[k, state.context] = row
+            found.append(row)
+    return SmallTree(np.log10(np.maximum(found, 1e-30)))
+
+
+# --- unigrams and scores --------------------------------------------------------------------------------
 
 
 def _occurrences(batch, vocabulary: Vocabulary):
-    """(word, doc_id, text_key, n, kind): each occurrence of a word that isn't frequent, n 1 in training texts, else 0; and,
-    without a doc_id, the training counts of frequent words and of contexts with their next symbols."""
+    """(word, doc_id, text_key, n): each occurrence of a word that isn't frequent, n 1 in training texts, else 0."""
     ids, keys = batch.column(2), batch.column(3)
-    size = len(vocabulary.hashes)
-    sums = np.zeros(size, np.int64)
     learnt = ~batch.column(0).to_numpy(zero_copy_only=False)
-    codes: list[tuple[np.ndarray, np.ndarray]] = []
-    for a, b, data, offsets in text_slices(batch.column(1)):
+    for a, _, data, offsets in text_slices(batch.column(1)):
         words = Words(data, offsets, True)
         h, doc = words.hashes(), words.doc_of_word() + a
-        at, known = vocabulary.find(h)
-        sums += np.bincount(at[known & learnt[doc]], minlength=size)[:size]
-        rare = ~known
+        rare = ~vocabulary.find(h)[1]
         if rare.any():
             which = pa.array(doc[rare])
-            arrays = [pa.array(h[rare].view(np.int64)), ids.take(which), keys.take(which), pa.array(learnt[doc[rare]].astype(np.int64)), pa.array(np.full(len(which), OTHER_WORD, np.int8))]
-            yield pa.RecordBatch.from_arrays(arrays, ["word", "doc_id", "text_key", "n", "kind"])
-        symbols, spoken = vocabulary.sequence(words, at, known)
-        keep = spoken & np.repeat(learnt[a:b], np.diff(words.first) + PAD)
-        code = np.sort((contexts(symbols) * SYMBOLS + symbols[PAD:])[keep])
-        if len(code):
-            first = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
-            codes.append((code[first], np.diff(np.append(first, len(code)))))
-        if len(codes) == 16:
-            codes = [_added(codes)]
-    seen = sums > 0
-    for kind, word, n in ((FREQUENT_WORD, vocabulary.hashes[seen].view(np.int64), sums[seen]), (CONTEXT, *_added(codes))):
-        m = len(word)
-        if m:
-            arrays = [pa.array(word), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.array(n), pa.array(np.full(m, kind, np.int8))]
-            yield pa.RecordBatch.from_arrays(arrays, ["word", "doc_id", "text_key", "n", "kind"])
-
-
-def _added(parts):
-    """Counts by key, of several such."""
-    if not parts:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    keys, times = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.argsort(keys, kind="stable")
-    keys, times = keys[order], times[order]
-    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    return keys[first], np.add.reduceat(times, first)
+            arrays = [pa.array(h[rare].view(np.int64)), ids.take(which), keys.take(which), pa.array(learnt[doc[rare]].astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(arrays, ["word", "doc_id", "text_key", "n"])
 
 
 def _meet_counts(batches):
-    """Over rows sorted by (word, kind): (kind, word or null, n, doc_id, text_key, logs, discounted, known).
-
-    For each frequent word and context a row with its count; for each occurrence of another word one with its log10(count +
-    0.1) and, if training has it, log10(count - DISCOUNT); and, as the count of the null word, how many of these training has.
-    """
+    """Over rows sorted by word: (doc_id, text_key, logs, discounted, known) of each occurrence: log10(count + 0.1) and, if
+    training has the word, log10(count - DISCOUNT)."""
 
-    def finish(word, doc, key, n, kind):
-        word, n, kind = word.to_numpy(), n.to_numpy(), kind.to_numpy()
-        first = np.flatnonzero(np.append(True, (word[1:] != word[:-1]) | (kind[1:] != kind[:-1])))
-        count = np.add.reduceat(n, first)
-        other = kind == OTHER_WORD
-        c = np.repeat(count, np.diff(np.append(first, len(word))))[other]
-        m, mask = len(c), pa.array(other)
-        if m:
-            yield _met(np.full(m, OTHER_WORD, np.int8), pa.nulls(m, pa.int64()), np.zeros(m, np.int64), doc.filter(mask), key.filter(mask), np.log10(c + 0.1), np.log10(np.where(c > 0, c - DISCOUNT, 1.0)), (c > 0).astype(np.int64))
-        heads = first[~other[first]]
-        size = len(heads) + 1
-        words = pa.array(np.append(word[heads], 0), mask=np.append(np.zeros(size - 1, bool), True))
-        counts = np.append(count[~other[first]], int((count[other[first]] > 0).sum()))
-        nothing = np.zeros(size)
-        yield _met(np.append(kind[heads], OTHER_WORD).astype(np.int8), words, counts, pa.nulls(size, pa.int64()), pa.nulls(size, pa.int32()), nothing, nothing, np.zeros(size, np.int64))
+    def finish(word, doc, key, n):
+        word, n = word.to_numpy(), n.to_numpy()
+        first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+        c = np.repeat(np.add.reduceat(n, first), np.diff(np.append(first, len(word))))
+        arrays = [doc, key, pa.array(np.log10(c + 0.1)), pa.array(np.log10(np.where(c > 0, c - DISCOUNT, 1.0))), pa.array((c > 0).astype(np.int64))]
+        yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "text_key", "logs", "discounted", "known"])
 
     held, rows, enough = [], 0, 300_000
     for batch in batches:
@@ -231,21 +336,20 @@ def _meet_counts(batches):
         words = both.column(0).to_numpy()
         cut = int(np.searchsorted(words, words[-1]))  # the last word may go on
         if cut:
-            yield from finish(*(c.combine_chunks() for c in both.slice(0, cut).columns))
+            yield from finish(*(_one(c) for c in both.slice(0, cut).columns))
         held = both.slice(cut).to_batches()
         rows = both.num_rows - cut
         enough = max(300_000, 2 * rows)
     if rows:
-        yield from finish(*(c.combine_chunks() for c in pa.Table.from_batches(held).columns))
+        yield from finish(*(_one(c) for c in pa.Table.from_batches(held).columns))
 
 
-def _met(kind, word, count, doc, key, logs, discounted, known):
-    arrays = [pa.array(kind), word, pa.array(count), doc, key, pa.array(logs), pa.array(discounted), pa.array(known)]
-    arrays = [a.combine_chunks() if isinstance(a, pa.ChunkedArray) else a for a in arrays]
-    return pa.RecordBatch.from_arrays(arrays, ["kind", "word", "n", "doc_id", "text_key", "logs", "discounted", "known"])
+def _one(column: pa.ChunkedArray) -> pa.Array:
+    both = column.combine_chunks()
+    return both.combine_chunks() if isinstance(both, pa.ChunkedArray) else both
 
 
-def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", frequent: int = FREQUENT, max_states: int = STATES) -> DataFrame:
+def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", frequent: int = FREQUENT, part_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), a row for each row of ``docs``.
 
     Tokens are the words, A-Z lower-cased, and one end. Null and empty texts have only the end. Counts come from all texts
@@ -259,57 +363,65 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", frequent:
     totals = often.where("word is null").select("n", "texts").first()
     n_words, n_texts = (totals[0], totals[1]) if totals else (0, 0)
     n = n_words + n_texts
-    ranked = often.where("word is not null").orderBy(F.desc("n"), "word").limit(frequent).select("word").toArrow()["word"].to_numpy()
-    vocabulary = Vocabulary.of(ranked.view(np.uint64))
+    ranked = often.where("word is not null").orderBy(F.desc("n"), "word").limit(frequent).select("word", "n").toArrow()
+    hashes = ranked["word"].to_numpy().view(np.uint64)
+    order = np.argsort(hashes)
+    vocabulary = Vocabulary(hashes[order], ranked["n"].to_numpy()[order])
     words = spark.sparkContext.broadcast(vocabulary)
 
-    occurrences = map_batches(rows, lambda b: _occurrences(b, words.value), "word long, doc_id long, text_key int, n long, kind byte")
-    by_word = occurrences.repartition("word").sortWithinPartitions("word", "kind")
-    met = by_word.mapInArrow(_meet_counts, "kind byte, word long, n long, doc_id long, text_key int, logs double, discounted double, known long")
-    sums = [F.sum(c).alias(c) for c in ("n", "logs", "discounted", "known")]
-    met = stored(met.groupBy("kind", "word", "doc_id", "text_key").agg(*sums), "met")
-
-    exact = met.where(F.col("kind") == FREQUENT_WORD).select("word", "n").toArrow()
-    sizes = np.zeros(len(vocabulary.hashes), np.int64)
-    sizes[vocabulary.find(exact["word"].to_numpy().view(np.uint64))[0]] = exact["n"].to_numpy()
-    others = met.where((F.col("kind") == OTHER_WORD) & F.col("word").isNull() & F.col("doc_id").isNull() & F.col("text_key").isNull()).agg(F.sum("n")).first()[0] or 0
-    known_words = int(others) + int((sizes > 0).sum()) + (n_texts > 0)
+    occurrences = map_batches(rows, lambda b: _occurrences(b, words.value), "word long, doc_id long, text_key int, n long")
+    by_word = occurrences.repartition("word").sortWithinPartitions("word")
+    met = by_word.mapInArrow(_meet_counts, "doc_id long, text_key int, logs double, discounted double, known long")
+    sums = [F.sum(c).alias("their_" + c) for c in ("logs", "discounted", "known")]
+    rest = stored(met.groupBy("doc_id", "text_key").agg(*sums), "met")
+
+    known_words = often.where("word is not null").count() + (n_texts > 0)
     base = float(np.log10(n + 0.1 * (known_words + 1)))
-    share = np.maximum(sizes - DISCOUNT, 0) / max(n, 1)
-    unseen = DISCOUNT * known_words / n if n else 1.0
-    root = np.bincount(vocabulary.symbol, share, minlength=SYMBOLS)[:SYMBOLS] if len(sizes) else np.zeros(SYMBOLS)
-    root[END] = max(n_texts - DISCOUNT, 0) / max(n, 1)
-    root[OTHER] = 1 - root[END] - root[OTHER + 1 :].sum()
-    tree = spark.sparkContext.broadcast(build_tree(met.where(F.col("kind") == CONTEXT).select("word", "n"), root, max_states))
-    # what a frequent word of the other-words symbol adds, by its share of these
-    apart = np.where(vocabulary.symbol == OTHER, np.log10(np.maximum(share, 1e-30) / max(root[OTHER], 1e-30)), 0.0)
-    shared = spark.sparkContext.broadcast((np.log10(sizes + 0.1), (sizes > 0).astype(np.int64), apart))
+    unseen = float(np.log10(DISCOUNT * known_words / n)) if n else 0.0
+    end = float(np.log10((n_texts - DISCOUNT) / n)) if n else unseen
+    root = often.where("word is not null").select(F.col("word").alias("gram"), "n")
+    if n_texts:
+        root = root.unionByName(spark.range(1).select(F.lit(int(END.view(np.int64))).alias("gram"), F.lit(n_texts).cast("long").alias("n")))
+    share = (F.col("n") - DISCOUNT) / max(n, 1)
+    root = root.where(F.col("n") >= LEAST).select("gram", "n", F.lit(n).cast("long").alias("total"), F.lit(None).cast("long").alias("newest"), share.alias("chance"), share.alias("root"))
+    tree = grow(rows.select("held_out", "text"), stored(root, "root"))
+    parts = tree.parts(part_bytes)
+    first = spark.sparkContext.broadcast(tree.part(0, len(parts)))
+    shared = spark.sparkContext.broadcast((np.log10(vocabulary.sizes + 0.1), np.log10((vocabulary.sizes - DISCOUNT) / max(n, 1))))
 
     def work(batch):
-        logs, seen, among = shared.value
+        logs, shares = shared.value
         for a, b, data, offsets in text_slices(batch.column(1)):
             its_words = Words(data, offsets, True)
-            at, known = words.value.find(its_words.hashes())
+            h = its_words.hashes()
+            at, known = words.value.find(h)
             count = np.diff(its_words.first)
-            symbols, spoken = words.value.sequence(its_words, at, known)
             doc, at, size = its_words.doc_of_word()[known], at[known], b - a
             added = lambda x: np.bincount(doc, x, minlength=size)[:size] if len(doc) else np.zeros(size)
-            modelled = tree.value.score(symbols, spoken, count) + added(among[at])
-            hits = added(seen[at]).astype(np.int64) + (n_texts > 0)
-            outside = count - np.bincount(doc, minlength=size)[:size]
-            values = [count + 1, hits, added(logs[at]) + np.log10(n_texts + 0.1), modelled, outside]
+            inside = np.bincount(doc, minlength=size)[:size]
+            changed = first.value.change(its_words, h) + added(shares[at]) + end
+            values = [count + 1, inside + (n_texts > 0), added(logs[at]) + np.log10(n_texts + 0.1), changed, count - inside]
             yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, size) for i in (2, 3, 0)), *map(pa.array, values)], ["doc_id", "text_key", "held_out", "n_tokens", "known", "logs", "score", "outside"])
 
-    scored = map_batches(rows, work, "doc_id long, text_key int, held_out boolean, n_tokens long, known long, logs double, score double, outside long")
-    rest = met.where((F.col("kind") == OTHER_WORD) & F.col("text_key").isNotNull())
-    rest = rest.select("doc_id", "text_key", F.col("known").alias("their_known"), F.col("logs").alias("their_logs"), F.col("discounted").alias("their_discounted"))
-    # rows of one key are equal; the sums of their other words hold all of them
-    parts = [F.first(c).alias(c) for c in ("known", "logs", "score", "outside")]
-    whole = scored.groupBy("doc_id", "text_key", "held_out", "n_tokens").agg(F.count("*").alias("copies"), *parts)
+    def more(batch, part):
+        for a, b, data, offsets in text_slices(batch.column(1)):
+            its_words = Words(data, offsets, True)
+            values = [np.diff(its_words.first) + 1, part.value.change(its_words, its_words.hashes())]
+            nothing = [pa.nulls(b - a, t) for t in (pa.int64(), pa.float64(), pa.int64())]
+            arrays = [*(batch.column(i).slice(a, b - a) for i in (2, 3, 0)), pa.array(values[0]), *nothing[:2], pa.array(values[1]), nothing[2]]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "text_key", "held_out", "n_tokens", "known", "logs", "score", "outside"])
+
+    schema = "doc_id long, text_key int, held_out boolean, n_tokens long, known long, logs double, score double, outside long"
+    scored = map_batches(rows, work, schema)
+    for number in parts[1:]:
+        part = spark.sparkContext.broadcast(tree.part(number, len(parts)))
+        scored = scored.unionByName(map_batches(rows, lambda b, part=part: more(b, part), schema))
+    # rows of one key are equal; the sums of their other words, and of what the parts add, hold all of them
+    alike = [F.first(c, ignorenulls=True).alias(c) for c in ("known", "logs", "outside")]
+    whole = scored.groupBy("doc_id", "text_key", "held_out", "n_tokens").agg(F.count("known").alias("copies"), F.sum("score").alias("score"), *alike)
     same = whole["doc_id"].eqNullSafe(rest["doc_id"]) & (whole["text_key"] == rest["text_key"])
     each = lambda name: F.coalesce(name, F.lit(0)) / F.col("copies")
-    unknown = F.col("outside") - each("their_known")
-    among_others = each("their_discounted") - each("their_known") * F.lit(float(np.log10(max(n, 1)))) + unknown * F.lit(float(np.log10(max(unseen, 1e-30)))) - F.col("outside") * F.lit(float(np.log10(max(root[OTHER], 1e-30))))
+    outside = each("their_discounted") - each("their_known") * F.lit(float(np.log10(max(n, 1)))) + (F.col("outside") - each("their_known")) * F.lit(unseen)
     out = whole.join(rest, same, "left").select(
         whole["doc_id"],
         "held_out",
@@ -317,7 +429,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", frequent:
         (F.col("known") + each("their_known")).cast("long").alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
         (F.col("logs") + each("their_logs") - F.col("n_tokens") * F.lit(base)).alias("base_score"),
-        (F.col("score") + among_others).alias("score"),
+        (F.col("score") / F.col("copies") + outside).alias("score"),
         F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"),
     )
     return out.drop("copy")

@@ -351,6 +351,62 @@ def test_scores_beat_single_words_on_held_out_texts(spark):
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
 
 
+def brute_tree(rows):
+    """(scores, states): the rule of the suffix tree in plain Python, over all words and all lengths of contexts."""
+    texts = [[None, *words_of(t), None] for _, t in rows]
+    learnt = [ws for (i, _), ws in zip(rows, texts, strict=True) if zlib.crc32(str(i).encode()) % 10]
+    n = Counter((w,) for ws in learnt for w in ws[1:])
+    total = sum(n.values())
+    unseen, root = 0.5 * len(n) / total, {g: (c - 0.5) / total for g, c in n.items()}
+    chance, above, alpha, entry = dict(root), {g: c / total for g, c in n.items()}, {}, {}
+    for k in range(1, 1000):
+        grams = Counter(tuple(ws[i - k : i + 1]) for ws in learnt for i in range(k, len(ws)))
+        followers = {}
+        for g, c in grams.items():
+            if n[g[:-1]] >= 50:
+                followers.setdefault(g[:-1], {}).update({g: c} if c >= 5 else {})
+        now, before = {}, len(alpha)
+        for context, found in followers.items():
+            size = n[context]
+            rest, free = size - sum(found.values()), 1 - sum(chance[g[1:]] for g in found)
+            gain = sum(c * math.log(c / size / above[g[1:]]) for g, c in found.items()) - len(found)
+            gain += rest * math.log(rest / size / (1 - sum(above[g[1:]] for g in found))) if rest else 0
+            if found and gain >= 20:
+                alpha[context] = math.log10((rest + 20 * free) / (size + 20) / free)
+            for g, c in found.items():
+                now[g] = (c + 20 * chance[g[1:]]) / (size + 20) if context in alpha else chance[g[1:]]
+                if context in alpha:
+                    entry[g] = math.log10(now[g] / root[g[-1:]])
+        above = {g: c / n[g[:-1]] for f in followers.values() for g, c in f.items()}
+        chance, n = now, grams
+        if k > 1 and len(alpha) == before:
+            break
+    scores, deepest = [], max(map(len, alpha), default=0)
+    for ws in texts:
+        sums = 0.0
+        for i in range(1, len(ws)):
+            sums += math.log10(root.get((ws[i],), unseen))
+            change = 0.0
+            for j in range(i - 1, max(i - 1 - deepest, -1), -1):
+                if tuple(ws[j:i]) in alpha:
+                    change = entry[tuple(ws[j : i + 1])] if tuple(ws[j : i + 1]) in entry else change + alpha[tuple(ws[j:i])]
+            sums += change
+        scores.append(sums)
+    return scores, alpha
+
+
+def test_tree_has_all_words_and_lengths_that_pass(spark):
+    """More than 254 words foretell the next one, and some only the fourth after them."""
+    rng = random.Random(9)
+    far = lambda j: f"far{j % 2} {' '.join('mno'[: 1 + j % 3])} end{j % 2}"
+    rows = [(i, " ".join(rng.choice([f"k{j} v{j}" for j in range(400)] + [far(j) for j in range(102)]) for _ in range(600))) for i in range(90)]
+    scores, states = brute_tree(rows)
+    assert sum(len(s) == 1 for s in states) > 300 and any(len(s) >= 4 for s in states)
+    for options in ({}, {"frequent": 30, "part_bytes": 4000}):
+        got = {r.doc_id: r.score for r in lm_score.score(frame(spark, rows), **options).collect()}
+        assert all(math.isclose(got[i], s, rel_tol=1e-6) for (i, _), s in zip(rows, scores, strict=True))
+
+
 def test_scores_do_not_depend_on_batches(spark):
     """Words that no single text has more than three times count as much as if all texts were one batch."""
     rng = random.Random(8)
