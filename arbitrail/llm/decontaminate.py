@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arbitrail.llm.common import map_batches, rewrite_texts, stored, text_bytes
+from arbitrail.llm.common import REWRITTEN, give_back, map_batches, stored, text_bytes
 
 #: ASCII letters in lower case, digits, and every byte over 7F.
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -260,24 +260,73 @@ def remove_leaks(
     Hit spans of more than ``longest_span`` words, and whole short items, are cut out of the text. A row of whose words
     more than the share ``most_coverage`` is hit goes. Other rows stay as they are, null texts too. No shuffle.
     """
+    groups = list(_groups(item_blocks(items, item_id, item_text)))
+    if not groups:
+        return docs
+    place, name = docs.columns.index(text), "spans"
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
     rows = docs
-    for blocks in _groups(item_blocks(items, item_id, item_text)):
-        rows = rewrite_texts(rows, text, _cleaner(docs, blocks, window, longest_span, most_coverage))
-    return rows
+    if len(groups) > 1:  # the spans of all groups are found on the unchanged text
+        rows = docs.select("*", F.array().cast(SPANS).alias(name))
+        for blocks in groups[:-1]:
+            rows = rows.mapInArrow(_gatherer(docs, blocks, window, place), rows.schema)
+    return rows.mapInArrow(_cleaner(docs, groups[-1], window, longest_span, most_coverage, place), docs.schema)
+
+
+SPANS = "array<struct<a: bigint, b: bigint>>"
 
 
-def _cleaner(docs: DataFrame, blocks: list, window: int, longest_span: int, most_coverage: float):
+def _scanned(docs: DataFrame, blocks: list, window: int, place: int):
+    """Over batches: (a part of its rows, its texts, number of words and hit spans of each); spans found before stand in the last column, if
+    there is one more than ``docs`` has."""
     shared = docs.sparkSession.sparkContext.broadcast(blocks)
+    width = len(docs.columns)
     made: list[Scanner] = []
 
-    def clean(texts: list[bytes | None]) -> list[bytes | None | bool]:
-        if not made:
-            made.append(Scanner(shared.value, window))
-        out: list[bytes | None | bool] = []
-        for data, (n, spans, _) in zip(texts, made[0].scan([t or b"" for t in texts]), strict=True):
-            hit = sum(b - a for a, b in spans)
-            long = [(a, b) for a, b in spans if b - a > longest_span or b - a < window]
-            out.append(False if hit > most_coverage * n else cut(data, long) if long else data)
-        return out
+    def scan(batches):
+        for batch in batches:
+            if not made:
+                made.append(Scanner(shared.value, window))
+            for a in range(0, batch.num_rows, REWRITTEN):  # a part at a time, so that few texts are in memory twice
+                part = batch.slice(a, REWRITTEN)
+                texts = part.column(place).cast(pa.binary()).to_pylist()
+                olds = part.column(width).to_pylist() if part.num_columns > width else [()] * len(texts)
+                found = made[0].scan([t or b"" for t in texts])
+                spans = [(n, merge_spans(hit + [(s["a"], s["b"]) for s in old]) if old else hit) for (n, hit, _), old in zip(found, olds, strict=True)]
+                yield part, texts, spans
+        give_back()
+
+    return scan
+
+
+def _gatherer(docs: DataFrame, blocks: list, window: int, place: int):
+    scan = _scanned(docs, blocks, window, place)
 
-    return clean
+    def work(batches):
+        for part, _, spans in scan(batches):
+            found = pa.array([[{"a": a, "b": b} for a, b in hit] for _, hit in spans], part.columns[-1].type)
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], found], schema=part.schema)
+
+    return work
+
+
+def _cleaner(docs: DataFrame, blocks: list, window: int, longest_span: int, most_coverage: float, place: int):
+    scan = _scanned(docs, blocks, window, place)
+    width = len(docs.columns)
+
+    def clean(data, n: int, spans: list[tuple[int, int]]):
+        hit = sum(b - a for a, b in spans)
+        long = [(a, b) for a, b in spans if b - a > longest_span or b - a < window]
+        return False if hit > most_coverage * n else cut(data, long) if long else data
+
+    def work(batches):
+        for part, texts, spans in scan(batches):
+            out = [clean(data, n, hit) for data, (n, hit) in zip(texts, spans, strict=True)]
+            kind = part.column(place).type
+            cleaned = pa.array([x if x is not False else None for x in out], pa.binary()).cast(kind)
+            arrays = [cleaned if i == place else part.column(i) for i in range(width)]
+            fields = pa.schema([part.schema.field(i) for i in range(width)])
+            yield pa.RecordBatch.from_arrays(arrays, schema=fields).filter(pa.array([x is not False for x in out], pa.bool_()))
+
+    return work

@@ -124,6 +124,19 @@ def test_leaks_are_cut_and_heavy_rows_go(spark):
     assert {r.doc_id: r.text for r in out.collect()} == {1: "Before: a After it all went on for quite some time.", 3: None, 4: "clean, as it is"}
 
 
+def test_leaks_of_many_groups_are_judged_together(spark, monkeypatch):
+    """Coverage adds up over groups, leaks that overlap go whole, and no cut makes a new leak."""
+    a, b, c, d = ([f"{x}{i}" for i in range(30)] for x in "abcd")
+    items = spark.createDataFrame([(1, " ".join(a[:14])), (2, " ".join(a[8:20])), (3, " ".join(b[:12])), (4, " ".join(c[:5] + c[20:26]))], "item_id long, text string")
+    texts = [d + a[:20] + d, a[:14] + b[:12] + d[:20], d + c[:5] + b[:12] + c[20:26] + d, d]
+    rows = [(i, " ".join(ws)) for i, ws in enumerate(texts)]
+    one = sorted(map(repr, decontaminate.remove_leaks(odd(spark, rows), items).collect()))
+    assert len(one) == 3
+    monkeypatch.setattr(decontaminate, "AUTOMATON_WORDS", 3)
+    monkeypatch.setattr(decontaminate, "BLOCKS_AT_ONCE", 1)
+    assert sorted(map(repr, decontaminate.remove_leaks(odd(spark, rows), items).collect())) == one
+
+
 # --- quality rules --------------------------------------------------------------------------------------
 
 
