@@ -100,24 +100,30 @@ class ByteBpe:
                     break
         return np.flatnonzero(start)
 
-    def merge(self, words: list[bytes]) -> list[np.ndarray]:
-        """Token ids of each word."""
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair of symbols; the number of merges for one that doesn't merge."""
+        key = left * self.size + right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.ranks[at], len(self.ranks))
+
+    def merge(self, words: list[bytes]) -> tuple[bytes, list[int]]:
+        """The words' token ids, joined, and the bytes of ids up to each word and its end.
+
+        Ranks are searched once for all pairs, then only for pairs that a merge has changed.
+        """
         if not words:
-            return []
+            return b"", [0]
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         symbols = self.of_byte[np.frombuffer(b"".join(words), np.uint8)]
         owner = np.repeat(np.arange(len(words)), lengths)
         none = len(self.ranks)
+        rank = np.full(len(symbols), none)  # of the pair that begins here
+        if none and len(symbols) > 1:
+            rank[:-1] = np.where(owner[:-1] == owner[1:], self._rank(symbols[:-1], symbols[1:]), none)
         done: list[tuple[np.ndarray, np.ndarray]] = []
-        while len(symbols) > 1 and none:
-            key = symbols[:-1] * self.size + symbols[1:]
-            at = np.minimum(np.searchsorted(self.keys, key), none - 1)
-            rank = np.where((self.keys[at] == key) & (owner[:-1] == owner[1:]), self.ranks[at], none)
-            rank = np.append(rank, none)
+        while len(symbols):
             heads = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
-            best = np.minimum.reduceat(rank, heads)
-            sizes = np.diff(np.append(heads, len(owner)))
-            least = np.repeat(best, sizes)
+            least = np.repeat(np.minimum.reduceat(rank, heads), np.diff(np.append(heads, len(owner))))
             finished = least == none
             if finished.any():
                 done.append((owner[finished], symbols[finished]))
@@ -125,8 +131,7 @@ class ByteBpe:
                 symbols, owner, rank, least = symbols[going], owner[going], rank[going], least[going]
                 if not len(symbols):
                     break
-            chosen = rank == least
-            places = np.flatnonzero(chosen)
+            places = np.flatnonzero(rank == least)
             # of overlapping pairs (the same symbol again and again) every second one merges
             run = np.flatnonzero(np.append(True, np.diff(places) > 1))
             in_run = np.arange(len(places)) - np.repeat(run, np.diff(np.append(run, len(places))))
@@ -134,17 +139,23 @@ class ByteBpe:
             symbols[places] = self.merged[rank[places]]
             keep = np.ones(len(symbols), bool)
             keep[places + 1] = False
-            symbols, owner = symbols[keep], owner[keep]
-        if len(symbols):
-            done.append((owner, symbols))
+            symbols, owner, rank = symbols[keep], owner[keep], rank[keep]
+            places -= np.arange(len(places))
+            changed = np.concatenate([places, places[places > 0] - 1])
+            inside = changed < len(symbols) - 1
+            rank[changed[~inside]] = none
+            changed = changed[inside]
+            same = owner[changed] == owner[changed + 1]
+            rank[changed[~same]] = none
+            changed = changed[same]
+            rank[changed] = self._rank(symbols[changed], symbols[changed + 1])
         owner, symbols = (np.concatenate(x) for x in zip(*done, strict=True))
-        order = np.argsort(owner, kind="stable")
         counts = np.bincount(owner, minlength=len(words))
-        return np.split(symbols[order].astype("<u4"), np.cumsum(counts)[:-1])
+        return symbols[np.argsort(owner, kind="stable")].astype("<u4").tobytes(), np.append(0, 4 * np.cumsum(counts)).tolist()
 
     def _learn(self, words: list[str]) -> None:
-        for word, ids in zip(words, self.merge([w.encode("utf-8", "surrogatepass") for w in words]), strict=True):
-            self.cache[word] = ids.tobytes()
+        ids, bounds = self.merge([w.encode("utf-8", "surrogatepass") for w in words])
+        self.cache.update(zip(words, (ids[a:b] for a, b in zip(bounds, bounds[1:], strict=False)), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Token ids of each text as little-endian unsigned 32-bit integers; special tokens in a text are their ids."""
