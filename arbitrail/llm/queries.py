@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -214,6 +216,89 @@ def op9_lm_score(spark, sf):
     return score(table(spark, sf, "documents"))
 
 
+#: Relation crc(t): the 256 remainders of CRC-32, from its polynomial.
+CRC_SQL = """crc AS MATERIALIZED (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) AS u(i)))"""
+
+
+def crc_of(chars: str) -> str:
+    """SQL for the CRC-32 of a list of characters up to U+07FF in UTF-8."""
+    octets = f"flatten(list_transform({chars}, lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)] ELSE [192 + (unicode(x) >> 6), 128 + (unicode(x) & 63)] END))"
+    return f"xor(list_reduce(list_prepend(4294967295, {octets}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+OP11_SQL = rf"""
+WITH {CRC_SQL},
+given AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, {crc_of("string_split(CAST(doc_id AS VARCHAR), '')")} AS h FROM documents, crc),
+places AS (SELECT doc_id, w, len(w) AS n, h % 10 = 0 AND len(w) > 0 AS planted, (h // 10) % greatest(len(w), 1) AS a, 3 + (h // 10) % 8 AS parts FROM given),
+doc AS MATERIALIZED (SELECT doc_id, n, CASE WHEN planted THEN list_transform(range(n), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % (1 + (n - a) // parts) + 1] END) ELSE w END AS w FROM places),
+lags AS MATERIALIZED (SELECT DISTINCT doc_id, q FROM (SELECT doc_id, w, n, q FROM doc, unnest(range(1, n // 4 + 1)) AS u(q)), unnest(range(0, n - 3 * q, q)) AS v(j)
+  WHERE w[j + 1] = w[j + q + 1] AND w[j + q + 1] = w[j + 2 * q + 1] AND w[j + 2 * q + 1] = w[j + 3 * q + 1]),
+breaks AS (SELECT doc_id, q, i FROM lags JOIN doc USING (doc_id), unnest(range(0, n - q)) AS u(i) WHERE w[i + 1] <> w[i + q + 1] UNION ALL SELECT doc_id, q, n - q FROM lags JOIN doc USING (doc_id)),
+gaps AS (SELECT doc_id, q, 1 + coalesce(lag(i) OVER (PARTITION BY doc_id, q ORDER BY i), -1) AS s, i AS e FROM breaks),
+runs AS MATERIALIZED (SELECT doc_id, s, e - s + q AS n, min(q) AS q FROM gaps WHERE e - s + q >= greatest(6, 4 * q) AND e > s GROUP BY doc_id, s, e - s + q),
+named AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || n || ',' || q || chr(10), '' ORDER BY s, q) AS listed FROM runs GROUP BY doc_id),
+best AS (SELECT doc_id, s, n, q FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY CAST(n AS DOUBLE) / q DESC, s, q) = 1),
+gone AS (SELECT DISTINCT doc_id, i FROM runs, unnest(range(s + q, s + n)) AS u(i)),
+words AS (SELECT doc_id, i, w[i + 1] AS x FROM doc SEMI JOIN runs USING (doc_id), unnest(range(n)) AS u(i)),
+cut AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS t FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, d.n AS n_words, coalesce(n_runs, 0) AS n_runs, CAST(s AS BIGINT) AS start, CAST(b.n AS BIGINT) AS length, CAST(b.q AS BIGINT) AS period, CAST(1000 * b.n // b.q AS BIGINT) AS exponent_milli,
+  sha256(coalesce(listed, '')) AS runs_sha256, sha256(CASE WHEN n_runs IS NULL THEN array_to_string(d.w, ' ') ELSE coalesce(t, '') END) AS collapsed_sha256
+FROM doc d LEFT JOIN named USING (doc_id) LEFT JOIN best b USING (doc_id) LEFT JOIN cut USING (doc_id)
+"""
+
+
+def planted_periods(doc_id, words):
+    """The contract's change of a tenth of the texts: from some word on, a passage again and again."""
+    h = zlib.crc32(str(doc_id).encode())
+    n, g = len(words), h // 10
+    if doc_id is None or h % 10 or not n:
+        return words
+    a = g % n
+    period = 1 + (n - a) // (3 + g % 8)
+    return np.concatenate([words[:a], np.resize(words[a : a + period], n - a)])
+
+
+@query(OP11_SQL)
+def op11_periodic_runs(spark, sf):
+    from arbitrail.llm.period_runs import digests
+
+    return digests(table(spark, sf, "documents"), rewrite=planted_periods)
+
+
+OP12_SQL = rf"""
+WITH RECURSIVE {CRC_SQL},
+runs AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) AS r FROM documents),
+counted AS (SELECT doc_id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r, count(*) AS c FROM runs GROUP BY ALL),
+hashed AS (SELECT r, c, {crc_of("string_split(doc_id || ':' || r, '')")} AS h FROM counted, crc),
+changed AS (SELECT CASE WHEN h % 97 = 0 THEN substr(r, 1, h % length(r)) || substr(r, h % length(r) + 2) ELSE r END AS word, c FROM hashed),
+words AS MATERIALIZED (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM changed GROUP BY word HAVING sum(c) >= 3 AND length(word) >= 5),
+shorter AS MATERIALIZED (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS s FROM words, unnest(range(1, length(word) + 1)) AS u(i)),
+pairs AS (SELECT x.word AS a, y.word AS b FROM shorter x JOIN shorter y ON x.s = y.s AND x.i = y.i AND x.word <> y.word
+  UNION SELECT s.word, w.word FROM shorter s JOIN words w ON w.word = s.s UNION SELECT w.word, s.word FROM shorter s JOIN words w ON w.word = s.s),
+ranked AS (SELECT a AS word, b AS near, n AS m, count(*) OVER (PARTITION BY a) AS n_near, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS k FROM pairs JOIN words ON word = b),
+forms AS MATERIALIZED (SELECT w.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * n THEN near END AS form, CASE WHEN m >= 2 * n THEN m END AS form_n FROM words w LEFT JOIN ranked r ON r.word = w.word AND k = 1),
+chain(word, tip, depth) AS (SELECT word, word, 0 FROM words UNION ALL SELECT c.word, f.form, depth + 1 FROM chain c JOIN forms f ON f.word = c.tip WHERE f.form IS NOT NULL)
+SELECT f.word, n, form, root, n_near, form_n FROM forms f JOIN (SELECT word, arg_max(tip, depth) AS root FROM chain GROUP BY word) USING (word)
+"""
+
+
+def spelling_slip(doc_id, word):
+    """The contract's change of one word in 97 of a text: a letter is missing."""
+    h = zlib.crc32(f"{'' if doc_id is None else doc_id}:{word}".encode())
+    if h % 97:
+        return word
+    at = h % len(word)
+    return word[:at] + word[at + 1 :]
+
+
+@query(OP12_SQL)
+def op12_spelling_variants(spark, sf):
+    from arbitrail.llm.spelling_groups import variants
+
+    return variants(table(spark, sf, "documents"), rewrite=spelling_slip)
+
+
 @query()
 def pipeline(spark, sf):
     import corpus_pipeline
