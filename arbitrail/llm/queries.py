@@ -299,6 +299,15 @@ def op12_spelling_variants(spark, sf):
     return variants(table(spark, sf, "documents"), rewrite=spelling_slip)
 
 
+@query()
+def op13_packing(spark, sf):
+    import public_tokenizers
+
+    from arbitrail.llm.packing import pack
+
+    return pack(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 @query()
 def pipeline(spark, sf):
     import corpus_pipeline
