@@ -32,11 +32,15 @@ def as_raw_events(df: DataFrame) -> DataFrame:
 def spread(events: DataFrame) -> DataFrame:
     """Events over enough tasks for the fan-out: a source smaller than one split for each task is dealt out anew.
 
-    A larger one keeps its splits, so nothing is shuffled before the fan-out. The size is the optimiser's estimate.
+    It is dealt by time, partition and offset, so that a task meets few days and their files are time slices. A larger source keeps its
+    splits, so nothing is shuffled before the fan-out. The size is the optimiser's estimate.
     """
     n = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = int(str(events._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return events if size >= n * SPLIT_BYTES else events.repartition(n)
+    order = [c for c in ("ts", "partition", "offset") if c in events.columns]
+    if size >= n * SPLIT_BYTES:
+        return events
+    return events.repartitionByRange(n, *order) if order else events.repartition(n)
 
 
 def parse_events(raw: DataFrame) -> DataFrame:

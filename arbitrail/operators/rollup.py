@@ -9,10 +9,10 @@ from arbitrail.functions.text import hour_key
 from arbitrail.schema import BACKFILL_HOURS, ERRORED, MATCHED, RECOMPUTE_HOURS, UNMATCHED
 
 
-def rule_rollups(audits: DataFrame) -> DataFrame:
-    """Counts and latency sums per (hour, rule); one shuffle of partially aggregated rows."""
+def rule_rollups(audits: DataFrame, *by: str) -> DataFrame:
+    """Counts and latency sums per (hour, rule), and per further columns; one shuffle of partially aggregated rows."""
     kind = F.col("audit_type")
-    return audits.groupBy(hour_key(F.col("timestamp")).alias("hour"), "rule_id").agg(
+    return audits.groupBy(*by, hour_key(F.col("timestamp")).alias("hour"), "rule_id").agg(
         F.count_if(kind == MATCHED).alias("matched"),
         F.count_if(kind == UNMATCHED).alias("unmatched"),
         F.count_if(kind == ERRORED).alias("errored"),

@@ -461,6 +461,116 @@ def q_store_two_streams(spark, sf):
     return store.latest().select("audit_id", "rule_id", "audit_type")
 
 
+def _since_the_15th(spark, sf) -> DataFrame:
+    return X.click_events(spark, sf).where(F.col("ts") >= at("2024-01-15 00:00:00"))
+
+
+def _judged_anew(spark, sf) -> DataFrame:
+    return A.audits(_since_the_15th(spark, sf), R.take_snapshot(changed_rules(spark)), reasons=False, source=False, routed=False)
+
+
+@query
+def q_audit_repeats(spark, sf):
+    """A batch in which a quarter of the records came twice holds each audit once."""
+    store, audits = AuditStore(spark, shared_dir(spark, "store")), click_audits(spark, sf)
+    store.write_batch(audits.unionByName(audits.where("partition < 5")), run_seq=1, batch_id=0)
+    return store.latest().select("audit_id", "rule_id", "audit_type")
+
+
+@query
+def q_audit_overlap(spark, sf):
+    """Batches that share some records with each other and within themselves, then a rerun of a part."""
+    store, audits = AuditStore(spark, shared_dir(spark, "store")), click_audits(spark, sf)
+    shares = ["partition < 8", "partition between 6 and 12", "partition > 12"]
+    for batch_id, share in enumerate(shares):
+        rows = audits.where(share)
+        store.write_batch(rows.unionByName(rows.where("partition in (0, 7, 15)")), run_seq=1, batch_id=batch_id)
+    store.write_batch(_judged_anew(spark, sf), run_seq=2, batch_id=0)
+    return store.latest().select("audit_id", "rule_id", "audit_type")
+
+
+@query
+def q_audit_compacted_twice(spark, sf):
+    """Two ranges of days compacted one after the other, under one number, and the first of them once more."""
+    store = _store_with_rerun(spark, sf)
+    for low, high in (("2024-01-05", "2024-01-12"), ("2024-01-12", "2024-01-20"), ("2024-01-05", "2024-01-12")):
+        store.compact(7, at(f"{low} 00:00:00"), at(f"{high} 00:00:00"))
+    return store.latest().select("audit_id", "rule_id", "audit_type")
+
+
+@query
+def q_rerun_after_compaction(spark, sf):
+    """A run that ends after the days it judges anew were compacted, with a number below the compaction's."""
+    store = AuditStore(spark, shared_dir(spark, "store"))
+    store.write_batch(click_audits(spark, sf), run_seq=1, batch_id=0)
+    store.compact(7, at("2024-01-10 00:00:00"), at("2024-01-25 00:00:00"))
+    store.write_batch(_judged_anew(spark, sf), run_seq=2, batch_id=0)
+    return store.latest().select("audit_id", "rule_id", "audit_type")
+
+
+def _replayed_store(spark, sf, compacted: bool) -> AuditStore:
+    """Two batches, rolled up; then the second is replayed with a changed rule, its days compacted meanwhile or not."""
+    store, audits = AuditStore(spark, shared_dir(spark, "store")), click_audits(spark, sf)
+    early = F.col("timestamp") < at("2024-01-15 00:00:00")
+    store.write_batch(audits.where(early), run_seq=1, batch_id=0)
+    store.write_batch(audits.where(~early), run_seq=1, batch_id=1)
+    store.refresh_rollups(at("2024-02-01 00:00:00"))
+    if compacted:
+        store.compact(1, at("2024-01-10 00:00:00"), at("2024-01-20 00:00:00"))
+        store.refresh_rollups(at("2024-02-01 00:00:00"))
+    rules = X.click_rules(spark).where("rule_id <> 'c1'").unionByName(changed_rules(spark).where("rule_id = 'c1'"))
+    store.write_batch(A.audits(_since_the_15th(spark, sf), R.take_snapshot(rules), reasons=False, source=False, routed=False), run_seq=1, batch_id=1)
+    store.refresh_rollups(at("2024-02-01 00:00:00"))
+    return store
+
+
+@query
+def q_rollup_replayed(spark, sf):
+    """Rollups after a batch was replayed with a changed rule, all its hours long before the trailing window."""
+    return _replayed_store(spark, sf, compacted=False).rule_rollups().select("hour", "rule_id", "matched", "unmatched", "errored", "count")
+
+
+@query
+def q_rollup_replayed_compacted(spark, sf):
+    """The same after some days of the replayed batch had been compacted with another's."""
+    return _replayed_store(spark, sf, compacted=True).rule_rollups().select("hour", "rule_id", "matched", "unmatched", "errored", "count")
+
+
+@query
+def q_store_commit(spark, sf):
+    """A write that stops before it is published and a compaction that stops half way leave the state before."""
+    store = _store_with_rerun(spark, sf)
+    half = store.begin(run_seq=9, batch_id=0)
+    half.audits(click_audits(spark, sf))
+
+    def stop(change):
+        raise InterruptedError
+
+    stopped = AuditStore(spark, store.root)
+    stopped.log.publish = stop
+    try:
+        stopped.compact(3, at("2024-01-10 00:00:00"), at("2024-01-20 00:00:00"))
+    except InterruptedError:
+        pass
+    return store.latest().select("audit_id", "rule_id", "audit_type")
+
+
+@query
+def q_store_top(spark, sf):
+    """The newest ten matches of a range of weeks, by the store's counts of each hour, after a part was judged anew."""
+    rows = _store_with_rerun(spark, sf).top("MATCHED", at(RANGE[1]), at(RANGE[0]), at(RANGE[1]))
+    return rows.select("audit_id", "rule_id", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("at"))
+
+
+@query
+def q_load_errors_stored(spark, sf):
+    """The rules a batch couldn't evaluate as they are, as the store keeps them, with their stored errors."""
+    store = AuditStore(spark, shared_dir(spark, "store"))
+    pipeline.process_batch(X.click_columns(X.table(spark, sf, "events")), 0, store, lambda: X.guarded_rules(spark), event_schema=X.CLICK_SCHEMA)
+    errors = store.latest().where("audit_type = 'ERRORED'").groupBy("rule_id").agg(F.count("*").alias("errors"))
+    return store.load_errors().join(errors, "rule_id", "left").select("rule_id", "verdict", F.coalesce("errors", F.lit(0)).alias("errors"))
+
+
 # --- analytics -----------------------------------------------------------------------------------------
 
 
@@ -650,7 +760,7 @@ def q_stream_dedup(spark, sf):
 
 @query
 def q_audit_messages(spark, sf):
-    """Audit messages streamed into a store, some cut off: what it holds, and how many it set aside."""
+    """Audit messages streamed into a store, some cut off: what it holds, each with its event's id, and how many it set aside."""
     folder = shared_dir(spark, "stream")
     messages = A.audit_json(click_audits(spark, sf))
     offset = F.get_json_object("audit_json", "$.offset").cast("bigint")
@@ -658,5 +768,5 @@ def q_audit_messages(spark, sf):
     messages.select(cut.alias("audit_json")).repartition(3).write.parquet(f"{folder}/in")
     store = AuditStore(spark, f"{folder}/out")
     pipeline.start_audit_messages(stream_events(spark, f"{folder}/in", "audit_json string", 1), store, f"{folder}/checkpoint").awaitTermination()
-    good = store.latest().groupBy("audit_type").agg(F.count("*").alias("messages"))
+    good = store.latest().groupBy("audit_type").agg(F.count("event_id").alias("messages"))
     return good.unionByName(store.part("audit_poison").agg(F.count("*").alias("messages")).select(F.lit("unreadable").alias("audit_type"), "messages"))

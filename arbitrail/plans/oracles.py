@@ -303,6 +303,22 @@ def oracles() -> dict[str, str]:
             for i, m in enumerate(("1995-06-30", "1997-06-30"))
         ),
         "q_audit_latest": RERUN.replace('{since}', "2024-01-15 00:00:00") + "SELECT * FROM latest",
+        **dict.fromkeys(
+            ("q_audit_overlap", "q_audit_compacted_twice", "q_rerun_after_compaction", "q_store_commit"), RERUN.replace("{since}", "2024-01-15 00:00:00") + "SELECT * FROM latest"
+        ),
+        "q_audit_repeats": f"{WITH} SELECT audit_id, rule_id, audit_type FROM audits",
+        **dict.fromkeys(
+            ("q_rollup_replayed", "q_rollup_replayed_compacted"),
+            RERUN.replace("{since}", "2024-01-15 00:00:00").replace("SELECT audit_id, rule_id, CASE", "SELECT ts, audit_id, rule_id, CASE")
+            + f"""SELECT {HOUR} AS hour, rule_id, count(*) FILTER (audit_type = 'MATCHED') AS matched, count(*) FILTER (audit_type = 'UNMATCHED') AS unmatched,
+              count(*) FILTER (audit_type = 'ERRORED') AS errored, count(*) AS "count" FROM latest GROUP BY 1, 2""",
+        ),
+        "q_store_top": RERUN.replace("{since}", "2024-01-15 00:00:00").replace("SELECT audit_id, rule_id, CASE", "SELECT ts, audit_id, rule_id, CASE")
+        + f"""SELECT audit_id, rule_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS "at" FROM latest WHERE audit_type = 'MATCHED'
+          AND ts BETWEEN TIMESTAMP '{RANGE[0]}' AND TIMESTAMP '{RANGE[1]}' ORDER BY ts DESC, audit_id LIMIT 10""",
+        "q_load_errors_stored": f"""WITH {EV} x AS (SELECT 1) SELECT rule_id, verdict, CASE WHEN verdict = 'unparseable' THEN 0 ELSE {good} END AS errors FROM (VALUES
+          ('s6', 'refused'), ('s7', 'not_boolean'), ('s8', 'unparseable'), ('s9', 'refused'), ('t2', 'refused'), ('t3', 'refused'), ('t4', 'refused'),
+          ('t5', 'refused'), ('u1', 'bad_clause'), ('u2', 'bad_clause'), ('u3', 'bad_clause'), ('u4', 'bad_clause'), ('u5', 'bad_clause')) AS v(rule_id, verdict)""",
         "q_audit_replay": RERUN.replace('{since}', "2024-01-15 00:00:00") + "SELECT rule_id, audit_type, count(*) AS audits FROM latest GROUP BY ALL",
         "q_audit_versions": RERUN.replace('{since}', "1970-01-01") + "SELECT rule_id, audit_type, count(*) AS audits FROM latest GROUP BY ALL",
         "q_audit_poison": f"""{WITH} SELECT CASE WHEN "offset" % 53 = 0 THEN 'unreadable' ELSE audit_type END AS audit_type, count(*) AS messages FROM audits GROUP BY 1""",

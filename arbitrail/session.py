@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 # Settings the results depend on. A session made elsewhere gets them from ``prepare``.
@@ -65,3 +66,44 @@ def remove_folder(spark: SparkSession, folder: str) -> None:
 def folder_exists(spark: SparkSession, folder: str) -> bool:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
+def names_in(spark: SparkSession, folder: str) -> list[str]:
+    """Names of what lies in a folder; none while it isn't there."""
+    if not folder_exists(spark, folder):
+        return []
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return [f.getPath().getName() for f in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)]
+
+
+def read_text(spark: SparkSession, file: str) -> str:
+    path = spark._jvm.org.apache.hadoop.fs.Path(file)
+    stream = path.getFileSystem(spark._jsc.hadoopConfiguration()).open(path)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_text_once(spark: SparkSession, file: str, text: str) -> bool:
+    """Writes a small file under another name and renames it, so that it is there whole or not at all. False, and nothing
+    changed, if a file of that name exists."""
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    target, draft = hadoop.Path(file), hadoop.Path(f"{file}.{uuid.uuid4().hex[:12]}.tmp")
+    files = target.getFileSystem(conf)
+    out = files.create(draft, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    keep = getattr(hadoop, "Options$Rename").NONE  # an existing file is not replaced
+    options = spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 1)
+    options[0] = keep
+    try:
+        hadoop.FileContext.getFileContext(target.toUri(), conf).rename(draft, target, options)
+    except Py4JJavaError as error:
+        files.delete(draft, False)
+        if "FileAlreadyExistsException" in str(error.java_exception.getClass().getName()):
+            return False
+        raise
+    return True

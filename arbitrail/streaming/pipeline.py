@@ -14,11 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from arbitrail.functions.keys import event_id
 from arbitrail.operators.audit import audit_json, audits, read_audit_json, routed_events
 from arbitrail.operators.parse import as_raw_events, quarantine, spread
+from arbitrail.operators.predicates import ACCEPTED
 from arbitrail.operators.rollup import rule_rollups
-from arbitrail.operators.rules import take_snapshot
-from arbitrail.schema import AUDITS, RULE_ROLLUPS
+from arbitrail.operators.rules import load_errors, take_snapshot
+from arbitrail.schema import AUDITS, ERRORED, MATCHED, RULE_PARSE, RULE_ROLLUPS
 from arbitrail.session import folder_exists
 from arbitrail.sources.events import kafka_records
 from arbitrail.sources.store import AuditStore
@@ -43,6 +45,9 @@ def process_batch(
 ) -> None:
     """Evaluates and stores one batch; safe to call again with the same batch id of the same stream.
 
+    Its tables are published together, by one commit entry: a batch that stopped half way isn't seen in any of them. Rules that can't be evaluated
+    as they are go to the table of load errors of their version.
+
     ``topics`` gets (topic, keyed text records, stream, batch id) of routed events and audits, for a topic or ``file_topics``.
     With ``narrow`` reason, source and routed text stay out of the audits; ``full_audits`` makes them again from events and
     the stored rule texts.
@@ -53,18 +58,22 @@ def process_batch(
     try:
         if events.isEmpty():
             return
-        snapshot = take_snapshot(load_rules(), event_schema)
-        store.write_rule_texts(snapshot.texts, snapshot.version)
+        rules = load_rules()
+        snapshot = take_snapshot(rules, event_schema)
+        if not store.knows_version(snapshot.version):
+            store.write_load_errors(load_errors(rules, event_schema).where(F.col("verdict") != ACCEPTED), snapshot.version)
+            store.write_rule_texts(snapshot.texts, snapshot.version)
         stamped = spread(events).withColumn("processed_at", F.lit(datetime.now(timezone.utc)))
-        store.write_batch(audits(stamped, snapshot, reasons=not narrow, source=not narrow), run_seq, batch_id, stream)
-        written = store.batch(run_seq, batch_id, stream)
-        store.write_part("routed_events", routed_events(written), run_seq, batch_id, stream)
-        store.write_part("quarantine", quarantine(events), run_seq, batch_id, stream)
+        batch = store.begin(run_seq, batch_id, stream)
+        written = batch.audits(audits(stamped, snapshot, reasons=not narrow, source=not narrow))
+        batch.table("routed_events", routed_events(written))
+        batch.table("quarantine", quarantine(events))
         if json_sink:
-            store.write_part("audit_json", audit_json(written), run_seq, batch_id, stream)
+            batch.table("audit_json", audit_json(written))
         if topics:
             topics("routed_events", kafka_records(routed_events(written), "event_id", "routed_event"), stream, batch_id)
             topics("audits", kafka_records(audit_json(written), "event_id", "audit_json"), stream, batch_id)
+        batch.publish()
     finally:
         events.unpersist()
         if snapshot:
@@ -142,12 +151,24 @@ def start_dedup(audit_rows: DataFrame, folder: str, checkpoint: str) -> Streamin
 
 
 def start_audit_messages(messages: DataFrame, store: AuditStore, checkpoint: str, run_seq: int = 1) -> StreamingQuery:
-    """A stream of audit messages (``audit_json``) into the store; unreadable ones are kept in its part ``audit_poison``."""
+    """A stream of audit messages (``audit_json``) into the store; unreadable ones are kept in its part ``audit_poison``.
+
+    What a message doesn't carry follows from what it does: the event's id from topic, partition and offset, the outcome code of a match or an
+    unreadable event from its type, and the number of the failed clause from an error's reason. Other codes and the rule version stay null.
+    """
 
     def keep(batch: DataFrame, batch_id: int) -> None:
         readable, poison = read_audit_json(batch)
-        missing = {f.name: F.lit(None).cast(f.dataType) for f in AUDITS if f.name not in readable.columns}
-        store.write_batch(readable.withColumns(missing).select(*AUDITS.fieldNames()), run_seq, batch_id, stream_id(batch))
-        store.write_part("audit_poison", poison, run_seq, batch_id, stream_id(batch))
+        number = F.regexp_extract("reason", r"^CLAUSE_ERROR (\d+) ", 1)
+        made = {
+            "event_id": event_id(F.col("source_topic"), F.col("partition"), F.col("offset")),
+            "code": F.when(F.col("audit_type") == MATCHED, 0).when(F.col("rule_id") == RULE_PARSE, -1),
+            "failed_clause_no": F.when((F.col("audit_type") == ERRORED) & (number != ""), number.cast("int")),
+        }
+        missing = {f.name: F.lit(None).cast(f.dataType) for f in AUDITS if f.name not in readable.columns and f.name not in made}
+        audits_batch = store.begin(run_seq, batch_id, stream_id(batch))
+        audits_batch.audits(readable.withColumns(made | missing).select(*AUDITS.fieldNames()))
+        audits_batch.table("audit_poison", poison)
+        audits_batch.publish()
 
     return messages.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(keep).start()
