@@ -68,10 +68,14 @@ class ByteBpe:
         self.size = size
         self.of_byte = np.array([vocab[c] for c, _ in sorted(of_char.items(), key=lambda x: x[1])], np.int64)
         pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
-        keys = np.array([vocab[a] * size + vocab[b] for a, b in pairs], np.int64)
+        kind = np.uint32 if size <= 1 << 16 else np.int64  # of a key of two symbols
+        keys = np.array([vocab[a] * size + vocab[b] for a, b in pairs], kind)
         order = np.argsort(keys)
-        self.keys, self.ranks = keys[order], order
-        self.merged = np.array([vocab[a + b] for a, b in pairs], np.int64)
+        self.keys, self.ranks = keys[order], order.astype(np.int32)
+        self.merged = np.array([vocab[a + b] for a, b in pairs], kind)
+        self.of_byte = self.of_byte.astype(kind)
+        left, right = np.divmod(np.arange(1 << 16), 256)
+        self.byte_ranks = self._rank(self.of_byte[left], self.of_byte[right]) if pairs else np.zeros(1 << 16, np.int32)
         self.kinds = character_classes()
         self.splitter = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.cache: dict[str, bytes] = {}
@@ -102,24 +106,26 @@ class ByteBpe:
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair of symbols; the number of merges for one that doesn't merge."""
-        key = left * self.size + right
+        key = left * self.keys.dtype.type(self.size) + right
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.ranks[at], len(self.ranks))
+        return np.where(self.keys[at] == key, self.ranks[at], np.int32(len(self.ranks)))
 
     def merge(self, words: list[bytes]) -> tuple[bytes, list[int]]:
         """The words' token ids, joined, and the bytes of ids up to each word and its end.
 
-        Ranks are searched once for all pairs, then only for pairs that a merge has changed.
+        Ranks of pairs of bytes were searched when the file was read; then only pairs that a merge has changed are searched for.
         """
         if not words:
             return b"", [0]
         lengths = np.fromiter(map(len, words), np.int64, len(words))
-        symbols = self.of_byte[np.frombuffer(b"".join(words), np.uint8)]
-        owner = np.repeat(np.arange(len(words)), lengths)
-        none = len(self.ranks)
+        octets = np.frombuffer(b"".join(words), np.uint8)
+        symbols = self.of_byte[octets]
+        owner = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
+        none = np.int32(len(self.ranks))
         rank = np.full(len(symbols), none)  # of the pair that begins here
         if none and len(symbols) > 1:
-            rank[:-1] = np.where(owner[:-1] == owner[1:], self._rank(symbols[:-1], symbols[1:]), none)
+            of_bytes = self.byte_ranks[octets[:-1].astype(np.uint16) << np.uint16(8) | octets[1:]]
+            rank[:-1] = np.where(owner[:-1] == owner[1:], of_bytes, none)
         done: list[tuple[np.ndarray, np.ndarray]] = []
         while len(symbols):
             heads = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
@@ -193,13 +199,14 @@ class ByteBpe:
         starts = self.word_starts(joined, breaks[:-1])
         bounds = starts.tolist()
         words = [joined[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
-        cache = self.cache
-        unknown = [w for w in dict.fromkeys(words) if w not in cache]
-        if len(cache) + len(unknown) > CACHE_WORDS:
-            cache.clear()
-            unknown = list(dict.fromkeys(words))
-        self._learn(unknown)
-        ids = [cache[w] for w in words]
+        ids = list(map(self.cache.get, words))
+        missing = [i for i, x in enumerate(ids) if x is None]
+        if missing:
+            self._learn(list(dict.fromkeys([words[i] for i in missing])))
+            for i in missing:
+                ids[i] = self.cache[words[i]]
+            if len(self.cache) > CACHE_WORDS:  # the words of this group stay
+                self.cache = dict(zip(words, ids, strict=True))
         first = np.searchsorted(starts, breaks)
         return [b"".join(ids[first[i] : first[i + 1]]) for i in range(len(texts))]
 
