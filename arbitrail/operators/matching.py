@@ -28,7 +28,7 @@ def match_pairs(raw: DataFrame, snapshot: Snapshot) -> DataFrame:
     parts = []
     for step in snapshot.passes:
         keyed = _keyed(step) if isinstance(step, InlinePass) and not step.predicates else None
-        if keyed is None or len({signature for signature, _ in keyed.values()}) > MAX_SIGNATURES:
+        if keyed is None or len({signature for signature, _ in keyed}) > MAX_SIGNATURES:
             one = Snapshot(snapshot.spark, snapshot.count, [step])
             parts.append(evaluate(raw, one, matched_only=True).select(*columns))
         elif keyed:
@@ -39,9 +39,10 @@ def match_pairs(raw: DataFrame, snapshot: Snapshot) -> DataFrame:
     return result
 
 
-def _keyed(step: InlinePass) -> dict[str, tuple[tuple[int, ...], str]]:
-    """Per rule: the slots it compares with a text, and the key an event must have there."""
-    out = {}
+def _keyed(step: InlinePass) -> list[tuple[tuple[int, ...], str]]:
+    """Per rule, in the order of the layout: the slots it compares with a text, and the key an event must have there. Rules that share an id
+    are rules of their own."""
+    out = []
     for r in step.layout.coded:
         wanted = {
             c["slot"]: c["lit_str"]
@@ -49,16 +50,16 @@ def _keyed(step: InlinePass) -> dict[str, tuple[tuple[int, ...], str]]:
             if c["family"] == K.COMPARE and c["accepted"] == K.ACCEPTED["eq"] and c["lit_kind"] == C.TEXT
         }
         signature = tuple(sorted(wanted))
-        out[r["rule_id"]] = (signature, _SEPARATOR.join(wanted[s] for s in signature))
+        out.append((signature, _SEPARATOR.join(wanted[s] for s in signature)))
     return out
 
 
-def _join(raw: DataFrame, step: InlinePass, keyed: dict) -> DataFrame:
+def _join(raw: DataFrame, step: InlinePass, keyed: list) -> DataFrame:
     plan = step.layout
-    signatures = sorted({signature for signature, _ in keyed.values()})
+    signatures = sorted({signature for signature, _ in keyed})
     number = {s: i for i, s in enumerate(signatures)}
     masks = [f"m{w}" for w in range(plan.words)]
-    rows = [(r["rule_id"], number[keyed[r["rule_id"]][0]], keyed[r["rule_id"]][1], None, *[r[m] for m in masks]) for r in plan.rules]
+    rows = [(r["rule_id"], number[signature], key, None, *[r[m] for m in masks]) for r, (signature, key) in zip(plan.rules, keyed, strict=True)]
     schema = "rule_id string, signature int, match_key string, fixed int, " + ", ".join(f"{m} bigint" for m in masks)
     rules = raw.sparkSession.createDataFrame(rows, schema)
 

@@ -21,6 +21,8 @@ from arbitrail.session import remove_folder, shared_dir
 INLINE_RULES = 1000
 INLINE_BITS = 2000
 INLINE_PATHS = 256
+#: Passes over the events that larger rule tables may take, each with a portion of the rules in its plan, before packs are used.
+INLINE_PASSES = 20
 RULES_PER_PACK = 500
 BROADCAST_BYTES = 32 << 20
 
@@ -136,9 +138,14 @@ def take_snapshot(
     inline_paths: int = INLINE_PATHS,
     rules_per_pack: int = RULES_PER_PACK,
     broadcast_bytes: int = BROADCAST_BYTES,
+    inline_passes: int = INLINE_PASSES,
 ) -> Snapshot:
     """Reads the active rules once; the result does not change when the table does.
 
+    Rules that fit go into the plan. Of more, portions that fit each take a pass over the events, so that a pair of event and rule still costs
+    bit arithmetic in generated code; parsing an event again is little against the rules of a portion. Only tables beyond ``inline_passes``
+    portions are broadcast as packs.
+
     All clauses are coded and judged first, by one expression, so the plans that sizes lead to agree. A null id is a blank one.
     """
     spark = rules.sparkSession
@@ -161,7 +168,10 @@ def take_snapshot(
     n, size = plain.agg(F.count("*"), F.sum(F.length(F.to_json(F.struct("rule_id", "expression", "clauses"))))).first()
     snap = Snapshot(spark, n, folder=folder, version=kept.agg(F.bit_xor("mark")).first()[0] or 0)
     snap.texts = _texts(kept, snap.version)
-    if n:
+    if n and n <= inline_passes * inline_rules:
+        for portion in _portions(plain, inline_rules, inline_paths):
+            _add_inline(snap, portion, event_schema, counted=True)
+    elif n:
         n_packs = -(-n // rules_per_pack)
         n_chunks = min(n_packs, -(-(size or 1) // max(1, broadcast_bytes)))
         packs = _packs(plain, n_packs)
@@ -180,12 +190,31 @@ def take_snapshot(
     return snap
 
 
+def _portions(rules: DataFrame, most_rules: int, most_paths: int):
+    """Rules without conditions in lists that fit into a plan, one list on the driver at a time. Rules with the same paths stay together."""
+    order = F.array_join(F.transform("clauses", lambda c: F.concat_ws(" ", c["path"], c["item"], c["family"].cast("string"))), ",")
+    portion: list = []
+    bits: set = set()
+    paths: set = set()
+    for r in rules.withColumn("order", order).orderBy("order", "row_no").drop("order").toLocalIterator():
+        more_bits = {(i, *c) for i, c in enumerate(r["clauses"] or ())}
+        more_paths = {(c["path"], c["item"]) for c in r["clauses"] or ()}
+        if portion and (len(portion) == most_rules or len(bits | more_bits) > INLINE_BITS or len(paths | more_paths) > most_paths):
+            yield portion
+            portion, bits, paths = [], set(), set()
+        portion.append(r)
+        bits |= more_bits
+        paths |= more_paths
+    if portion:
+        yield portion
+
+
 def _texts(rules: DataFrame, version: int) -> DataFrame:
     paths = F.transform("clauses", lambda c: F.coalesce(c["path"], F.lit("")))
     return rules.select(F.lit(version).cast("long").alias("rule_version"), "rule_id", "expression", F.coalesce(paths, F.array().cast("array<string>")).alias("paths"))
 
 
-def _add_inline(snap: Snapshot, rows: list, event_schema: str | None) -> None:
+def _add_inline(snap: Snapshot, rows: list, event_schema: str | None, counted: bool = False) -> None:
     slots: dict[tuple, int] = {}
     predicates: list[str] = []
     coded = []
@@ -205,7 +234,7 @@ def _add_inline(snap: Snapshot, rows: list, event_schema: str | None) -> None:
                 slot = -1 if c["family"] == K.UNSUPPORTED else slots.setdefault((c["path"], c["item"]), len(slots))
                 clause_rows.append({**c.asDict(), "slot": slot})
         coded.append({"rule_id": r["rule_id"], "expression": r["expression"], "clauses": clause_rows})
-    snap.count += len(coded)
+    snap.count += 0 if counted else len(coded)
     if coded or not snap.passes:
         needs: dict[int, set[str]] = {}
         for c in (c for r in coded for c in r["clauses"]):

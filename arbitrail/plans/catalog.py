@@ -132,7 +132,7 @@ def q_plans_agree(spark, sf):
     rules = X.guarded_rules(spark).where("predicate is null").unionByName(X.click_rules(spark))
     rules = rules.withColumn("rule_id", F.when(F.col("rule_id") == "c3", F.lit("")).when(F.col("rule_id") != "c5", F.col("rule_id")))
     events = X.click_events(spark, sf)
-    plans = {"few": R.take_snapshot(rules), "many": R.take_snapshot(rules, inline_rules=3, rules_per_pack=4)}
+    plans = {"few": R.take_snapshot(rules), "many": R.take_snapshot(rules, inline_rules=3, rules_per_pack=4, inline_passes=1)}
     found = [E.evaluate(events, s).groupBy("rule_id", "audit_type", "failed_clause_no").agg(F.count("*").alias("audits")).withColumn("plan", F.lit(p)) for p, s in plans.items()]
     return found[0].unionByName(found[1])
 
@@ -197,11 +197,34 @@ def q_rule_seed(spark, sf):
 @query
 def q_rule_packs(spark, sf):
     """The default rules again, by the join that serves rule tables too large for the plan."""
-    snapshot = R.take_snapshot(seed_rules(spark), inline_rules=10, rules_per_pack=40)
+    snapshot = R.take_snapshot(seed_rules(spark), inline_rules=10, rules_per_pack=40, inline_passes=1)
     outcomes = E.evaluate(X.sales_events(spark, sf), snapshot)
     return outcomes.groupBy("rule_id", "audit_type", "failed_clause_no").agg(F.count("*").alias("audits"))
 
 
+@query
+def q_rule_portions(spark, sf):
+    """The default rules in portions, each of which fits into a plan, as a table of thousands of rules is evaluated."""
+    outcomes = E.evaluate(X.sales_events(spark, sf), R.take_snapshot(seed_rules(spark), inline_rules=30))
+    return outcomes.groupBy("rule_id", "audit_type", "failed_clause_no").agg(F.count("*").alias("audits"))
+
+
+def twin_rules(spark) -> DataFrame:
+    """The default rules, and under the id of each third one the rule after it once more."""
+    rows = seed_rules(spark).orderBy("rule_id").collect()
+    twins = [{**after.asDict(), "rule_id": row["rule_id"]} for i, (row, after) in enumerate(zip(rows, rows[1:], strict=False)) if i % 3 == 0]
+    return seed_rules(spark).unionByName(spark.createDataFrame(twins, seed_rules(spark).schema))
+
+
+@query
+def q_match_shared_ids(spark, sf):
+    """Matches of rules of which some share an id, by the hash join and by full evaluation: each is a rule of its own."""
+    snapshot, events = R.take_snapshot(twin_rules(spark)), X.sales_events(spark, sf)
+    found = {"join": match_pairs(events, snapshot), "evaluation": E.evaluate(events, snapshot, matched_only=True)}
+    counts = [df.groupBy("rule_id").agg(F.count("*").alias("matches")).withColumn("plan", F.lit(name)) for name, df in found.items()]
+    return counts[0].unionByName(counts[1])
+
+
 @query
 def q_match_only_join(spark, sf):
     return match_pairs(X.sales_events(spark, sf), R.take_snapshot(seed_rules(spark))).select(*EVENT, "rule_id")

@@ -269,6 +269,12 @@ def oracles() -> dict[str, str]:
         "q_rule_seed": f"""{sales} SELECT rule_id, count(*) FILTER (failed = 0) AS matched, count(*) FILTER (failed > 0) AS unmatched, 0::BIGINT AS errored FROM judged GROUP BY 1""",
         "q_rule_packs": f"""{sales} SELECT rule_id, CASE WHEN failed = 0 THEN 'MATCHED' ELSE 'UNMATCHED' END AS audit_type,
           CASE WHEN failed > 0 THEN failed END AS failed_clause_no, count(*) AS audits FROM judged GROUP BY ALL""",
+        "q_rule_portions": f"""{sales} SELECT rule_id, CASE WHEN failed = 0 THEN 'MATCHED' ELSE 'UNMATCHED' END AS audit_type,
+          CASE WHEN failed > 0 THEN failed END AS failed_clause_no, count(*) AS audits FROM judged GROUP BY ALL""",
+        "q_match_shared_ids": f"""{sales}, ranked AS (SELECT rule_id, lag(rule_id) OVER (ORDER BY rule_id) AS before, row_number() OVER (ORDER BY rule_id) AS k FROM rules),
+          named AS (SELECT j.rule_id AS judged_id, j.rule_id FROM ranked j UNION ALL SELECT rule_id, before FROM ranked WHERE (k - 2) % 3 = 0 AND before IS NOT NULL)
+          SELECT n.rule_id, count(*) AS matches, plan FROM judged j JOIN named n ON n.judged_id = j.rule_id CROSS JOIN (VALUES ('join'), ('evaluation')) AS p(plan)
+          WHERE failed = 0 GROUP BY ALL""",
         "q_match_only_join": f"{sales} SELECT {EVENT}, rule_id FROM judged WHERE failed = 0",
         "q_audit_ids": f"{WITH} SELECT audit_id, event_hash AS event_id, rule_id FROM audits",
         "q_routed_events": f"""{WITH} SELECT event_hash AS event_id, rule_id, '{ROUTED_MESSAGE}' AS message, type || '_' || rule_id AS type,

@@ -123,7 +123,7 @@ def test_routed_event_belongs_to_its_own_rule(spark):
     assert {"type": "t", "v": [1, {"w": None}]} in [json.loads(r["routed_event"])["original_event"] for r in routed]
 
 
-@pytest.mark.parametrize("sizes", [{}, {"inline_rules": 1}], ids=["inline", "packs"])
+@pytest.mark.parametrize("sizes", [{}, {"inline_rules": 1}, {"inline_rules": 1, "inline_passes": 1}], ids=["inline", "portions", "packs"])
 def test_routed_event_escapes_its_parts(spark, sizes):
     rules = rule_frame(spark, [rule('q"\\é', "", []), rule("z", "", [])])
     rows = routed_events(audits(events(spark, ['{"type":"a\\"b","v":"\\u00e9\\n"}']), take_snapshot(rules, **sizes))).collect()
@@ -164,7 +164,7 @@ def random_texts(rng, n):
 
 @pytest.mark.parametrize(
     "sizes",
-    [{}, {"inline_rules": 5, "rules_per_pack": 20}, {"inline_rules": 5, "rules_per_pack": 20, "broadcast_bytes": 1}],
+    [{}, {"inline_passes": 1, "inline_rules": 5, "rules_per_pack": 20}, {"inline_passes": 1, "inline_rules": 5, "rules_per_pack": 20, "broadcast_bytes": 1}],
     ids=["inline", "broadcast packs", "salted packs"],
 )
 def test_every_plan_agrees_with_brute_force(spark, sizes):

@@ -82,7 +82,7 @@ def test_seeding_only_fills_an_empty_table(spark):
     assert R.seed_if_empty(some.where("false"), seeds).select("rule_id").distinct().count() == 100
 
 
-@pytest.mark.parametrize("sizes", [{}, {"inline_rules": 1}], ids=["inline", "packs"])
+@pytest.mark.parametrize("sizes", [{}, {"inline_rules": 1}, {"inline_rules": 1, "inline_passes": 1}], ids=["inline", "portions", "packs"])
 def test_snapshot_does_not_follow_the_table(spark, sizes):
     folder = shared_dir(spark, "rules")
     R.rule_frame(spark, [OVER, ODD]).write.parquet(folder)
