@@ -594,6 +594,20 @@ def q_load_errors_stored(spark, sf):
     return store.load_errors().join(errors, "rule_id", "left").select("rule_id", "verdict", F.coalesce("errors", F.lit(0)).alias("errors"))
 
 
+@query
+def q_poison_batch(spark, sf):
+    """A batch with a record that can't be read: all others are judged, and the record's place is kept with its error."""
+    store = AuditStore(spark, shared_dir(spark, "store"))
+    rows = X.click_columns(X.table(spark, sf, "events"))
+    broken = (F.col("partition") == 0) & (F.col("offset") == 25)
+    rows = rows.withColumn("value", F.when(broken, F.raise_error(F.lit("unreadable block"))).otherwise(F.col("value")))
+    rules = X.click_rules(spark).where("rule_id in ('c1', 'c6')")
+    pipeline.process_or_set_aside(rows, 0, store, lambda: rules, attempts=1)
+    counts = store.latest().groupBy("rule_id", "audit_type").agg(F.count("*").alias("audits"))
+    aside = store.part("quarantine").where(F.contains("reason", F.lit("unreadable block"))).groupBy("partition", "offset").agg(F.count("*").alias("audits"))
+    return counts.unionByName(aside.select(F.concat_ws("-", "partition", "offset").alias("rule_id"), F.lit("SET ASIDE").alias("audit_type"), "audits"))
+
+
 # --- analytics -----------------------------------------------------------------------------------------
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime, timezone
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -19,7 +20,7 @@ from arbitrail.operators.audit import audit_json, audits, read_audit_json, route
 from arbitrail.operators.parse import as_raw_events, quarantine, spread
 from arbitrail.operators.predicates import ACCEPTED
 from arbitrail.operators.rollup import rule_rollups
-from arbitrail.operators.rules import load_errors, take_snapshot
+from arbitrail.operators.rules import Snapshot, load_errors, take_snapshot
 from arbitrail.schema import AUDITS, ERRORED, MATCHED, RULE_PARSE, RULE_ROLLUPS
 from arbitrail.session import folder_exists
 from arbitrail.sources.events import kafka_records
@@ -80,6 +81,87 @@ def process_batch(
             snapshot.release()
 
 
+def process_or_set_aside(
+    events: DataFrame,
+    batch_id: int,
+    store: AuditStore,
+    load_rules: Callable[[], DataFrame],
+    attempts: int = 3,
+    most_broken: int = 20,
+    run_seq: int = 1,
+    event_schema: str | None = None,
+    stream: str | None = None,
+    **options,
+) -> None:
+    """``process_batch``, tried several times; then without the records that break it, which go to quarantine with their error.
+
+    They are found by halving the batch by offset, partition and topic and evaluating the halves without storing anything. If
+    the whole batch can be evaluated, or more than ``most_broken`` records can't, the fault isn't a record's: the error is raised and nothing
+    is set aside.
+    """
+    stream = stream or stream_id(events)
+    run = lambda rows: process_batch(rows, batch_id, store, load_rules, run_seq=run_seq, event_schema=event_schema, stream=stream, **options)
+    fault = None
+    for _ in range(attempts):
+        try:
+            return run(events)
+        except PySparkException as error:
+            fault = error
+    placed = as_raw_events(events)
+    snapshot = take_snapshot(load_rules(), event_schema)
+    try:
+        broken = _broken_records(placed, snapshot, most_broken)
+    finally:
+        snapshot.release()
+    if not broken or len(broken) > most_broken:
+        raise fault
+    rows = [(t, p, o, None, None, f"Record breaks its batch: {reason}") for t, p, o, reason in broken]
+    aside = events.sparkSession.createDataFrame(rows, "topic string, partition int, offset bigint, ts timestamp, value string, reason string")
+    good = placed
+    for topic, partition, offset, _ in broken:
+        good = good.where(~((F.col("offset") == offset) & (F.col("partition") == partition) & (F.col("topic") == topic)))
+    run(good)
+    store.write_part("quarantine", aside, run_seq, batch_id, f"{stream}/broken")
+
+
+def _broken_records(events: DataFrame, snapshot: Snapshot, enough: int) -> list[tuple[str, int, int, str]]:
+    """(topic, partition, offset, error) of records that can't be evaluated, one more than ``enough`` at most."""
+    found: list[tuple[str, int, int, str]] = []
+
+    def fault(part: DataFrame) -> PySparkException | None:
+        try:
+            audits(part, snapshot).write.format("noop").mode("overwrite").save()
+        except PySparkException as error:
+            return error
+        return None
+
+    def search(part: DataFrame, within: dict[str, list], error: PySparkException) -> None:
+        name = next((c for c, values in within.items() if values[0] != values[-1]), None)
+        if name is None:
+            found.append((within["topic"][0], within["partition"][0], within["offset"][0], str(error).split("\n")[0][:500]))
+            return
+        values = within[name]
+        if name == "topic":
+            first, second = values[: len(values) // 2], values[len(values) // 2 :]
+            half = F.col(name).isin(first)
+        else:
+            middle = (values[0] + values[1]) // 2
+            first, second = [values[0], middle], [middle + 1, values[1]]
+            half = F.col(name) <= middle
+        of_first = fault(part.where(half))
+        if of_first:
+            search(part.where(half), {**within, name: first}, of_first)
+        of_second = fault(part.where(~half)) if of_first else error  # one of both halves has it
+        if of_second and len(found) <= enough:
+            search(part.where(~half), {**within, name: second}, of_second)
+
+    whole = fault(events)
+    if whole:
+        first, last, low, high, topics = events.agg(F.min("offset"), F.max("offset"), F.min("partition"), F.max("partition"), F.collect_set("topic")).first()
+        search(events, {"offset": [first, last], "partition": [low, high], "topic": sorted(topics)}, whole)
+    return found
+
+
 def file_topics(folder: str) -> Callable[[str, DataFrame, str, int], None]:
     """Topics as folders of keyed records; a replayed batch replaces its own."""
 
@@ -97,9 +179,9 @@ def start(
     interval: str | None = None,
     **options,
 ) -> StreamingQuery:
-    """Starts the evaluation; without ``interval`` it takes what is there and ends."""
+    """Starts the evaluation; without ``interval`` it takes what is there and ends. A record that breaks its batch is set aside."""
     writer = events.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
-        lambda batch, batch_id: process_batch(batch, batch_id, store, load_rules, **options)
+        lambda batch, batch_id: process_or_set_aside(batch, batch_id, store, load_rules, **options)
     )
     writer = writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)
     return writer.start()

@@ -6,6 +6,7 @@ import json
 from collections import Counter
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from arbitrail.operators import audit as A
@@ -186,3 +187,20 @@ def test_a_stopped_batch_is_seen_in_no_table(spark, monkeypatch):
     pipeline.process_batch(raw, 0, store, rules, stream="s")
     assert store.latest().count() == 6 and store.part("routed_events").count() == 3
     assert [tuple(r) for r in store.load_errors().select("rule_id", "verdict").collect()] == [("bad", "bad_clause")]
+
+
+def test_a_fault_that_is_no_records_is_raised(spark, monkeypatch):
+    store, raw = AuditStore(spark, shared_dir(spark, "store")), records(spark, range(6))
+    rules = lambda: R.rule_frame(spark, [rule("a", "", [clause("gt", "amount", 3)])])
+    broken = lambda condition: raw.withColumn("value", F.when(F.expr(condition), F.raise_error(F.lit("torn"))).otherwise(F.col("value")))
+    with pytest.raises(PySparkException, match="torn"):
+        pipeline.process_or_set_aside(broken("offset > 1"), 0, store, rules, attempts=1, most_broken=2, stream="s")
+    assert store.log.read()["parts"] == []
+    with monkeypatch.context() as m:
+        m.setattr(pipeline, "quarantine", lambda events: spark.sql("select assert_true(false, 'disk gone')"))
+        with pytest.raises(PySparkException, match="disk gone"):
+            pipeline.process_or_set_aside(raw, 0, store, rules, attempts=2, stream="s")
+    pipeline.process_or_set_aside(broken("offset in (1, 4)"), 0, store, rules, attempts=1, stream="s")
+    assert {r.offset for r in store.latest().collect()} == {0, 2, 3, 5}
+    aside = store.part("quarantine").collect()
+    assert {r.offset for r in aside} == {1, 4} and all("torn" in r.reason for r in aside)
