@@ -531,6 +531,18 @@ def q_rerun_after_compaction(spark, sf):
     return store.latest().select("audit_id", "rule_id", "audit_type")
 
 
+@query
+def q_audit_clustered(spark, sf):
+    """Days clustered by id, judged anew by a run whose audits are clustered as well, and by a later small one whose aren't."""
+    store = AuditStore(spark, shared_dir(spark, "store"))
+    store.write_batch(click_audits(spark, sf), run_seq=1, batch_id=0)
+    store.compact(1, at("2024-01-10 00:00:00"), at("2024-01-25 00:00:00"), buckets=4)
+    anew = _judged_anew(spark, sf)
+    store.write_batch(anew, run_seq=2, batch_id=0, buckets=4)
+    store.write_batch(anew.where("partition = 3"), run_seq=3, batch_id=0)
+    return store.latest().select("audit_id", "rule_id", "audit_type")
+
+
 def _replayed_store(spark, sf, compacted: bool) -> AuditStore:
     """Two batches, rolled up; then the second is replayed with a changed rule, its days compacted meanwhile or not."""
     store, audits = AuditStore(spark, shared_dir(spark, "store")), click_audits(spark, sf)

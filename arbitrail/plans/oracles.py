@@ -310,7 +310,7 @@ def oracles() -> dict[str, str]:
         ),
         "q_audit_latest": RERUN.replace('{since}', "2024-01-15 00:00:00") + "SELECT * FROM latest",
         **dict.fromkeys(
-            ("q_audit_overlap", "q_audit_compacted_twice", "q_rerun_after_compaction", "q_store_commit"), RERUN.replace("{since}", "2024-01-15 00:00:00") + "SELECT * FROM latest"
+            ("q_audit_overlap", "q_audit_compacted_twice", "q_audit_clustered", "q_rerun_after_compaction", "q_store_commit"), RERUN.replace("{since}", "2024-01-15 00:00:00") + "SELECT * FROM latest"
         ),
         "q_poison_batch": f"""{WITH} SELECT rule_id, audit_type, count(*) AS audits FROM audits WHERE event_id <> 500 AND rule_id IN ('c1', 'c6', '_parse') GROUP BY ALL
           UNION ALL SELECT "partition" || '-' || "offset", 'SET ASIDE', count(*) FROM raw WHERE event_id = 500 GROUP BY ALL""",

@@ -44,16 +44,25 @@ def _same(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
     return out
 
 
+def _table_name(part: dict) -> str:
+    """The session's name for the files of a part that is clustered by id."""
+    return f"audits_part_{part['name']}"
+
+
 class BatchWriter:
     """One batch of a store on its way: its tables are written as they come and seen all at once, or never."""
 
     def __init__(self, store: AuditStore, run_seq: int, batch_id: int, stream: str):
         self.store, self.name = store, uuid.uuid4().hex
         self.key = [stream, run_seq, batch_id]
-        self.part = {"name": self.name, **dict(zip(_BATCH, self.key, strict=True)), "days": [], "hours": [], "origins": [self.key], "hidden": [], "folders": {}}
+        self.part = {"name": self.name, **dict(zip(_BATCH, self.key, strict=True)), "days": [], "hours": [], "origins": [self.key], "hidden": [], "buckets": 0, "folders": {}}
+
+    def audits(self, audits: DataFrame, buckets: int = 0) -> DataFrame:
+        """Writes the batch's audits, each id once, and their facts; returns them as written.
 
-    def audits(self, audits: DataFrame) -> DataFrame:
-        """Writes the batch's audits, each id once, and their facts; returns them as written."""
+        With ``buckets`` each day's audits lie in so many buckets by id, sorted by it, so that versions meet without being moved.
+        """
+        self.part["buckets"] = buckets
         named = dict(zip(_BATCH, (F.lit(x) for x in self.key), strict=True))
         named["batch_id"] = named["batch_id"].cast("bigint")
         rows = audits.withColumns({k: v for k, v in named.items() if k not in audits.columns})
@@ -82,7 +91,14 @@ class BatchWriter:
         if folder_exists(self.store.spark, folder):  # written a second time, without repeats
             self.name = self.part["name"] = uuid.uuid4().hex
             folder = f"{self.store.root}/audits/part={self.name}"
-        rows.withColumn("day", F.date_format("timestamp", "yyyy-MM-dd")).write.partitionBy("day").parquet(folder)
+        rows = rows.withColumn("day", F.date_format("timestamp", "yyyy-MM-dd"))
+        buckets = self.part["buckets"]
+        if buckets:  # a task writes one bucket of all days
+            order = [*S.AUDITS.fieldNames(), *_BATCH, "day"]
+            clustered = rows.select(*order).repartition(buckets, "audit_id").write.partitionBy("day").bucketBy(buckets, "audit_id").sortBy("audit_id")
+            clustered.option("path", folder).format("parquet").saveAsTable(_table_name(self.part))
+        else:
+            rows.write.partitionBy("day").parquet(folder)
         return folder
 
     def table(self, name: str, rows: DataFrame) -> None:
@@ -132,10 +148,13 @@ class AuditStore:
         """A batch of several tables, seen when it is published."""
         return BatchWriter(self, run_seq, batch_id, stream)
 
-    def write_batch(self, audits: DataFrame, run_seq: int, batch_id: int, stream: str = "batch") -> str:
-        """Writes one batch of audits; writing it again replaces it. Of equal ids within it one stays. Returns its folder."""
+    def write_batch(self, audits: DataFrame, run_seq: int, batch_id: int, stream: str = "batch", buckets: int = 0) -> str:
+        """Writes one batch of audits; writing it again replaces it. Of equal ids within it one stays. Returns its folder.
+
+        A rerun of many compacted days is best written with as many ``buckets`` as these have.
+        """
         batch = self.begin(run_seq, batch_id, stream)
-        batch.audits(audits)
+        batch.audits(audits, buckets)
         batch.publish()
         return batch.part["folders"]["audits"]
 
@@ -164,13 +183,41 @@ class AuditStore:
         """The rows of some parts; of the days alone that count in a part, and of these only the wanted."""
         rows = self._read([f"{p['folders']['audits']}/day={d}" for p in parts for d in p["days"] if days is None or d in days])
         for p in parts:
-            for key in p["hidden"]:  # written again after it was compacted
-                own = F.col("part") == p["name"]
-                for name, value in zip(_BATCH, key, strict=True):
-                    own &= F.col(name) == F.lit(value)
-                rows = rows.where(~own)
+            rows = self._without_hidden(rows, p)
+        return rows
+
+    def _without_hidden(self, rows: DataFrame, part: dict) -> DataFrame:
+        for key in part["hidden"]:  # written again after it was compacted
+            own = F.col("part") == part["name"]
+            for name, value in zip(_BATCH, key, strict=True):
+                own &= F.col(name) == F.lit(value)
+            rows = rows.where(~own)
         return rows
 
+    def _clustered(self, part: dict, days: list[str]) -> DataFrame:
+        """Some days of a part that is clustered by id, as a table whose buckets Spark knows; a new session is told of them first."""
+        name = _table_name(part)
+        if not self.spark.catalog.tableExists(name):
+            columns = f"{_columns(S.AUDITS)}, stream string, run_seq int, batch_id bigint, day string"
+            by = f"CLUSTERED BY (audit_id) SORTED BY (audit_id) INTO {part['buckets']} BUCKETS"
+            self.spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet PARTITIONED BY (day) {by} LOCATION '{part['folders']['audits']}'")
+            self.spark.catalog.recoverPartitions(name)
+        rows = self.spark.table(name).where(F.col("day").isin(days)).withColumn("part", F.lit(part["name"]))
+        return self._without_hidden(rows, part)
+
+    def _merged(self, clustered: dict, days: list[str], others: list[dict]) -> DataFrame:
+        """Last verdicts of some days of a clustered part and of other parts. Its rows stay in their buckets; the others' come to them, or stay in
+        theirs if they are one part with as many."""
+        if len(others) == 1 and others[0]["buckets"] == clustered["buckets"]:
+            more = self._clustered(others[0], others[0]["days"])
+        else:
+            more = latest_audits(self._rows(others))
+        names = more.columns
+        sides = [rows.select("audit_id", F.struct(*names).alias(side)) for side, rows in (("a", self._clustered(clustered, days)), ("b", more))]
+        version = lambda side: F.struct(*[F.col(f"{side}.{c}") for c in ("run_seq", "processed_at", "batch_id", "stream", "part")])
+        first = F.col("b").isNull() | (F.col("a").isNotNull() & (version("a") > version("b")))
+        return sides[0].join(sides[1], "audit_id", "full_outer").select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("won")).select("won.*")
+
     def all_versions(self) -> DataFrame:
         return self._rows(self._parts())
 
@@ -209,8 +256,8 @@ class AuditStore:
     def latest(self, start: Column | None = None, end: Column | None = None, days: list[str] | None = None) -> DataFrame:
         """Last verdict per audit. An audit keeps its time in every run, so a range may be cut first.
 
-        Parts whose offset ranges meet no other part's are only scanned. Of the others, rows outside the shared stretches pass by, and
-        the rest is compared in one exchange by id.
+        Parts whose offset ranges meet no other part's are only scanned. Days clustered by id are merged with the others bucket by bucket. Of
+        all else, rows outside the shared stretches pass by, and the rest is compared in one exchange by id.
         """
         parts = self._parts()
         wanted = {d for p in parts for d in p["days"]} & (set(days) if days is not None else {d for p in parts for d in p["days"]})
@@ -227,6 +274,12 @@ class AuditStore:
         drop = ["day", "stream", "part"]
         alone = [{**p, "days": [d for d in p["days"] if (p["name"], d) not in shared]} for p in parts]
         out = cut(self._rows(alone, wanted))
+        for c in (p for p in parts if p["buckets"]):
+            of_days = [d for d in c["days"] if (c["name"], d) in shared]
+            if of_days:
+                others = [{**p, "days": [d for d in p["days"] if d in of_days and (p["name"], d) in shared]} for p in parts if p is not c]
+                out = out.unionByName(cut(self._merged(c, of_days, [p for p in others if p["days"]])))
+                shared = {(name, d) for name, d in shared if d not in of_days}
         if shared:
             both = [{**p, "days": [d for d in p["days"] if (p["name"], d) in shared]} for p in parts]
             rows = cut(self._rows(both, wanted)).withColumns({"hour": hour_key(F.col("timestamp")), "topic": F.col("source_topic")})
@@ -251,8 +304,8 @@ class AuditStore:
     def _day(self, moment: Column) -> str:
         return self.spark.range(1).select(F.date_format(moment, "yyyy-MM-dd")).first()[0]
 
-    def compact(self, run_seq: int, start: Column, end: Column) -> None:
-        """Keeps only the last verdicts of the whole days within a range, in one new part.
+    def compact(self, run_seq: int, start: Column, end: Column, buckets: int = 0) -> None:
+        """Keeps only the last verdicts of the whole days within a range, in one new part, clustered by id with ``buckets``.
 
         Each audit keeps the run, batch, stream and time that judged it, so that a later run still wins and an earlier one still loses. The
         old folders go from the list with the same entry that adds the new one, and from the disk some commits later.
@@ -266,7 +319,7 @@ class AuditStore:
             return
         names = {p["name"] for p in old}
         batch = self.begin(run_seq, uuid.uuid4().int >> 66, COMPACTED)
-        batch.audits(self._latest_of(entry, set(days)))
+        batch.audits(self._latest_of(entry, set(days)), buckets)
         batch.part["origins"] = [list(x) for x in sorted({tuple(o) for p in old for o in p["origins"] if o not in p["hidden"]})]
 
         def change(now: dict) -> dict:

@@ -156,6 +156,28 @@ def test_compaction_keeps_who_judged(spark):
     store.compact(1, at("2024-05-01 00:00:00"), at("2024-05-02 00:00:00"))  # nothing there
 
 
+def test_clustered_days_are_merged_in_their_buckets(spark):
+    root = shared_dir(spark, "store")
+    store = AuditStore(spark, root)
+    store.write_batch(judged(spark, records(spark, range(40))), 1, 0)
+    store.compact(1, at("2024-03-01 00:00:00"), at("2024-03-02 00:00:00"), buckets=2)
+    store.write_batch(judged(spark, records(spark, range(10, 20)), limit=9), 2, 0, buckets=2)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        both = store.latest()
+        assert "Exchange" not in plan(both) and "SortMergeJoin" in plan(both)
+        assert both.count() == 80 and kinds(both)[15, "a", "UNMATCHED"] == 1 and kinds(both)[25, "a", "MATCHED"] == 1
+        for part in store._parts():
+            spark.sql(f"DROP TABLE audits_part_{part['name']}")
+        assert kinds(AuditStore(spark, root).latest()) == kinds(both)  # as another session finds it
+        store.write_batch(judged(spark, records(spark, range(12, 14)), limit=1), 3, 0)
+        assert store.latest().count() == 80 and kinds(store.latest())[13, "a", "MATCHED"] == 1
+        store.write_batch(judged(spark, records(spark, range(5)), limit=9), 1, 0)  # a replay of what was compacted
+        assert store.latest().count() == 10 + 20 and kinds(store.latest())[4, "a", "UNMATCHED"] == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_newest_audits_read_the_newest_day_only(spark):
     store = AuditStore(spark, shared_dir(spark, "store"))
     for i, day in enumerate(("2024-03-01", "2024-03-02", "2024-03-03")):
