@@ -104,11 +104,15 @@ def scan(
 
 
 def licenses(ids: Column, rules: list[tuple[str, list[str]]]) -> Column:
-    """Licenses of an identifier sequence: leftmost matches first, of those at one place the first rule's."""
+    """Licenses of an identifier sequence: leftmost matches first, of those at one place the first rule's. Rules without identifiers match nothing."""
+    number = {i: str(n) for n, i in enumerate(dict.fromkeys(i for _, sequence in rules for i in sequence))}
     names: dict[str, str] = {}
     for name, sequence in rules:
-        names.setdefault("".join(f"<{i}>" for i in sequence), name)
-    marked = F.array_join(F.transform(ids, lambda i: F.concat(F.lit("<"), i, F.lit(">"))), "")
-    pattern = F.lit("|".join(names))
-    table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
-    return F.transform(F.regexp_extract_all(marked, pattern, F.lit(0)), lambda m: F.element_at(table, m))
+        if sequence:
+            names.setdefault("".join(f"<{number[i]}>" for i in sequence), name)
+    if not names:
+        return F.array().cast("array<string>")
+    numbers, table = (F.create_map(*[F.lit(x) for pair in m.items() for x in pair]) for m in (number, names))
+    # identifiers stand as numbers, so that no character of theirs means anything in the pattern; one of no rule breaks every match
+    marked = F.array_join(F.transform(ids, lambda i: F.concat(F.lit("<"), F.coalesce(F.try_element_at(numbers, i), F.lit("x")), F.lit(">"))), "")
+    return F.transform(F.regexp_extract_all(marked, F.lit("|".join(names)), F.lit(0)), lambda m: F.element_at(table, m))

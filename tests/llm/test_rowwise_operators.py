@@ -231,3 +231,16 @@ def test_licenses(spark):
     assert got[5] == (2, "cc-by-nc-line,reserved", "CC-BY-NC-4.0")
     assert license_scan.scan(odd(spark, rows)).count() == 7
     assert license_scan.scan(odd(spark).where("false")).isEmpty()
+
+
+@pytest.mark.parametrize("limit", [32 << 20, 1])
+def test_licenses_of_own_tables(spark, monkeypatch, limit):
+    """Identifiers of any characters, sentences sent to the tasks or shuffled to."""
+    monkeypatch.setattr(license_scan, "BROADCAST_BYTES", limit)
+    known = spark.createDataFrame([("gpl-2.0+", "use it freely"), ("a(b", "at your own risk"), ("<c>", "keep this notice"), ("x,y|", "no warranty")], "sentence_id string, sentence string")
+    rules = [("GPL", ["gpl-2.0+"]), ("Both", ["a(b", "<c>"]), ("Odd", ["x,y|"]), ("Never", []), ("Again", ["gpl-2.0+"])]
+    rows = [(1, "Use it freely!"), (2, "At your own risk. Keep this notice.\nNo warranty"), (3, "keep this notice. At your own risk."), (4, None)]
+    got = {r.doc_id: (r.n_known, r.licenses) for r in license_scan.scan(odd(spark, rows), known, rules).collect()}
+    assert got == {1: (1, "GPL"), 2: (3, "Both,Odd"), 3: (2, ""), 4: (0, "")}
+    assert {r.licenses for r in license_scan.scan(odd(spark, rows), known, []).collect()} == {""}
+    assert {r.n_known for r in license_scan.scan(odd(spark, rows), known.where("false"), rules).collect()} == {0}
