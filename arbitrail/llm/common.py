@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arbitrail.session import shared_dir
+from arbitrail.session import remove_folder, shared_dir
 
 #: A side is broadcast only while it has at most this many bytes; a larger one is joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
@@ -144,6 +144,12 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/table")
 
 
+def remove_stored(df: DataFrame) -> None:
+    """Deletes a table that ``stored`` made, once nothing that is still to be computed reads it."""
+    for folder in {f.rsplit("/table/", 1)[0] for f in df.inputFiles()}:
+        remove_folder(df.sparkSession, folder)
+
+
 def attach(rows: DataFrame, facts: DataFrame, keys: list[str], bytes_of_facts: Column | None = None) -> DataFrame:
     """Left join of ``facts``, at most one for each key, to ``rows``.
 

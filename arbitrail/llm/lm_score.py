@@ -15,7 +15,8 @@ words met most often, at most FREQUENT, have their counts sent to the scoring ta
 count in a shuffle by word. The states are stored tables, sent to the scoring tasks in parts of about BROADCAST_BYTES by the
 newest word of the context; a further part costs a further pass over the texts.
 
-Contexts of each length are counted in a pass over the texts. Only occurrences travel whose context and whose next word after
+Contexts of one and two words are counted in a pass over the texts each, longer ones over windows of the texts that are stored once: the
+stretches in which longer contexts can be seen often enough. Only occurrences travel whose context and whose next word after
 the shorter context can be counted often enough, by two bit fields of fixed size; what they let through by mistake is sorted out
 by the counts.
 """
@@ -30,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arbitrail.llm.common import BROADCAST_BYTES, Words, map_batches, mix, stored, text_bytes, text_slices
+from arbitrail.llm.common import BROADCAST_BYTES, Words, _powers, map_batches, mix, remove_stored, stored, text_bytes, text_slices
 
 FREQUENT = 1 << 18
 MIN_COUNT, MIN_GAIN, LEAST = 50, 20.0, 5
@@ -111,12 +112,21 @@ def sequence(words: Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
     return out, np.arange(len(out)) - begins, np.repeat(np.arange(len(size)), size)
 
 
-def longer(gram: np.ndarray, h: np.ndarray, k: int) -> np.ndarray:
-    """Hash of the k + 1 words up to each place, from that of k; the first k places have none."""
-    out = np.zeros_like(gram)
-    if len(gram) > k:
-        out[k:] = mix(mix(gram[k:]) ^ h[: len(h) - k])
-    return out
+class Grams:
+    """Hashes of the k words up to a place of a slice, for any k, from sums over the slice: a longer context costs no more."""
+
+    def __init__(self, h: np.ndarray):
+        self.h = h
+        power, self.inverse = _powers(len(h) + 1)
+        self.sums = np.zeros(len(h) + 1, np.uint64)
+        np.cumsum(mix(h) * power[: len(h)], out=self.sums[1:])
+
+    def upto(self, at: np.ndarray, k: int) -> np.ndarray:
+        """Of the k words up to each place of ``at``; a single word's is its own."""
+        if k == 1:
+            return self.h[at]
+        first = at + 1 - k
+        return mix((self.sums[at + 1] - self.sums[first]) * self.inverse[first] + np.uint64(k))
 
 
 def marked(field: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -134,6 +144,40 @@ def bit_field(grams: DataFrame) -> np.ndarray:
     return field
 
 
+WINDOWS = "words binary, lengths binary"
+#: From this length of contexts on, only windows of the texts are read.
+WINDOWS_FROM = 3
+
+
+def _sequences(batch):
+    """(hashes, place in its text or window) of the training texts of a batch of (held_out, text) or of its windows, a slice at a time."""
+    if batch.schema.names == ["words", "lengths"]:
+        for words, lengths in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            h, size = np.frombuffer(words, np.uint64), np.frombuffer(lengths, np.int64)
+            yield h, np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size)
+        return
+    for _, _, data, offsets in text_slices(batch.column(1).filter(pc.invert(batch.column(0)))):
+        words = Words(data, offsets, True)
+        yield sequence(words, words.hashes())[:2]
+
+
+def _windows(batch, k: int, contexts: np.ndarray):
+    """The stretches of training texts that contexts of k words or more can lie in, with the words after them.
+
+    A context of k + 1 words is seen often enough only if both contexts of k words within it are. So a window that begins with
+    the first of a row of such contexts of k words holds all longer ones of that row.
+    """
+    for h, place in _sequences(batch):
+        at = np.flatnonzero(place >= k)
+        at = at[marked(contexts, Grams(h).upto(at - 1, k))]
+        if len(at):
+            first = at[np.append(True, (at[1:] != at[:-1] + 1) | (place[at[1:]] != place[at[:-1]] + 1))]
+            last = at[np.append((at[1:] != at[:-1] + 1) | (place[at[1:]] != place[at[:-1]] + 1), True)]
+            size = last - first + 1 + k
+            where = np.repeat(first - k - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (h[where], size.astype(np.int64))], ["words", "lengths"])
+
+
 COUNTED = "gram long, context long, suffix long, n long"
 
 
@@ -142,18 +186,16 @@ def _count(batch, k: int, fields: tuple[np.ndarray, np.ndarray]):
     before the word, suffix the last k."""
     parts: list[list[np.ndarray]] = []
     held = 0
-    for _, _, data, offsets in text_slices(batch.column(1).filter(pc.invert(batch.column(0)))):
-        words = Words(data, offsets, True)
-        h, place, _ = sequence(words, words.hashes())
-        gram = h
-        for j in range(1, k):
-            gram = longer(gram, h, j)
+    for h, place in _sequences(batch):
+        grams = Grams(h)
         at = np.flatnonzero(place >= k)
-        at = at[marked(fields[0], gram[at - 1])]
-        at = at[marked(fields[1], gram[at])]
-        whole = mix(mix(gram[at]) ^ h[at - k])
+        at = at[marked(fields[0], grams.upto(at - 1, k))]
+        suffix = grams.upto(at, k)
+        passes = marked(fields[1], suffix)
+        at, suffix = at[passes], suffix[passes]
+        context, whole = grams.upto(at - 1, k), grams.upto(at, k + 1)
         names, first, times = np.unique(whole, return_index=True, return_counts=True)
-        parts.append([names, gram[at - 1][first], gram[at][first], times])
+        parts.append([names, context[first], suffix[first], times])
         held += len(names)
         if held > HELD:
             parts = [_met(parts)]
@@ -197,7 +239,9 @@ def level(counted: DataFrame, totals: DataFrame, before: DataFrame, min_count: i
     known = states.select("context", F.lit(True).alias("is_state"))
     own = F.when(F.col("is_state"), (F.col("n") + PULL * F.col("shorter")) / (F.col("total") + PULL)).otherwise(F.col("shorter"))
     table = rows.join(known, "context", "left").withColumn("chance", own)
-    return stored(table.select("gram", "context", "n", "total", "newest", "chance", "root", "is_state"), "level"), states
+    done = stored(table.select("gram", "context", "n", "total", "newest", "chance", "root", "is_state"), "level")
+    remove_stored(rows)
+    return done, states
 
 
 @dataclass(frozen=True)
@@ -206,26 +250,33 @@ class Part:
 
     levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
 
-    def change(self, words: Words, h: np.ndarray) -> np.ndarray:
-        """What the states of this part add to each text's sum of unigram logarithms."""
+    def change(self, words: Words, h: np.ndarray, often: np.ndarray) -> np.ndarray:
+        """What the states of this part add to each text's sum of unigram logarithms.
+
+        often: a bit field of the contexts seen often enough for a state. Where a context isn't, no longer one is, so that few places are
+        left for the longer ones.
+        """
         h, place, doc = sequence(words, h)
-        out, gram = np.zeros(len(h)), h
+        out, grams = np.zeros(len(h)), Grams(h)
+        going = np.flatnonzero(place >= 1)
         for k, (states, alpha, entries, value) in enumerate(self.levels, 1):
-            further = longer(gram, h, k)
-            at = np.flatnonzero(place >= k)
-            which, there = find(states, gram[at - 1])
-            at, which = at[there], which[there]
-            entry, there = find(entries, further[at])
+            going = going[place[going] >= k]
+            context = grams.upto(going - 1, k)
+            left = marked(often, context)
+            going, context = going[left], context[left]
+            which, there = find(states, context)
+            at, which = going[there], which[there]
+            entry, there = find(entries, grams.upto(at, k + 1))
             out[at] = np.where(there, value[entry] if len(entries) else 0.0, out[at] + alpha[which])
-            gram = further
         return np.bincount(doc, out, minlength=len(words.offsets) - 1)
 
 
 @dataclass(frozen=True)
 class Tree:
-    """(table, states) of each context length from one word on."""
+    """(table, states) of each context length from one word on, and a bit field of the contexts seen often enough for a state."""
 
     levels: list[tuple[DataFrame, DataFrame]]
+    often: np.ndarray
 
     def parts(self, limit: int = BROADCAST_BYTES) -> list[int]:
         rows = sum(states.count() + table.where("is_state").count() for table, states in self.levels)
@@ -253,9 +304,14 @@ def grow(rows: DataFrame, root: DataFrame, min_count: int = MIN_COUNT, min_gain:
     """The tree over (held_out, text). root: as a level's table, of contexts of no words."""
     spark = rows.sparkSession
     before, levels = root, []
+    often = np.zeros(1 << (FIELD - 6), np.uint64)
     while True:
-        fields = spark.sparkContext.broadcast((bit_field(before.where(F.col("n") >= min_count)), bit_field(before)))
+        contexts = bit_field(before.where(F.col("n") >= min_count))
+        often |= contexts
+        fields = spark.sparkContext.broadcast((contexts, bit_field(before)))
         k = len(levels) + 1
+        if k == WINDOWS_FROM:
+            rows = stored(map_batches(rows, lambda b, k=k, fields=fields: _windows(b, k, fields.value[0]), WINDOWS), "windows")
         counted = map_batches(rows, lambda b, k=k, fields=fields: _count(b, k, fields.value), COUNTED)
         counted = counted.groupBy("gram", "context", "suffix").agg(F.sum("n").alias("n"))
         totals = before.select(F.col("gram").alias("context"), F.col("n").alias("total"))
@@ -263,7 +319,7 @@ def grow(rows: DataFrame, root: DataFrame, min_count: int = MIN_COUNT, min_gain:
         fields.destroy()
         levels.append((before, states))
         if k > 1 and states.isEmpty():
-            return Tree(levels)
+            return Tree(levels, often)
 
 
 @dataclass(frozen=True)
@@ -386,7 +442,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", frequent:
     root = root.where(F.col("n") >= LEAST).select("gram", "n", F.lit(n).cast("long").alias("total"), F.lit(None).cast("long").alias("newest"), share.alias("chance"), share.alias("root"))
     tree = grow(rows.select("held_out", "text"), stored(root, "root"))
     parts = tree.parts(part_bytes)
-    first = spark.sparkContext.broadcast(tree.part(0, len(parts)))
+    first, often_seen = spark.sparkContext.broadcast(tree.part(0, len(parts))), spark.sparkContext.broadcast(tree.often)
     shared = spark.sparkContext.broadcast((np.log10(vocabulary.sizes + 0.1), np.log10((vocabulary.sizes - DISCOUNT) / max(n, 1))))
 
     def work(batch):
@@ -399,14 +455,14 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", frequent:
             doc, at, size = its_words.doc_of_word()[known], at[known], b - a
             added = lambda x: np.bincount(doc, x, minlength=size)[:size] if len(doc) else np.zeros(size)
             inside = np.bincount(doc, minlength=size)[:size]
-            changed = first.value.change(its_words, h) + added(shares[at]) + end
+            changed = first.value.change(its_words, h, often_seen.value) + added(shares[at]) + end
             values = [count + 1, inside + (n_texts > 0), added(logs[at]) + np.log10(n_texts + 0.1), changed, count - inside]
             yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, size) for i in (2, 3, 0)), *map(pa.array, values)], ["doc_id", "text_key", "held_out", "n_tokens", "known", "logs", "score", "outside"])
 
     def more(batch, part):
         for a, b, data, offsets in text_slices(batch.column(1)):
             its_words = Words(data, offsets, True)
-            values = [np.diff(its_words.first) + 1, part.value.change(its_words, its_words.hashes())]
+            values = [np.diff(its_words.first) + 1, part.value.change(its_words, its_words.hashes(), often_seen.value)]
             nothing = [pa.nulls(b - a, t) for t in (pa.int64(), pa.float64(), pa.int64())]
             arrays = [*(batch.column(i).slice(a, b - a) for i in (2, 3, 0)), pa.array(values[0]), *nothing[:2], pa.array(values[1]), nothing[2]]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "text_key", "held_out", "n_tokens", "known", "logs", "score", "outside"])
