@@ -158,14 +158,14 @@ def slot_needs(clause: dict) -> set[str]:
     """What a clause reads of its path."""
     number = clause["lit_kind"] == C.INTEGER
     if clause["family"] == K.ANY_ITEM:
-        simple = number and clause["accepted"] in (K.ACCEPTED[o] for o in ("gt", "ge", "lt", "le")) and not _is_big(clause)
+        simple = number and clause["accepted"] in (K.ACCEPTED[o] for o in ("gt", "ge", "lt", "le")) and not is_big(clause)
         return {"number"} if simple else {"items"}
     if clause["family"] == K.COMPARE:
-        return ({"number", "integer"} if _is_big(clause) else {"number"}) if number else {"text"}
+        return ({"number", "integer"} if is_big(clause) else {"number"}) if number else {"text"}
     return {"text"} if clause["family"] == K.STARTS_WITH else set()
 
 
-def _is_big(c: dict) -> bool:
+def is_big(c: dict) -> bool:
     return c["lit_int"] is not None and abs(c["lit_int"]) >= EXACT_DOUBLE
 
 
@@ -200,7 +200,7 @@ def _word(members: list[tuple[int, dict]]) -> tuple[list[str], list[str], list[s
     hold, error, orphan = [], [], []
     groups: dict[tuple, list[tuple[int, dict]]] = defaultdict(list)
     for bit, c in members:
-        groups[(c["family"], c["slot"], c["lit_kind"], c["accepted"], _is_big(c))].append((bit, c))
+        groups[(c["family"], c["slot"], c["lit_kind"], c["accepted"], is_big(c))].append((bit, c))
     orphans: dict[int, int] = defaultdict(int)
     for (family, slot, lit_kind, accepted, big), group in sorted(groups.items()):
         bits = sum(b for b, _ in group)

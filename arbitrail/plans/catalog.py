@@ -13,6 +13,7 @@ from arbitrail.operators import rules as R
 from arbitrail.operators.clauses import clause, rule
 from arbitrail.operators.matching import match_pairs
 from arbitrail.operators.parse import original_type, parse_events, quarantine
+from arbitrail.operators.rules import rule_frame
 from arbitrail.plans import fixtures as X
 from arbitrail.rulesets.seed import seed_rules
 from arbitrail.schema import AUDITS, RAW_EVENTS
@@ -230,6 +231,31 @@ def q_match_only_join(spark, sf):
     return match_pairs(X.sales_events(spark, sf), R.take_snapshot(seed_rules(spark))).select(*EVENT, "rule_id")
 
 
+def range_rules(spark) -> DataFrame:
+    """Rules that only bound numbers, from both sides or from one, some under one id, one that can't match and one that always does."""
+    rows = []
+    for k in range(80):
+        cents = k % 20
+        clauses = (
+            [clause("ge", "amount", 5 * k), clause("lt", "amount", 5 * k + 40)],
+            [clause("lt", "amount", 5 * k)],
+            [clause("eq", "metadata.priority", k % 5 + 1), clause("gt", "amount", 3 * k)],
+            [clause("ge", "metadata.tax_rate", cents / 100), clause("le", "metadata.tax_rate", (cents + 3) / 100)],
+        )[k % 4]
+        rows.append(rule(f"r{k - (k % 8 == 7)}", "Range", clauses))
+    rows += [rule("r80", "Contradiction", [clause("gt", "amount", 50), clause("lt", "amount", 20)]), rule("r81", "Everything", [])]
+    return rule_frame(spark, rows)
+
+
+@query
+def q_match_only_ranges(spark, sf):
+    """Matches of rules without an equality on a text, by the interval join and by full evaluation."""
+    snapshot, events = R.take_snapshot(range_rules(spark)), X.click_events(spark, sf)
+    found = {"join": match_pairs(events, snapshot), "evaluation": E.evaluate(events, snapshot, matched_only=True)}
+    counts = [df.groupBy("rule_id").agg(F.count("*").alias("matches"), F.sum("offset").alias("offsets")).withColumn("plan", F.lit(name)) for name, df in found.items()]
+    return counts[0].unionByName(counts[1])
+
+
 # --- audits and routing --------------------------------------------------------------------------------
 
 

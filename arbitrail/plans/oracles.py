@@ -275,6 +275,14 @@ def oracles() -> dict[str, str]:
           named AS (SELECT j.rule_id AS judged_id, j.rule_id FROM ranked j UNION ALL SELECT rule_id, before FROM ranked WHERE (k - 2) % 3 = 0 AND before IS NOT NULL)
           SELECT n.rule_id, count(*) AS matches, plan FROM judged j JOIN named n ON n.judged_id = j.rule_id CROSS JOIN (VALUES ('join'), ('evaluation')) AS p(plan)
           WHERE failed = 0 GROUP BY ALL""",
+        "q_match_only_ranges": f"""WITH {EV.strip().removesuffix(',')}, rules AS (SELECT CAST(k AS INTEGER) AS k FROM range(82) AS t(k)),
+          met AS (SELECT 'r' || (k - CASE WHEN k < 80 AND k % 8 = 7 THEN 1 ELSE 0 END) AS rule_id, "offset" FROM ev, rules WHERE NOT bad AND CASE
+            WHEN k = 80 THEN false WHEN k = 81 THEN true
+            WHEN k % 4 = 0 THEN akind = 'num' AND amount >= 5 * k AND amount < 5 * k + 40
+            WHEN k % 4 = 1 THEN akind = 'null' OR (akind = 'num' AND amount < 5 * k)
+            WHEN k % 4 = 2 THEN has_meta AND priority = k % 5 + 1 AND akind = 'num' AND amount > 3 * k
+            ELSE has_meta AND round(tax_rate * 100) BETWEEN k % 20 AND k % 20 + 3 END)
+          SELECT rule_id, count(*) AS matches, CAST(sum("offset") AS BIGINT) AS offsets, plan FROM met CROSS JOIN (VALUES ('join'), ('evaluation')) AS p(plan) GROUP BY ALL""",
         "q_match_only_join": f"{sales} SELECT {EVENT}, rule_id FROM judged WHERE failed = 0",
         "q_audit_ids": f"{WITH} SELECT audit_id, event_hash AS event_id, rule_id FROM audits",
         "q_routed_events": f"""{WITH} SELECT event_hash AS event_id, rule_id, '{ROUTED_MESSAGE}' AS message, type || '_' || rule_id AS type,

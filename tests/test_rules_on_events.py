@@ -11,7 +11,8 @@ from arbitrail.operators import clauses as K
 from arbitrail.operators.audit import audits, routed_events
 from arbitrail.operators.clauses import clause, rule
 from arbitrail.operators.evaluate import evaluate, event_summary, event_verdicts
-from arbitrail.operators.matching import match_pairs
+from arbitrail.operators import matching
+from arbitrail.operators.matching import Line, match_pairs
 from arbitrail.operators.rules import PackPass, rule_frame, take_snapshot
 from arbitrail.plans import fixtures as X
 from arbitrail.rulesets.seed import seed_rules
@@ -181,6 +182,33 @@ def test_every_plan_agrees_with_brute_force(spark, sizes):
     assert sorted(tuple(r) for r in pairs) == sorted(k for k, c in want.items() if c == 0)
 
 
+@pytest.mark.parametrize("thresholds", [1, 2, 3, 8, 9])
+def test_intervals_are_covered_once(thresholds):
+    line = Line([float(x) for x in range(thresholds)])
+    for low in range(2 * thresholds + 1):
+        for high in range(low, 2 * thresholds + 1):
+            nodes = line.nodes(low, high)
+            assert len(nodes) <= 2 * line.depth
+            for place in range(2 * thresholds + 1):
+                above = {(place + (1 << line.depth)) >> level for level in range(line.depth + 1)}
+                assert len(above & set(nodes)) == (low <= place <= high)
+    assert line.nodes(*line.interval([{"lit_num": 0.0, "accepted": K.ACCEPTED[op]} for op in ("lt", "gt")])) == []
+
+
+def test_matches_of_bounded_rules_and_few_signatures(spark, monkeypatch):
+    monkeypatch.setattr(matching, "MAX_SIGNATURES", 1)
+    big = 2**60 + 1
+    rules = [rule(f"{op}{x}", op, [clause(op, "a", x)]) for op in ("gt", "ge", "lt", "le", "eq", "ne") for x in (-1, 0, 2.5, 7, big)]
+    rules += [rule("in", "in", [clause("ge", "a", 0), clause("lt", "a", 7), clause("gt", "b.c", 1)]), rule("out", "out", [clause("lt", "a", 0), clause("gt", "a", 7)])]
+    rules += [rule("in", "in", [clause("eq", "a", 7)]), rule("all", "all", []), rule("t", "t", [clause("eq", "s", "x")]), rule("u", "u", [clause("eq", "b.s", "x"), clause("le", "a", 2.5)])]
+    values = ["-2", "-1", "-0.0", "0", "2", "2.5", "7", "7.0", "8e300", str(big), str(big - 1), "null", '"7"', "true", "[7]", "{}"]
+    texts = [f'{{"a":{a},"s":"x","b":{{"c":{c},"s":"x"}}}}' for a in values for c in (1, 2)] + ["{}", '{"b":1}', "[]", "null", "", None, '{"s":"x"}']
+    snapshot = take_snapshot(rule_frame(spark, rules))
+    pairs = [df.select("offset", "rule_id").collect() for df in (match_pairs(events(spark, texts), snapshot), evaluate(events(spark, texts), snapshot, matched_only=True))]
+    assert len(pairs[0]) > 100 and sorted(map(tuple, pairs[0])) == sorted(map(tuple, pairs[1]))
+    assert match_pairs(events(spark, texts), take_snapshot(rule_frame(spark, rules[-5:-4]))).isEmpty()
+
+
 # The demo event formula and the tallies it must give with the default rules.
 GOLDEN = {
     25: {"compliance-check-for-account-in-emea-region-rule-16": 3},
