@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arbitrail.functions.text import hour_key
 from arbitrail.operators import analytics as N
 from arbitrail.operators import audit as A
 from arbitrail.operators import evaluate as E
@@ -443,6 +444,27 @@ def q_hour_rollup(spark, sf):
     return rollup.hour_rollups(click_audits(spark, sf))
 
 
+@query
+def q_messages_of_range(spark, sf):
+    """Distinct messages of a range from sketches of its hours: of audits some of which came again an hour later, and of a store after a rerun.
+    Given are the exact numbers, and whether the estimates are within the stated error."""
+    low, high = at(RANGE[0]), at(RANGE[1])
+    audits = click_audits(spark, sf)
+    again = audits.where("offset % 5 = 0").withColumn("timestamp", F.col("timestamp") + F.expr("interval 1 hour"))
+    twice = audits.unionByName(again)
+    found = {
+        "again": (N.in_range(twice.withColumn("hour", hour_key(F.col("timestamp"))), low, high), rollup.distinct_messages(N.in_range(rollup.hour_sketches(twice), low, high))),
+        "store": (N.in_range(audits.withColumn("hour", hour_key(F.col("timestamp"))), low, high), _store_with_rerun(spark, sf).messages(low, high)),
+    }
+    rows = []
+    for name, (all_rows, estimate) in found.items():
+        exact = all_rows.select("source_topic", "partition", "offset").distinct().agg(F.count("*").alias("exact"), F.lit(None).cast("long").alias("messages"))
+        both = exact.unionByName(estimate.select(F.lit(None).cast("long").alias("exact"), "messages")).agg(F.max("exact").alias("exact"), F.max("messages").alias("messages"))
+        within = F.abs(F.col("messages") - F.col("exact")) <= rollup.SKETCH_ERROR * F.col("exact")
+        rows.append(both.select(F.lit(name).alias("name"), "exact", within.alias("within")))
+    return rows[0].unionByName(rows[1])
+
+
 @query
 def q_rollup_window(spark, sf):
     return rollup.recompute(click_audits(spark, sf), at(WINDOW_AS_OF))[0]

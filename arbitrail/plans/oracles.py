@@ -340,6 +340,10 @@ def oracles() -> dict[str, str]:
         "q_audit_poison": f"""{WITH} SELECT CASE WHEN "offset" % 53 = 0 THEN 'unreadable' ELSE audit_type END AS audit_type, count(*) AS messages FROM audits GROUP BY 1""",
         "q_rule_rollup": f"{ROLL} SELECT * FROM rr",
         "q_hour_rollup": f"{ROLL} SELECT * FROM hr",
+        "q_messages_of_range": f"""{WITH}, met AS (SELECT 'store' AS name, event_hash, ts FROM audits UNION ALL SELECT 'again', event_hash, ts FROM audits
+            UNION ALL SELECT 'again', event_hash, ts + INTERVAL 1 HOUR FROM audits WHERE "offset" % 5 = 0)
+          SELECT name, count(DISTINCT event_hash) AS exact, true AS within FROM met
+          WHERE date_trunc('hour', ts) BETWEEN date_trunc('hour', TIMESTAMP '{RANGE[0]}') AND date_trunc('hour', TIMESTAMP '{RANGE[1]}') GROUP BY name""",
         "q_rollup_window": f"{ROLL} SELECT * FROM rr WHERE {_since(3)}",
         "q_rollup_backfill": f"{ROLL} SELECT * FROM hr WHERE {_since(26)}",
         "q_rollup_merge": f"{ROLL} SELECT * FROM rr",

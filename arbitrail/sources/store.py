@@ -4,8 +4,8 @@ Parquet has no MERGE, so an upsert is a new part: a folder for each table of one
 through a view that keeps the last verdict per audit id. Folders are per day. Within a day the files are time slices where the
 events came in time order or were dealt by it (``spread``), so a range of hours is pruned by the row groups' statistics.
 
-With each part goes a small table of facts: for each hour, topic and partition the lowest and highest offset and the counts. An
-audit keeps its record's place and time in every version, so only parts whose offset ranges overlap can hold the same audit.
+With each part goes a small table of facts: for each hour, topic and partition the lowest and highest offset, the counts and a
+mergeable sketch of the distinct records. An audit keeps its record's place and time in every version, so only parts whose offset ranges overlap can hold the same audit.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from arbitrail.sources.commits import CommitLog
 _BATCH = ["stream", "run_seq", "batch_id"]
 _KINDS = {"matched": S.MATCHED, "unmatched": S.UNMATCHED, "errored": S.ERRORED}
 _PLACE = ["hour", "topic", "partition"]
-_FACTS = "hour string, topic string, partition int, low bigint, high bigint, audits bigint, messages bigint, matched bigint, unmatched bigint, errored bigint, part string"
+_FACTS = "hour string, topic string, partition int, low bigint, high bigint, audits bigint, messages bigint, matched bigint, unmatched bigint, errored bigint, sketch binary, part string"
 COMPACTED = "compacted"
 
 
@@ -79,7 +79,8 @@ class BatchWriter:
             events = self.store._events_of(self.store._read([folder]))
         facts = f"{self.store.root}/facts/part={self.name}"
         sums = [F.sum(c).alias(c) for c in ("audits", *_KINDS)]
-        per_place = events.groupBy(*_PLACE).agg(F.min("offset").alias("low"), F.max("offset").alias("high"), F.count("*").alias("messages"), *sums)
+        sketch = R.message_sketch("topic").alias("sketch")
+        per_place = events.groupBy(*_PLACE).agg(F.min("offset").alias("low"), F.max("offset").alias("high"), F.count("*").alias("messages"), *sums, sketch)
         per_place.withColumn("hour", hour_key(F.col("hour"))).coalesce(1).write.parquet(facts)
         hours = [r[0] for r in self.store.spark.read.parquet(facts).select("hour").distinct().orderBy("hour").collect()]
         self.part |= {"days": sorted({h[:10] for h in hours}), "hours": hours}
@@ -460,6 +461,16 @@ class AuditStore:
     def hour_rollups(self, start: Column | None = None, end: Column | None = None) -> DataFrame:
         return self._between("hour_rollups", start, end)
 
+    def messages(self, start: Column, end: Column) -> DataFrame:
+        """(messages): about how many distinct records the hours of a range have, from sketches alone (``rollup.distinct_messages``).
+
+        Reruns and compactions of a record change nothing. A record that only a replaced version had goes with it, but in parts of a
+        compaction only with the next one.
+        """
+        low, high = self.spark.range(1).select(hour_key(start), hour_key(end)).first()
+        parts = [p for p in self._parts() if any(low <= h <= high for h in p["hours"])]
+        return R.distinct_messages(N.in_range(self._facts(parts), start, end))
+
     def _between(self, name: str, start: Column | None, end: Column | None) -> DataFrame:
         """Rollups of the hours of a range; only the folders of its days are read."""
         entry = self.log.read()
