@@ -309,6 +309,51 @@ def test_classifier_on_odd_rows(spark):
     assert quality_classifier.score(docs.where("false"), quality_classifier.train(docs.where("false"), labels)).isEmpty()
 
 
+def brute_risk(positive, unlabelled, w, b, prior):
+    """Both parts of the risk, row by row: of positives as positives, and of negatives."""
+    z = lambda x: sum(a * c for a, c in zip(x, w, strict=True)) + b
+    mean = lambda rows, sign: sum(math.log(1 + math.exp(sign * z(x))) for x in rows) / len(rows)
+    return prior * mean(positive, -1), mean(unlabelled, 1) - prior * mean(positive, 1)
+
+
+@pytest.mark.parametrize("centre", [1.5, -1.0])
+def test_classifier_step_follows_the_brute_force_risk(centre):
+    """In the second case unlabelled rows score lower than positives among them allow, so that the step goes back."""
+    rng = random.Random(3)
+    positive, unlabelled = ([[rng.gauss(m, 1) for _ in range(4)] for _ in range(n)] for m, n in ((2.0, 7), (centre, 11)))
+    w, bias, prior = [0.5, -0.2, 0.9, 0.7], 0.3, 0.6
+    terms = quality_classifier.negative_terms(np.array(unlabelled), np.array(w), bias)
+    got = quality_classifier.risk_gradient(np.array(positive), terms, np.array(w), bias, prior)
+    backwards = brute_risk(positive, unlabelled, w, bias, prior)[1] < 0
+    assert backwards == (centre < 0)
+    value = lambda at: (lambda r: -r[1] if backwards else r[0] + r[1])(brute_risk(positive, unlabelled, at[:-1], at[-1], prior))
+    for i in range(5):
+        low, high = ([x + (step if i == j else 0) for j, x in enumerate([*w, bias])] for step in (-1e-5, 1e-5))
+        assert math.isclose(got[i], (value(high) - value(low)) / 2e-5, rel_tol=1e-5, abs_tol=1e-8)
+
+
+@pytest.mark.parametrize("prior", [0.2, 0.5, 0.85])
+def test_prior_from_positives_and_unlabelled_rows(prior):
+    rng = np.random.default_rng(5)
+    draw = lambda n, share: np.where((rng.random(n) < share)[:, None], rng.normal(1.5, 1, (n, 3)), rng.normal(-1.5, 1, (n, 3)))
+    assert abs(quality_classifier.estimate_prior(draw(6000, 1.0), draw(6000, prior)) - prior) < 0.05
+    assert quality_classifier.estimate_prior(draw(39, 1.0), draw(4000, prior)) is None
+
+
+def test_classifier_sums_all_rows_and_samples_one_row_of_an_id(spark, monkeypatch):
+    rng = random.Random(8)
+    docs = frame(spark, [(i % 50, prose(rng, 40)) for i in range(300)])
+    rows = docs.select(F.col("text").cast("binary").alias("text")).collect()
+    data, offsets = np.frombuffer(b"".join(bytes(r[0]) for r in rows), np.uint8), np.append(0, np.cumsum([len(r[0]) for r in rows]))
+    x = quality_classifier.features(data, offsets).astype(np.float16)
+    packed = spark.createDataFrame([(r.tobytes(),) for r in x], "features binary").repartition(7)
+    assert np.allclose(quality_classifier._summed(packed, quality_classifier.N_FEATURES, lambda b: b.sum(0)), x.astype(float).sum(0), atol=1e-3)
+    held, matrix = [], quality_classifier._matrix
+    monkeypatch.setattr(quality_classifier, "_matrix", lambda rows: held.append(len(rows)) or matrix(rows))
+    quality_classifier.train(docs, spark.createDataFrame([(i, 1) for i in range(50)], "doc_id long, quality int"), sample_rows=20, rounds=2, last_rounds=1)
+    assert held == [20, 20]
+
+
 # --- LM scores ------------------------------------------------------------------------------------------
 
 
