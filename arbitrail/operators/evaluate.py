@@ -231,9 +231,16 @@ def event_summary(raw: DataFrame, snapshot: Snapshot) -> DataFrame:
     )
 
 
+def _rows_where(frame: DataFrame, keep: Column) -> DataFrame:
+    """Rows of ``frame`` where ``keep`` holds. The test is made by a generator over each row: a filter would be pushed down to
+    the scan with every use of the parsed event replaced by the whole parsing, once per rule and clause."""
+    kept = F.filter(F.array(F.struct(*frame.columns)), lambda _: keep)
+    return frame.select(F.inline(kept))
+
+
 def events_with_match(raw: DataFrame, snapshot: Snapshot) -> DataFrame:
-    return event_results(raw, snapshot).where(_has(MATCHED)).drop("results", "root", "parsed")
+    return _rows_where(event_results(raw, snapshot), _has(MATCHED)).drop("results", "root", "parsed")
 
 
 def events_without_match(raw: DataFrame, snapshot: Snapshot) -> DataFrame:
-    return event_results(raw, snapshot).where(~_has(MATCHED)).drop("results", "root", "parsed")
+    return _rows_where(event_results(raw, snapshot), ~_has(MATCHED)).drop("results", "root", "parsed")

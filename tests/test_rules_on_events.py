@@ -266,3 +266,15 @@ def test_condition_rules_in_portions(spark):
 
 def test_codes_name_their_outcome():
     assert K.CODE_BASE > max(K.CAUSES)
+
+
+def test_events_with_and_without_match_parse_each_event_once(spark, sf):
+    from arbitrail.operators.evaluate import events_with_match, events_without_match
+
+    raw, snapshot = X.click_events(spark, sf), take_snapshot(X.click_rules(spark).where("rule_id in ('c1', 'c2')"))
+    parses = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("parseJson")
+    verdicts = event_verdicts(raw, snapshot)
+    for split, kept in ((events_with_match, "verdict = 'MATCHED'"), (events_without_match, "verdict <> 'MATCHED'")):
+        out = split(raw, snapshot).select("topic", "partition", "offset")
+        assert parses(out) <= parses(verdicts)
+        assert sorted(out.collect()) == sorted(verdicts.where(kept).select("topic", "partition", "offset").collect())
