@@ -831,8 +831,14 @@ def q_store_new_checkpoint(spark, sf):
 
 
 def _audit_stream(spark, sf, copies: int) -> tuple[str, DataFrame]:
-    """Audits as a stream of small batches, newest first, each audit in ``copies`` of them."""
-    folder, audits = shared_dir(spark, "stream"), click_audits(spark, sf)
+    """Audits as a stream of small batches, newest first, each audit in ``copies`` of them.
+
+    The audits are evaluated once, by all tasks, and stored; each batch's file is then cut from that copy. Cutting from the
+    evaluation itself would have ``coalesce(1)`` run all of it in one task, once for each file.
+    """
+    folder = shared_dir(spark, "stream")
+    click_audits(spark, sf).write.parquet(f"{folder}/audits")
+    audits = spark.read.parquet(f"{folder}/audits")
     cuts = ["2024-01-24", "2024-01-16", "2024-01-08", "2023-01-01"]
     for i, (low, high) in enumerate(zip(cuts, ["2025-01-01", *cuts])):
         part = audits.where((F.col("timestamp") >= at(low)) & (F.col("timestamp") < at(high)))

@@ -226,3 +226,25 @@ def test_a_fault_that_is_no_records_is_raised(spark, monkeypatch):
     assert {r.offset for r in store.latest().collect()} == {0, 2, 3, 5}
     aside = store.part("quarantine").collect()
     assert {r.offset for r in aside} == {1, 4} and all("torn" in r.reason for r in aside)
+
+
+def test_an_audit_stream_evaluates_the_audits_once(spark, sf, monkeypatch):
+    """The batches' files are cut from one stored evaluation, not from one single-task evaluation for each file."""
+    from arbitrail.plans import catalog
+
+    seen = spark.sparkContext.accumulator(0)
+    real = catalog.click_audits
+
+    def counted(spark, sf, **options):
+        audits = real(spark, sf, **options)
+
+        @F.udf("boolean")
+        def count(_):
+            seen.add(1)
+            return True
+
+        return audits.where(count("audit_id"))
+
+    monkeypatch.setattr(catalog, "click_audits", counted)
+    folder, _ = catalog._audit_stream(spark, sf, copies=2)
+    assert seen.value == spark.read.parquet(f"{folder}/audits").count()
