@@ -23,7 +23,7 @@ from arbitrail.operators import report
 from arbitrail.operators import rollup as R
 from arbitrail.operators.clauses import rule
 from arbitrail.operators.rules import rule_frame
-from arbitrail.session import folder_exists
+from arbitrail.session import folder_exists, remove_folder
 from arbitrail.sources.commits import CommitLog
 
 _BATCH = ["stream", "run_seq", "batch_id"]
@@ -88,8 +88,13 @@ class BatchWriter:
         return self.store._rows([self.part])
 
     def _write(self, rows: DataFrame) -> str:
-        folder = f"{self.store.root}/audits/part={self.name}"
-        if folder_exists(self.store.spark, folder):  # written a second time, without repeats
+        """Writes the batch's audits in a new folder; a first writing that this one replaces is deleted once it is read.
+
+        A task's rows go by day, time and event, so that an event's audits lie side by side and their ids and places compress.
+        """
+        spark, folder, stale = self.store.spark, f"{self.store.root}/audits/part={self.name}", None
+        if folder_exists(spark, folder):  # written a second time, without repeats; the first was never published
+            stale = (folder, _table_name(self.part))
             self.name = self.part["name"] = uuid.uuid4().hex
             folder = f"{self.store.root}/audits/part={self.name}"
         rows = rows.withColumn("day", F.date_format("timestamp", "yyyy-MM-dd"))
@@ -97,9 +102,13 @@ class BatchWriter:
         if buckets:  # a task writes one bucket of all days
             order = [*S.AUDITS.fieldNames(), *_BATCH, "day"]
             clustered = rows.select(*order).repartition(buckets, "audit_id").write.partitionBy("day").bucketBy(buckets, "audit_id").sortBy("audit_id")
-            clustered.option("path", folder).format("parquet").saveAsTable(_table_name(self.part))
+            clustered.option("path", folder).option("compression", "zstd").format("parquet").saveAsTable(_table_name(self.part))
         else:
-            rows.write.partitionBy("day").parquet(folder)
+            ordered = rows.sortWithinPartitions("day", "timestamp", "source_topic", "partition", "offset", "event_id")
+            ordered.write.option("compression", "zstd").partitionBy("day").parquet(folder)
+        if stale:
+            spark.sql(f"DROP TABLE IF EXISTS {stale[1]}")
+            remove_folder(spark, stale[0])
         return folder
 
     def table(self, name: str, rows: DataFrame) -> None:

@@ -248,3 +248,10 @@ def test_an_audit_stream_evaluates_the_audits_once(spark, sf, monkeypatch):
     monkeypatch.setattr(catalog, "click_audits", counted)
     folder, _ = catalog._audit_stream(spark, sf, copies=2)
     assert seen.value == spark.read.parquet(f"{folder}/audits").count()
+
+
+def test_a_batch_written_again_without_repeats_leaves_one_copy_on_disk(spark):
+    store, raw = AuditStore(spark, shared_dir(spark, "store")), records(spark, range(5))
+    store.write_batch(judged(spark, raw.unionByName(raw.where("offset < 2"))), 1, 0)
+    on_disk = spark.read.parquet(f"{store.root}/audits")
+    assert on_disk.count() == store.latest().count() == 10 and len(names_in(spark, f"{store.root}/audits")) == 1
