@@ -99,9 +99,9 @@ class BatchWriter:
             folder = f"{self.store.root}/audits/part={self.name}"
         rows = rows.withColumn("day", F.date_format("timestamp", "yyyy-MM-dd"))
         buckets = self.part["buckets"]
-        if buckets:  # a task writes one bucket of all days
+        if buckets:  # each task writes its ids' share of every bucket, so that a batch isn't held by as few tasks as it has buckets
             order = [*S.AUDITS.fieldNames(), *_BATCH, "day"]
-            clustered = rows.select(*order).repartition(buckets, "audit_id").write.partitionBy("day").bucketBy(buckets, "audit_id").sortBy("audit_id")
+            clustered = rows.select(*order).repartition("audit_id").write.partitionBy("day").bucketBy(buckets, "audit_id").sortBy("audit_id")
             clustered.option("path", folder).option("compression", "zstd").format("parquet").saveAsTable(_table_name(self.part))
         else:
             ordered = rows.sortWithinPartitions("day", "timestamp", "source_topic", "partition", "offset", "event_id")

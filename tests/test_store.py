@@ -255,3 +255,20 @@ def test_a_batch_written_again_without_repeats_leaves_one_copy_on_disk(spark):
     store.write_batch(judged(spark, raw.unionByName(raw.where("offset < 2"))), 1, 0)
     on_disk = spark.read.parquet(f"{store.root}/audits")
     assert on_disk.count() == store.latest().count() == 10 and len(names_in(spark, f"{store.root}/audits")) == 1
+
+
+def test_a_clustered_batch_is_written_by_more_tasks_than_it_has_buckets(spark, tmp_path):
+    """Each writing task holds its ids' share of every bucket, not a whole bucket of the batch."""
+    import glob
+
+    root = shared_dir(spark, "store")
+    store = AuditStore(spark, root)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        store.write_batch(judged(spark, records(spark, range(400))), 1, 0, buckets=2)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = glob.glob(f"{root.removeprefix('file:')}/audits/part=*/day=2024-03-01/*.parquet")
+    assert len(files) > 2
+    assert sorted(int(f.rsplit("_", 1)[1].split(".")[0]) for f in files)[-1] == 1  # still two buckets
+    assert store.latest().count() == 800 and kinds(store.latest())[399, "a", "MATCHED"] == 1
