@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
@@ -43,6 +45,18 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@contextmanager
+def one_writer(spark: SparkSession) -> Iterator[None]:
+    """Within, a task closes one folder's file before it opens the next: for rows that come in the folders' order, each of whose open files would hold its rows in memory."""
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "0")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder for ``purpose`` below the one the cluster names in ``spark.checkpoint.dir``.
 
