@@ -103,16 +103,29 @@ AUDIT_JSON = (
 )
 
 
-def read_audit_json(messages: DataFrame, column: str = "audit_json") -> tuple[DataFrame, DataFrame]:
-    """Audit rows of the readable messages, and the unreadable messages for quarantine.
+def parsed_audit_json(messages: DataFrame, column: str = "audit_json") -> DataFrame:
+    """The messages with their parsed text ``a`` and whether it is ``readable``.
 
     A message is unreadable when it is not a JSON object of this shape or names no audit.
     """
     schema = AUDIT_JSON + ", _corrupt string"
     parsed = messages.withColumn("a", F.from_json(column, schema, {"columnNameOfCorruptRecord": "_corrupt"}))
-    readable = F.col("a").isNotNull() & F.col("a._corrupt").isNull() & F.col("a.auditId").isNotNull()
+    return parsed.withColumn("readable", F.col("a").isNotNull() & F.col("a._corrupt").isNull() & F.col("a.auditId").isNotNull())
+
+
+def read_audit_json(messages: DataFrame, column: str = "audit_json") -> tuple[DataFrame, DataFrame]:
+    """Audit rows of the readable messages, and the unreadable messages for quarantine; each message is parsed once for either.
+
+    Rows are chosen by a generator: a filter would be pushed below the parsing and repeat it for each of its conditions.
+    """
+    parsed = parsed_audit_json(messages, column)
+    rows = parsed.select(F.inline(F.filter(F.array(F.struct("a")), lambda _: F.col("readable")))).select(*_columns_of_json())
+    return rows, parsed.select(F.inline(F.filter(F.array(F.struct(*messages.columns)), lambda _: ~F.col("readable"))))
+
+
+def _columns_of_json() -> list[Column]:
     a = "a."
-    rows = parsed.where(readable).select(
+    return [
         F.col(a + "auditId").alias("audit_id"),
         F.col(a + "ruleId").alias("rule_id"),
         F.col(a + "schemaVersion").alias("schema_version"),
@@ -127,8 +140,7 @@ def read_audit_json(messages: DataFrame, column: str = "audit_json") -> tuple[Da
         F.col(a + "parseTimeNano").alias("parse_time_nano"),
         F.col(a + "evalTimeNano").alias("eval_time_nano"),
         F.col(a + "totalTimeNano").alias("total_time_nano"),
-    )
-    return rows, parsed.where(~F.coalesce(readable, F.lit(False))).drop("a")
+    ]
 
 
 def tally(audit_rows: DataFrame) -> DataFrame:
