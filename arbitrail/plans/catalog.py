@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arbitrail.functions import keys
 from arbitrail.functions.text import hour_key
 from arbitrail.operators import analytics as N
 from arbitrail.operators import audit as A
@@ -17,7 +18,7 @@ from arbitrail.operators.parse import original_type, parse_events, quarantine
 from arbitrail.operators.rules import rule_frame
 from arbitrail.plans import fixtures as X
 from arbitrail.rulesets.seed import seed_rules
-from arbitrail.schema import AUDITS, RAW_EVENTS
+from arbitrail.schema import RAW_EVENTS
 from arbitrail.session import shared_dir
 from arbitrail.sources.events import stream_events
 from arbitrail.sources.store import AuditStore, latest_audits
@@ -834,17 +835,18 @@ def _audit_stream(spark, sf, copies: int) -> tuple[str, DataFrame]:
     """Audits as a stream of small batches, newest first, each audit in ``copies`` of them.
 
     The audits are evaluated once, by all tasks, and stored; each batch's file is then cut from that copy. Cutting from the
-    evaluation itself would have ``coalesce(1)`` run all of it in one task, once for each file.
+    evaluation itself would have ``coalesce(1)`` run all of it in one task, once for each file. The files leave out the ids that can
+    be made (``keys.without_ids``), and so does the stream.
     """
     folder = shared_dir(spark, "stream")
-    click_audits(spark, sf).write.parquet(f"{folder}/audits")
+    keys.without_ids(click_audits(spark, sf)).write.option("compression", "zstd").parquet(f"{folder}/audits")
     audits = spark.read.parquet(f"{folder}/audits")
     cuts = ["2024-01-24", "2024-01-16", "2024-01-08", "2023-01-01"]
     for i, (low, high) in enumerate(zip(cuts, ["2025-01-01", *cuts])):
         part = audits.where((F.col("timestamp") >= at(low)) & (F.col("timestamp") < at(high)))
         for _ in range(copies):
-            part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    return folder, stream_events(spark, f"{folder}/in", AUDITS, files_per_batch=1)
+            part.coalesce(1).write.option("compression", "zstd").mode("append").parquet(f"{folder}/in")
+    return folder, stream_events(spark, f"{folder}/in", audits.schema, files_per_batch=1)
 
 
 @query
@@ -858,7 +860,7 @@ def q_stream_rollup(spark, sf):
 def q_stream_dedup(spark, sf):
     folder, audits = _audit_stream(spark, sf, copies=2)
     pipeline.start_dedup(audits, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
-    return spark.read.schema(AUDITS).parquet(f"{folder}/out").select("audit_id", "rule_id")
+    return pipeline.deduplicated(spark, f"{folder}/out").select("audit_id", "rule_id")
 
 
 @query

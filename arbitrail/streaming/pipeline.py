@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from arbitrail.functions import keys
 from arbitrail.functions.keys import event_id
 from arbitrail.operators.audit import audit_json, audits, read_audit_json, routed_events
 from arbitrail.operators.parse import as_raw_events, quarantine, spread
@@ -22,9 +23,9 @@ from arbitrail.operators.predicates import ACCEPTED
 from arbitrail.operators.rollup import rule_rollups
 from arbitrail.operators.rules import Snapshot, load_errors, take_snapshot
 from arbitrail.schema import AUDITS, ERRORED, MATCHED, RULE_PARSE, RULE_ROLLUPS
-from arbitrail.session import folder_exists
+from arbitrail.session import folder_exists, one_writer
 from arbitrail.sources.events import kafka_records
-from arbitrail.sources.store import AuditStore
+from arbitrail.sources.store import AuditStore, first_of_each
 
 
 def stream_id(events: DataFrame) -> str:
@@ -210,28 +211,35 @@ def start_dedup(audit_rows: DataFrame, folder: str, checkpoint: str) -> Streamin
     """Each audit once, however often, in whatever batch and order its record comes.
 
     A batch leaves out what earlier batches have kept; as an audit never changes its time, only its days are compared, and
-    only audit ids are read of them.
+    only what names an audit is read of them. Batch and kept audits meet in one exchange. ``deduplicated`` reads the result, which leaves out the
+    ids that can be made; the stream's rows may do so too (``keys.without_ids``).
     """
 
     def keep(batch: DataFrame, batch_id: int) -> None:
         spark, stream = batch.sparkSession, stream_id(batch)
         mine = f"{folder}/stream={stream}/batch_id={batch_id}"
-        rows = batch.dropDuplicates(["audit_id"]).withColumn("day", F.coalesce(F.date_format("timestamp", "yyyy-MM-dd"), F.lit("none"))).persist()
-        try:
-            if folder_exists(spark, folder):
-                days = [r[0] for r in rows.select("day").distinct().collect()]
-                kept = spark.read.schema("audit_id string, stream string, batch_id bigint, day string").parquet(folder)
-                others = kept.where(F.col("day").isin(days) & ~((F.col("stream") == stream) & (F.col("batch_id") == batch_id)))
-                new = rows.join(others.select("audit_id"), "audit_id", "left_anti")
-            else:
-                new = rows
-            new.write.mode("overwrite").partitionBy("day").parquet(mine)
-        finally:
-            rows.unpersist()
+        rows = keys.without_ids(batch).withColumns({"day": F.coalesce(F.date_format("timestamp", "yyyy-MM-dd"), F.lit("none")), "kept": F.lit(False)})
+        if folder_exists(spark, folder):
+            days = [r[0] for r in rows.select("day").distinct().collect()]
+            kept = spark.read.schema(_KEPT).parquet(folder).where(F.col("day").isin(days) & ~((F.col("stream") == stream) & (F.col("batch_id") == batch_id)))
+            kept = kept.where(keys.has_id()).select("audit_id", "rule_id", "source_topic", "partition", "offset", keys.IDS_MADE, F.lit(True).alias("kept"))
+            rows = rows.unionByName(kept, allowMissingColumns=True)
+        new = first_of_each(rows, F.desc("kept"), F.desc_nulls_last("processed_at"), F.desc("rule_version"), "code").where("not kept").drop("kept")
+        ordered = new.sortWithinPartitions("day", "timestamp", "source_topic", "partition", "offset")
+        with one_writer(spark):
+            ordered.write.mode("overwrite").option("compression", "zstd").partitionBy("day").parquet(mine)
 
     return audit_rows.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(keep).start()
 
 
+_KEPT = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in AUDITS)}, {keys.IDS_MADE} tinyint, stream string, batch_id bigint, day string"
+
+
+def deduplicated(spark: SparkSession, folder: str) -> DataFrame:
+    """The audits that ``start_dedup`` has kept."""
+    return keys.with_ids(spark.read.schema(_KEPT).parquet(folder)).select(*AUDITS.fieldNames())
+
+
 def start_audit_messages(messages: DataFrame, store: AuditStore, checkpoint: str, run_seq: int = 1) -> StreamingQuery:
     """A stream of audit messages (``audit_json``) into the store; unreadable ones are kept in its part ``audit_poison``.
 
