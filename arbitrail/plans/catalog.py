@@ -19,7 +19,7 @@ from arbitrail.operators.rules import rule_frame
 from arbitrail.plans import fixtures as X
 from arbitrail.rulesets.seed import seed_rules
 from arbitrail.schema import RAW_EVENTS
-from arbitrail.session import shared_dir
+from arbitrail.session import names_in, shared_dir
 from arbitrail.sources.events import stream_events
 from arbitrail.sources.store import AuditStore, latest_audits
 from arbitrail.streaming import pipeline
@@ -870,8 +870,10 @@ def q_audit_messages(spark, sf):
     messages = A.audit_json(click_audits(spark, sf))
     offset = F.get_json_object("audit_json", "$.offset").cast("bigint")
     cut = F.when(offset % 53 == 0, F.substring("audit_json", 1, 30)).otherwise(F.col("audit_json"))
-    messages.select(cut.alias("audit_json")).repartition(3).write.parquet(f"{folder}/in")
+    # written where they are made, so that an event's messages lie side by side and compress; a third of the files is a batch
+    messages.select(cut.alias("audit_json")).write.option("compression", "zstd").parquet(f"{folder}/in")
+    files = len([name for name in names_in(spark, f"{folder}/in") if name.endswith(".parquet")])
     store = AuditStore(spark, f"{folder}/out")
-    pipeline.start_audit_messages(stream_events(spark, f"{folder}/in", "audit_json string", 1), store, f"{folder}/checkpoint").awaitTermination()
+    pipeline.start_audit_messages(stream_events(spark, f"{folder}/in", "audit_json string", -(-files // 3)), store, f"{folder}/checkpoint").awaitTermination()
     good = store.latest().groupBy("audit_type").agg(F.count("event_id").alias("messages"))
     return good.unionByName(store.part("audit_poison").agg(F.count("*").alias("messages")).select(F.lit("unreadable").alias("audit_type"), "messages"))
